@@ -42,6 +42,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def salt(n: int) -> np.uint64:
+    """A 64-bit constant for each number."""
+    return U64((n * int(M3)) & 0xFFFFFFFFFFFFFFFF)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
