@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import cut
+
 #: Fixed values of the contract: (host, path, verdict).
 RULES = (
     ("com", "/", "allow"),
@@ -53,7 +55,7 @@ def ratios(strings: DataFrame, order: int = 4) -> DataFrame:
     rules allow and block). Lower orders are grams with their head cut off, so
     each level is an equi-join of tables of distinct grams.
     """
-    full = _grams(strings, order).groupBy("gram").agg(F.sum("allow").alias("a"), F.sum("block").alias("b"))
+    full = cut(_grams(strings, order).groupBy("gram").agg(F.sum("allow").alias("a"), F.sum("block").alias("b")))
     alphabet = full.select(F.expr("right(gram, 1)").alias("gram")).agg(F.count_distinct("gram")).scalar()
     low = None
     for k in range(order + 1):
@@ -89,11 +91,11 @@ def judge(pages: DataFrame, rules=RULES, order: int = 4) -> DataFrame:
     rule, verdict = ruled(rules)
     rest = F.translate(F.expr("substring(url, locate('://', url) + 3)"), UPPER + "123456789", LOWER + "0" * 9)
     base = with_parts(pages.select("page_id", "url")).withColumns({"rule": rule, "fixed": verdict, "norm": F.when(F.locate("://", F.col("url")) > 0, F.nullif(rest, F.lit("")))}).drop("url")
-    strings = base.where("norm is not null").groupBy("norm").agg(F.count_if(F.col("fixed") == "allow").alias("allow"), F.count_if(F.col("fixed") == "block").alias("block"))
+    strings = cut(base.where("norm is not null").groupBy("norm").agg(F.count_if(F.col("fixed") == "allow").alias("allow"), F.count_if(F.col("fixed") == "block").alias("block")))
     weights = ratios(strings, order)
     scored = _grams(strings, order).join(weights, "gram").groupBy("norm").agg(F.avg("weight").alias("score"), F.first("allow").alias("allow"), F.first("block").alias("block"))
     # A text's grams are summed in any order: rounding makes the score the same for every partitioning.
-    scored = scored.withColumn("score", F.round("score", 9))
+    scored = cut(scored.withColumn("score", F.round("score", 9)))
     mean = lambda n: F.try_divide(F.sum(F.col("score") * F.col(n)), F.sum(n))
     threshold = scored.agg(F.coalesce((mean("allow") + mean("block")) / 2, F.lit(0.0))).scalar()
     marked = scored.select("norm", "score")
