@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, html_text, language_id, near_dup, packing, sharding, topk, url_filter
+from rasterloom.llm import decontaminate, exact_substrings, html_text, language_id, near_dup, packing, sharding, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.duplicates(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -53,7 +57,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_text, op4_url_filter, op6_sharding, op7_topk_search, op8_decontamination, op9_packing, op10_near_dup)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_text, op3_exact_substrings, op4_url_filter, op6_sharding, op7_topk_search, op8_decontamination, op9_packing, op10_near_dup)}
 
 
 OP7_SQL = """
