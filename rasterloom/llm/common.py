@@ -16,15 +16,17 @@ U64 = np.uint64
 M1, M2, M3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, without its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where none is set (tests on one machine) a temporary folder is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set (tests on one machine)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

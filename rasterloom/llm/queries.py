@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, exact_substrings, html_text, language_id, near_dup, packing, sharding, topk, url_filter
+from rasterloom.llm import decontaminate, exact_substrings, html_text, language_id, lm_score, near_dup, packing, sharding, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_text, op3_exact_substrings, op4_url_filter, op6_sharding, op7_topk_search, op8_decontamination, op9_packing, op10_near_dup)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_text, op3_exact_substrings, op4_url_filter, op5_lm_score, op6_sharding, op7_topk_search, op8_decontamination, op9_packing, op10_near_dup)}
 
 
 OP7_SQL = """
