@@ -359,13 +359,14 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def remove(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Rows of ``docs``, all columns, with the repeated bytes cut out of text (a character cut in two goes whole) and n_chars counted anew."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 texts.append(kept(text.encode(), spans(starts, p.length)).decode(errors="ignore") if starts else text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
     out = with_starts(docs, p).select(*docs.columns, "starts").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
