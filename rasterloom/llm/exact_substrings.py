@@ -113,7 +113,7 @@ CONTEXTS = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("rkey", pa
 def _cores(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
-        for s in slices(texts, lambda t: len(t or "")):
+        for s in slices(texts, lambda t: len(t or ""), 2_000_000):
             data, ends = joined(texts[s])
             at, _, _ = anchors(data, ends, p)
             if len(at):
@@ -124,7 +124,7 @@ def _cores(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
 def _contexts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, rkeys = b.column("text").to_pylist(), b.column("rkey").to_numpy()
-        for s in slices(texts, lambda t: len(t or "")):
+        for s in slices(texts, lambda t: len(t or ""), 2_000_000):
             data, ends = joined(texts[s])
             at, first, last = anchors(data, ends, p)
             if len(at):
@@ -194,8 +194,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
 
 
 def _dealt(rows: dict, p: Params) -> Iterator[pa.RecordBatch]:
-    hot = np.array(rows.pop("hot"), bool)
-    take = lambda keep: {n: [v[i] for i in np.flatnonzero(keep)] for n, v in rows.items()}
+    hot = np.array(rows["hot"], bool)
+    take = lambda keep: {n: [v[i] for i in np.flatnonzero(keep)] for n, v in rows.items() if n != "hot"}
     calm = take(~hot)
     if calm["core"]:
         zero = np.zeros(len(calm["core"]), np.int64)
