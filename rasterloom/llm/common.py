@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multipliers of the 64-bit finaliser.
@@ -30,6 +34,71 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows there are (that meet a condition), counted on the way."""
+    seen = Observation()
+    out = cut(df.observe(seen, (F.count("*") if condition is None else F.count_if(condition)).alias("n")))
+    return out, seen.get["n"]
+
+
+def limited(df: DataFrame, n: int, most: int) -> DataFrame:
+    """Marked for broadcast if its ``n`` counted rows are few enough."""
+    return F.broadcast(df) if n <= most else df
+
+
+_held: dict = {"owner": None, "made": {}}
+
+
+def held(key, make: Callable):
+    """What ``make`` gives, kept in this worker for the next tasks of the same operator."""
+    made = _held["made"]
+    if key not in made:
+        made[key] = make()
+    return made[key]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; workers live as long as the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def enter(owner: str) -> None:
+    """Drops what another operator's tasks have kept in this worker."""
+    if _held["owner"] != owner:
+        _held.update(owner=owner, made={})
+        trim()
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` that holds little memory.
+
+    Batches have 4 MB at most where the session keeps Spark's 64 MB, and a
+    worker drops what another operator's tasks have kept in it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).rstrip("b") == str(64 << 20):
+        conf.set(name, 4 << 20)
+    owner = f.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)  # by its name: what is shipped with a task is a copy, and so is what it refers to
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,16 +122,15 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def slices(texts: list, size=len, most: int = 4_000_000) -> Iterator[slice]:
-    """Runs of a list whose total size is near ``most``, so that memory stays bounded."""
-    begin, total = 0, 0
-    for i, t in enumerate(texts):
-        total += size(t)
-        if total >= most:
-            yield slice(begin, i + 1)
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+def small(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose ``column`` has near ``most`` bytes, so that a task's memory doesn't grow with the length of texts."""
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(total):
+            end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most)) + 1
+            yield b.slice(begin, end - begin)
+            begin = end
 
 
 def strings(column) -> list[str]:

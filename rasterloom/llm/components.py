@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut
+from rasterloom.llm.common import cut, cut_counting
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round takes the smallest label among neighbours and then that label's
     own label, until none changes; lineage is cut each round and nothing but
-    one flag reaches the driver. Labels meet a hot node's edges in joins whose
+    one count reaches the driver. Labels meet a hot node's edges in joins whose
     skewed side can be split.
     """
     both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
@@ -22,8 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         heard = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("offer")), "other").groupBy("node").agg(F.min("offer").alias("offer"))
         nearer = labels.join(heard, "node").select("node", F.least("label", "offer").alias("mid"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("beyond"))
-        new = cut(nearer.join(jump, "mid").select("node", F.least("mid", "beyond").alias("label"), "was"))
-        changed = new.where(F.col("label") != F.col("was")).limit(1).count()
+        new, changed = cut_counting(nearer.join(jump, "mid").select("node", F.least("mid", "beyond").alias("label"), "was"), F.col("label") != F.col("was"))
         labels = new.drop("was")
         if not changed:
             return labels

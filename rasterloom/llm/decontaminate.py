@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import U64, emit, mix, salt, shingles, slices, strings, words
+from rasterloom.llm.common import U64, emit, held, in_arrow, mix, salt, shingles, small, strings, words
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,6 @@ def item_shingles(texts: list[str], width: int) -> list[np.ndarray]:
 class Index:
     """MinHash tables of a block of items, by size partition."""
 
-    made: dict = {}
-
     def __init__(self, ids: list, texts: list[str], p: Params) -> None:
         self.ids, self.sets, self.p = ids, item_shingles(texts, p.width), p
         self.all = np.unique(np.concatenate([np.zeros(0, U64), *self.sets]))
@@ -67,10 +65,7 @@ class Index:
 
     @classmethod
     def of(cls, key: str, ids: list, texts: list[str], p: Params) -> Index:
-        if key not in cls.made:
-            cls.made.clear()
-            cls.made[key] = cls(ids, texts, p)
-        return cls.made[key]
+        return held((key, p), lambda: cls(ids, texts, p))
 
     @staticmethod
     def _minhash(values: np.ndarray, bands: int) -> list[int]:
@@ -110,13 +105,10 @@ def _blocks(benchmark: DataFrame, p: Params) -> Iterator[tuple[str, list, list[s
         yield f"{n} of {parts}: {hash(tuple(rows))}", [r.item_id for r in rows], [r.text for r in rows]
 
 
-def _search(b: pa.RecordBatch, index: Index) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    texts = strings(b.column("text"))
-    for s in slices(texts):
-        h, bounds = words(texts[s])
-        value, to = shingles(h, bounds, index.p.width)
-        for i in range(s.stop - s.start):
-            yield s.start + i, index.search(value[to[i] : to[i + 1]]) if bounds[i + 1] - bounds[i] >= index.p.width else []
+def _search(b: pa.RecordBatch, index: Index) -> list[list[tuple[int, int]]]:
+    h, bounds = words(strings(b.column("text")))
+    value, to = shingles(h, bounds, index.p.width)
+    return [index.search(value[to[i] : to[i + 1]]) if bounds[i + 1] - bounds[i] >= index.p.width else [] for i in range(b.num_rows)]
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
@@ -135,13 +127,13 @@ def contained(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Da
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index.of(*shared.value, p)
-            for b in batches:
+            for b in small(batches):
                 doc = b.column("doc_id").to_pylist()
-                hits = [(doc[i], index.ids[m], len(index.sets[m]), n, n / len(index.sets[m])) for i, found in _search(b, index) for m, n in found]
+                hits = [(doc[i], index.ids[m], len(index.sets[m]), n, n / len(index.sets[m])) for i, found in enumerate(_search(b, index)) for m, n in found]
                 if hits:
                     yield from emit(OUT, dict(zip(OUT.names, zip(*hits, strict=True), strict=True)))
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, item_shingles long, shared long, containment double")
+        part = in_arrow(docs.select("doc_id", "text"), run, "doc_id long, item_id long, item_shingles long, shared long, containment double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -153,8 +145,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index.of(*shared.value, p)
-            for b in batches:
-                yield b.filter(pa.array([not found for _, found in _search(b, index)], pa.bool_()))
+            for b in small(batches):
+                yield b.filter(pa.array([not found for found in _search(b, index)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(docs, run, docs.schema)
     return docs

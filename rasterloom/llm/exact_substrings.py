@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import M3, U64, cut, emit, mix, salt, shuffle_width, signed, slices
+from rasterloom.llm.common import M3, U64, cut, cut_counting, emit, fresh, held, in_arrow, limited, mix, salt, shuffle_width, signed, small
 
 LOW = U64(0xFFFFFFFF)
 
@@ -45,6 +45,8 @@ class Params:
     #: Contexts of one core that a bucket takes apart itself; beyond, each suffix is dealt alone.
     hot: int = 256
     bucket_contexts: int = 10_000
+    #: Bytes that are hashed at once.
+    piece: int = 250_000
     #: Rows of 8 bytes in a broadcast side at most.
     broadcast_rows: int = 2_000_000
 
@@ -55,20 +57,21 @@ class Params:
 class Prefix:
     """Polynomial prefix hashes of a byte array: any substring's hash in constant time."""
 
-    tables: dict = {}
-
     def __init__(self, data: np.ndarray, which: int) -> None:
         n = len(data)
-        if which not in self.tables or len(self.tables[which][1]) <= n:
-            base = U64(int(salt(2 * which + 3)) | 5)
-            size = max(n + 1, 1 << 20)
-            powers, inverse = np.full(size, base, U64), np.full(size, pow(int(base), -1, 1 << 64), U64)
-            powers[0] = inverse[0] = 1
-            self.tables[which] = mix(np.arange(1, 257, dtype=U64) * salt(which + 11)) | U64(1), np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
-        letter, powers, self.inverse = self.tables[which]
+        size = 1 << max(20, n.bit_length())
+        letter, powers, self.inverse = held(("powers", which, size), lambda: self.powers(which, size))
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(letter[data] * powers[:n], out=self.sums[1:])
 
+    @staticmethod
+    def powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A random odd number for each byte, and the powers of a base and of its inverse."""
+        base = U64(int(salt(2 * which + 3)) | 5)
+        powers, inverse = np.full(size, base, U64), np.full(size, pow(int(base), -1, 1 << 64), U64)
+        powers[0] = inverse[0] = 1
+        return mix(np.arange(1, 257, dtype=U64) * salt(which + 11)) | U64(1), np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
@@ -80,6 +83,24 @@ def joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), ends
 
 
+def pieces(texts: list, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(data, ends, row of each piece, its offset) of runs of texts with about ``p.piece`` bytes.
+
+    A long text is cut into pieces that overlap by one byte less than a window, so each window start is in one piece.
+    """
+    cut_up = ((i, a, raw[a : a + p.piece + p.length - 1]) for i, raw in enumerate(t.encode() if t else b"" for t in texts) for a in range(0, max(1, len(raw) - p.length + 1), p.piece))
+    held_back: list[tuple[int, int, bytes]] = []
+    size = 0
+    for x in cut_up:
+        if held_back and size + len(x[2]) > 2 * p.piece:
+            yield *joined([y for _, _, y in held_back]), np.array([i for i, _, _ in held_back]), np.array([a for _, a, _ in held_back])
+            held_back, size = [], 0
+        held_back.append(x)
+        size += len(x[2])
+    if held_back:
+        yield *joined([y for _, _, y in held_back]), np.array([i for i, _, _ in held_back]), np.array([a for _, a, _ in held_back])
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, first and last window start of each context."""
     n = len(data)
@@ -111,10 +132,8 @@ CONTEXTS = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("rkey", pa
 
 
 def _cores(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for s in slices(texts, lambda t: len(t or ""), 2_000_000):
-            data, ends = joined(texts[s])
+    for b in small(batches):
+        for data, ends, _, _ in pieces(b.column("text").to_pylist(), p):
             at, _, _ = anchors(data, ends, p)
             if len(at):
                 core, n = np.unique(Prefix(data, 0).of(at, at + p.length - p.span + 1), return_counts=True)
@@ -122,18 +141,17 @@ def _cores(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, rkeys = b.column("text").to_pylist(), b.column("rkey").to_numpy()
-        for s in slices(texts, lambda t: len(t or ""), 2_000_000):
-            data, ends = joined(texts[s])
+    for b in small(batches):
+        rkey = b.column("rkey").to_numpy()
+        for data, ends, row, offset in pieces(b.column("text").to_pylist(), p):
             at, first, last = anchors(data, ends, p)
             if len(at):
                 h, g = Prefix(data, 0), Prefix(data, 1)
-                text = np.searchsorted(ends, at, "right") - 1
+                piece = np.searchsorted(ends, at, "right") - 1
                 shape = ((at - first) << 7 | (last - first)).astype(U64)
                 context = mix(h.of(first, last + p.length) + mix(g.of(first, last + p.length) + (shape + U64(1)) * M3))
-                place = (first - ends[text]) << 14 | (at - first) << 7 | (last - first)
-                yield from emit(CONTEXTS, {"core": signed(h.of(at, at + p.length - p.span + 1)), "context": signed(context), "rkey": rkeys[s][text], "place": place})
+                place = (first - ends[piece] + offset[piece]) << 14 | (at - first) << 7 | (last - first)
+                yield from emit(CONTEXTS, {"core": signed(h.of(at, at + p.length - p.span + 1)), "context": signed(context), "rkey": rkey[row[piece]], "place": place})
 
 
 # -- step 3: suffixes
@@ -165,20 +183,24 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
 
 def _windows(rows: dict, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Context, distance to the anchor and fingerprint of each window of the contexts."""
-    data, ends = joined(rows["bytes"])
-    place = np.array(rows["place"], np.int64)
-    count = (place & 127) + 1
-    of = np.repeat(np.arange(len(place)), count)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    begin = ends[of] + nth
-    return of, (place >> 7 & 127)[of] - nth, Prefix(data, 0).of(begin, begin + p.length), Prefix(data, 1).of(begin, begin + p.length)
+    out = []
+    most = p.piece // p.length
+    for begin in range(0, len(rows["bytes"]), most):
+        data, ends = joined(rows["bytes"][begin : begin + most])
+        place = np.array(rows["place"][begin : begin + most], np.int64)
+        count = (place & 127) + 1
+        of = np.repeat(np.arange(len(place)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        at = ends[of] + nth
+        out.append((of + begin, (place >> 7 & 127)[of] - nth, Prefix(data, 0).of(at, at + p.length), Prefix(data, 1).of(at, at + p.length)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Bytes of the contexts wanted of each text; those of hot cores as single suffixes."""
-    for b in batches:
+    for b in small(batches):
         rows: dict[str, list] = {n: [] for n in ("core", "rkey", "place", "alone", "hot", "bytes")}
-        held = 0
+        held_bytes = 0
         for text, rkey, wanted in zip(b.column("text").to_pylist(), b.column("rkey").to_pylist(), b.column("wanted").to_pylist(), strict=True):
             raw = (text or "").encode()
             for w in wanted:
@@ -186,10 +208,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
                 values = (w["core"], rkey, w["place"], w["alone"], w["hot"], raw[first : last + p.length])
                 for n, v in zip(rows, values, strict=True):
                     rows[n].append(v)
-                held += p.length
-            if held > 4_000_000:
+                held_bytes += p.length
+            if held_bytes > 500_000:
                 yield from _dealt(rows, p)
-                rows, held = {n: [] for n in rows}, 0
+                rows, held_bytes = {n: [] for n in rows}, 0
         yield from _dealt(rows, p)
 
 
@@ -235,7 +257,7 @@ def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
     raw = table.column("bytes").is_valid().to_numpy()
     known = k0 < 0
     ctx, one = np.flatnonzero(raw), np.flatnonzero(~raw & ~known)
-    of, distance, t0, t1 = _windows({"bytes": table.column("bytes").take(pa.array(ctx)).to_pylist(), "place": place[ctx]}, p) if len(ctx) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),) * 2
+    of, distance, t0, t1 = _windows({"bytes": table.column("bytes").take(pa.array(ctx)).to_pylist(), "place": place[ctx]}, p)
     own = ctx[of]
     row = np.concatenate([own, one])
     distance = np.concatenate([distance, k0[one]])
@@ -272,33 +294,28 @@ def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
     yield from emit(RUNS, {"rkey": rkey[row[e]], "first": start[e], "last": start[e], "repeated": ~alone[row[e]], "core": wide[e], "k0": distance[e], "k1": signed(t0[e]), "k2": signed(t1[e]), "edge": np.ones(len(e), bool)})
 
 
-def _limited(df: DataFrame, most: int) -> DataFrame:
-    """Marked for broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def repeated_starts(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """rkey, starts: for each row with repeated windows, their starts as (first << 20 | run - 1) numbers.
 
     ``docs`` has rkey and text.
     """
     docs = docs.select("rkey", "text")
-    cores = docs.mapInArrow(lambda it: _cores(it, p), "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
-    cores = cut(cores.select("core"))
-    found = cut(docs.mapInArrow(lambda it: _contexts(it, p), "core long, context long, rkey long, place long").join(_limited(cores, p.broadcast_rows), "core", "left_semi"))
-    contexts = cut(found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("rkey", "place")).alias("at")))
+    cores = in_arrow(docs, lambda it: _cores(it, p), "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
+    cores, n = cut_counting(cores.select("core"))
+    found = cut(in_arrow(docs, lambda it: _contexts(it, p), "core long, context long, rkey long, place long").join(limited(cores, n, p.broadcast_rows), "core", "left_semi"))
+    contexts, n = cut_counting(found.groupBy("core", "context").agg(F.count("*").alias("n"), F.first("rkey").alias("rkey"), F.first("place").alias("place")), F.col("n") > 1)  # both firsts are of one row
     run = lambda first, last: F.shiftleft(first, 20).bitwiseOR(last - first)
     lo = F.shiftright("place", 14)
-    equal = found.join(_limited(contexts.where("n > 1").select("core", "context"), p.broadcast_rows // 2), ["core", "context"], "left_semi").select("rkey", run(lo, lo + F.col("place").bitwiseAND(F.lit(127))).alias("start"))
-    mixed = contexts.groupBy("core").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("kinds > 1 and lone > 0")
-    wanted = contexts.join(mixed, "core").select(F.col("at.rkey").alias("rkey"), F.struct("core", F.col("at.place").alias("place"), (F.col("n") == 1).alias("alone"), (F.col("kinds") > p.hot).alias("hot")).alias("want"))
-    wanted = cut(wanted.groupBy("rkey").agg(F.collect_list("want").alias("wanted"), F.count("*").alias("n")))
+    equal = found.join(limited(contexts.where("n > 1").select("core", "context"), n, p.broadcast_rows // 2), ["core", "context"], "left_semi").select("rkey", run(lo, lo + F.col("place").bitwiseAND(F.lit(127))).alias("start"))
+    mixed, n = cut_counting(contexts.groupBy("core").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("kinds > 1 and lone > 0").select("core", "kinds"))
+    wanted = contexts.join(limited(mixed, n, p.broadcast_rows // 2), "core").select("rkey", F.struct("core", "place", (F.col("n") == 1).alias("alone"), (F.col("kinds") > p.hot).alias("hot")).alias("want"))
+    wanted, n = cut_counting(wanted.groupBy("rkey").agg(F.collect_list("want").alias("wanted"), F.count("*").alias("n")))
     total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    need = docs.join(_limited(wanted.select("rkey"), p.broadcast_rows), "rkey", "left_semi").dropDuplicates(["rkey"])
+    need = docs.join(limited(wanted.select("rkey"), n, p.broadcast_rows), "rkey", "left_semi")
     need = need.join(wanted.select("rkey", "wanted").hint("shuffle_hash"), "rkey").select("rkey", "text", "wanted")
-    suffixes = need.mapInArrow(lambda it: _suffixes(it, p), SUFFIXES_DDL)
+    suffixes = in_arrow(need, lambda it: _suffixes(it, p), SUFFIXES_DDL)
     buckets = suffixes.repartitionByRange(max(shuffle_width(docs.sparkSession), total // p.bucket_contexts), "core", "k0", "k1", "k2", "k3")
-    runs = cut(buckets.mapInArrow(lambda it: _bucket(it, p), RUNS_DDL))
+    runs = cut(in_arrow(buckets, lambda it: _bucket(it, p), RUNS_DDL))
     token = ["core", "k0", "k1", "k2"]
     met = runs.where("edge").groupBy(*token).agg(F.count("*").alias("n")).where("n > 1").select(*token)
     across = runs.where("edge and not repeated").join(met, token, "left_semi")
@@ -325,10 +342,12 @@ def kept(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def with_starts(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``docs`` with rkey and starts (null where nothing is repeated)."""
-    keyed = docs.withColumn("rkey", F.xxhash64("doc_id", "text"))
-    return keyed.join(repeated_starts(keyed, p).hint("shuffle_hash"), "rkey", "left")
+def with_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, str]:
+    """``docs`` with one column more, the starts of repeated windows (null where nothing is repeated), and its name."""
+    rkey, name = fresh(docs.columns, "rkey"), fresh(docs.columns, "starts")
+    keyed = docs.withColumn(rkey, F.xxhash64("doc_id", "text"))
+    starts = repeated_starts(docs.select(F.xxhash64("doc_id", "text").alias("rkey"), "text"), p)
+    return keyed.join(starts.toDF(rkey, name).hint("shuffle_hash"), rkey, "left").select(*docs.columns, name), name
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
@@ -343,7 +362,7 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out: dict[str, list] = {n: [] for n in DIGEST.names}
             for doc, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 raw = (text or "").encode()
@@ -353,20 +372,21 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
                     out[n].append(v)
             yield from emit(DIGEST, out)
 
-    rows = with_starts(docs.select("doc_id", "text"), p).select("doc_id", "text", "starts")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    rows, _ = with_starts(docs.select("doc_id", "text"), p)
+    return in_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
 def remove(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Rows of ``docs``, all columns, with the repeated bytes cut out of text (a character cut in two goes whole) and n_chars counted anew."""
     names = docs.columns
+    rows, extra = with_starts(docs, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = []
-            for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
+            for text, starts in zip(b.column("text").to_pylist(), b.column(extra).to_pylist(), strict=True):
                 texts.append(kept(text.encode(), spans(starts, p.length)).decode(errors="ignore") if starts else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    out = with_starts(docs, p).select(*docs.columns, "starts").mapInArrow(run, docs.schema)
+    out = in_arrow(rows, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, emit
+from rasterloom.llm.common import cut, emit, in_arrow, small
 
 # Element names and words of classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,7 +183,7 @@ class Params:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches, "html"):
         rows = []
         for pkey, host, html in zip(b.column("pkey").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             elements, _, found, dominant = branches(html or "")
@@ -194,7 +194,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches, "html"):
         text = [main_text(h or "", set(x or ()), host) for h, x, host in zip(b.column("html").to_pylist(), b.column("noisy").to_pylist(), b.column("host").to_pylist(), strict=True)]
         yield from emit(TEXT, {"page_id": b.column("page_id"), "url": b.column("url"), "text": text, "n_chars": [len(t) for t in text]})
 
@@ -212,7 +212,7 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"\A[^:/?#]*://([^/?#]*)", 1)), F.lit(""))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("pkey"))
-    nodes = cut(keyed.select("pkey", "host", "html").mapInArrow(_nodes, "pkey long, node long, feature long, style long, dominant long"))
+    nodes = cut(in_arrow(keyed.select("pkey", "host", "html"), _nodes, "pkey long, node long, feature long, style long, dominant long"))
     entropy = F.log("pages") - F.sum(F.col("n") * F.log("n")) / F.col("pages")
     known = nodes.select("node", "dominant").distinct().groupBy("node").agg(F.count("*").alias("pages")).where(F.col("pages") >= p.pages)
     styles = nodes.select("node", "style", "dominant").distinct().groupBy("node", "style").agg(F.count("*").alias("n"))
@@ -223,4 +223,4 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     importance = (1 - weight) * F.least(F.col("h") / F.log("pages"), F.lit(1.0)) + weight * (1 - F.log("n") / F.log("pages"))
     noisy = spread.where(importance <= p.importance).select("feature").distinct()
     found = nodes.join(noisy, "feature", "left_semi").groupBy("pkey").agg(F.collect_set("feature").alias("noisy"))
-    return keyed.join(found, "pkey", "left").select("page_id", "url", "html", "host", "noisy").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return in_arrow(keyed.join(found, "pkey", "left").select("page_id", "url", "html", "host", "noisy"), _extract, "page_id long, url string, text string, n_chars long")

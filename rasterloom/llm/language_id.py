@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import codepoints, emit, slices, strings
+from rasterloom.llm.common import codepoints, emit, held, in_arrow, small, strings
 
 LANE = 512
-PHRASE = np.int32(1 << 30)
+PHRASE = np.int32(1 << 29)  # transitions count the phrases they end in the bits from here on
 SPACE, OTHER = 0, 1
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, phrases_per_letter double"
@@ -82,8 +82,6 @@ def automaton(text: str) -> tuple[list[dict], list[int]]:
 class Model:
     """Automata of all languages as flat transition tables, made once in a worker."""
 
-    made: dict = {}
-
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
         letters = sorted(set("".join(texts.values())) - {" "})[:65_000]
@@ -98,11 +96,13 @@ class Model:
         self.width, self.tables, self.bits = len(letters) + 2, [], []
         for lang in self.langs:
             step, _ = automaton(texts[lang])
-            root = np.full(self.width, PHRASE, np.int32)  # a symbol not seen at all is a phrase of its own
-            table = np.tile(root, (len(step), 1))
+            root = np.zeros(self.width, np.int32)
             for c, to in step[0].items():
                 root[index[c]] = to * self.width
-            table[:] = root | PHRASE
+            # a symbol not seen at all is a phrase of its own, after which the next one begins anew
+            table = np.tile(np.where(root > 0, root | PHRASE, 2 * PHRASE).astype(np.int32), (len(step), 1))
+            table[0] = np.where(root > 0, root, PHRASE)
+            assert table.size < PHRASE
             for state, out in enumerate(step):
                 for c, to in out.items():
                     table[state, index[c]] = to * self.width
@@ -111,11 +111,7 @@ class Model:
 
     @classmethod
     def of(cls, texts: dict[str, str]) -> Model:
-        key = tuple(sorted((k, len(v), hash(v)) for k, v in texts.items()))
-        if key not in cls.made:
-            cls.made.clear()
-            cls.made[key] = cls(texts)
-        return cls.made[key]
+        return held(tuple(sorted((k, len(v), hash(v)) for k, v in texts.items())), lambda: cls(texts))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases by text and language, and by text how many letters, and how many symbols there are."""
@@ -148,10 +144,10 @@ class Model:
             s = sym[begin[:m] + t]
             for k, table in enumerate(self.tables):
                 to = table[state[k, :m] + s]
-                found[k, :m] += to >> 30
+                found[k, :m] += to >> 29
                 state[k, :m] = to & low
         for k in range(len(self.langs)):
-            out[:, k] = np.bincount(text, weights=found[k], minlength=len(texts)) + lanes
+            out[:, k] = np.bincount(text, weights=found[k] + (state[k] > 0), minlength=len(texts))
         return out, np.diff(letters[ends]), count
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -216,13 +212,11 @@ def identify(docs: DataFrame, model: dict[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            model, texts = Model.of(shared.value), strings(b.column("text"))
-            for s in slices(texts):
-                lang, score, rate = model.predict(texts[s])
-                yield from emit(ARROW, {"doc_id": b.column("doc_id")[s.start : s.stop], "held_out": b.column("held_out")[s.start : s.stop], "lang_pred": lang, "score": score, "phrases_per_letter": rate})
+        for b in small(batches):
+            lang, score, rate = Model.of(shared.value).predict(strings(b.column("text")))
+            yield from emit(ARROW, {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": lang, "score": score, "phrases_per_letter": rate})
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, SCHEMA)
+    return in_arrow(docs.select("doc_id", "text", held_out().alias("held_out")), run, SCHEMA)
 
 
 def keep_known(docs: DataFrame, model: dict[str, str], most: float = 0.9) -> DataFrame:
@@ -233,11 +227,8 @@ def keep_known(docs: DataFrame, model: dict[str, str], most: float = 0.9) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            model, texts, keep = Model.of(shared.value), strings(b.column("text")), []
-            for s in slices(texts):
-                lang, _, rate = model.predict(texts[s])
-                keep += [x != "und" and r <= most for x, r in zip(lang, rate, strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        for b in small(batches):
+            lang, _, rate = Model.of(shared.value).predict(strings(b.column("text")))
+            yield b.filter(pa.array([x != "und" and r <= most for x, r in zip(lang, rate, strict=True)], pa.bool_()))
+
+    return in_arrow(docs, run, docs.schema)

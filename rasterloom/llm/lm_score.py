@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import U64, emit, mix, salt, signed, slices, strings, words
+from rasterloom.llm.common import U64, emit, in_arrow, mix, salt, signed, small, strings, words
 
 
 @dataclass(frozen=True)
@@ -61,17 +61,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
         return value, np.bincount(at, weights=np.concatenate([n for _, n in found])).astype(np.int64)
 
-    for b in batches:
-        texts = strings(b.column("text"))
-        for s in slices(texts):
-            found.append(np.unique(words(texts[s])[0], return_counts=True))
-            held += len(found[-1][0])
-            if held > 2_000_000:
-                found = [merged()]
-                held = len(found[0][0])
-                if held > 1_000_000:
-                    yield from emit(COUNTS, {"word": signed(found[0][0]), "n": found[0][1]})
-                    found, held = [], 0
+    for b in small(batches):
+        found.append(np.unique(words(strings(b.column("text")))[0], return_counts=True))
+        held += len(found[-1][0])
+        if held > 2_000_000:
+            found = [merged()]
+            held = len(found[0][0])
+            if held > 1_000_000:
+                yield from emit(COUNTS, {"word": signed(found[0][0]), "n": found[0][1]})
+                found, held = [], 0
     if found:
         value, n = merged()
         yield from emit(COUNTS, {"word": signed(value), "n": n})
@@ -221,16 +219,14 @@ def _descend(batches: Iterator[pa.RecordBatch], shared, p: Params, turn: int) ->
             net.learn(x[:, a : min(a + p.batch, stop)], y[a : min(a + p.batch, stop)])
         near, want = [x[:, stop:]], [y[stop:]]
 
-    for b in batches:
-        texts = strings(b.column("text"))
-        for s in slices(texts):
-            word, bounds = words(texts[s])
-            ids = net.ids(word)
-            place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-            pick = np.flatnonzero(mix(word + salt(turn + 1) * place.astype(U64)) % U64(p.rate) == 0)
-            near.append(net.around(ids, bounds)[:, pick]), want.append(ids[pick])
-            seen += len(pick)
-            train(False)
+    for b in small(batches):
+        word, bounds = words(strings(b.column("text")))
+        ids = net.ids(word)
+        place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
+        pick = np.flatnonzero(mix(word + salt(turn + 1) * place.astype(U64)) % U64(p.rate) == 0)
+        near.append(net.around(ids, bounds)[:, pick]), want.append(ids[pick])
+        seen += len(pick)
+        train(False)
     train(True)
     if seen:
         yield from emit(STATE, {"part": [TaskContext.get().partitionId()], "seen": [seen], "flat": [net.flat.tobytes()]})
@@ -246,7 +242,7 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
     """Vocabulary (word hashes by rank) and parameters, learnt from the whole of ``docs`` (column text)."""
     text = docs.select("text")
-    counts = text.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = in_arrow(text, _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(p.size - p.hashed).collect()
     vocabulary = np.array([r.word for r in top], np.int64).view(U64)
     count = np.zeros(p.size)
@@ -257,7 +253,7 @@ def train(docs: DataFrame, p: Params = Params()) -> tuple[np.ndarray, np.ndarray
     sc = docs.sparkSession.sparkContext
     for turn in range(p.rounds):
         shared = sc.broadcast((vocabulary, flat))
-        states = text.mapInArrow(lambda it, shared=shared, turn=turn: _descend(it, shared, p, turn), "part long, seen long, flat binary")
+        states = in_arrow(text, lambda it, shared=shared, turn=turn: _descend(it, shared, p, turn), "part long, seen long, flat binary")
         groups = max(1, math.isqrt(text.rdd.getNumPartitions()))
         means = states.groupBy((F.col("part") % groups).alias("g")).applyInPandas(lambda x: _average(x), "seen long, flat binary").collect()
         if means:
@@ -279,15 +275,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Params = Par
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(p, *shared.value)
-        for b in batches:
-            texts = strings(b.column("text"))
-            for s in slices(texts):
-                word, bounds = words(texts[s])
-                total = np.concatenate([[0.0], np.cumsum(net.log_prob(net.ids(word), bounds))])
-                n = np.diff(bounds)
-                sums = np.where(n > 0, total[bounds[1:]] - total[bounds[:-1]], 0.0)
-                mean = sums / np.maximum(n, 1)
-                empty = n == 0
-                yield from emit(SCORES, {"doc_id": b.column("doc_id")[s.start : s.stop], "n_tokens": n, "log_prob": sums, "mean_log_prob": pa.array(mean, mask=empty), "perplexity": pa.array(np.exp(-mean), mask=empty)})
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double, perplexity double")
+        for b in small(batches):
+            word, bounds = words(strings(b.column("text")))
+            total = np.concatenate([[0.0], np.cumsum(net.log_prob(net.ids(word), bounds))])
+            n = np.diff(bounds)
+            sums = np.where(n > 0, total[bounds[1:]] - total[bounds[:-1]], 0.0)
+            mean = sums / np.maximum(n, 1)
+            empty = n == 0
+            yield from emit(SCORES, {"doc_id": b.column("doc_id"), "n_tokens": n, "log_prob": sums, "mean_log_prob": pa.array(mean, mask=empty), "perplexity": pa.array(np.exp(-mean), mask=empty)})
+
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double, perplexity double")

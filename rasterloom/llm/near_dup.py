@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import M2, M3, U64, cut, emit, mix, salt, shingles, signed, slices, strings, words
+from rasterloom.llm.common import M2, M3, U64, cut, cut_counting, emit, fresh, in_arrow, limited, mix, salt, shingles, signed, small, strings, words
 from rasterloom.llm.components import components
 
 
@@ -35,8 +35,8 @@ class Params:
     rows: int = 4
     #: Buckets of so many members at most are compared pair by pair; larger ones by centres.
     small: int = 4
-    #: Rounds with further centres for buckets whose members aren't in one class yet.
-    rounds: int = 2
+    #: Further centres that are tried in buckets whose members aren't in one class yet.
+    further: int = 2
     #: Rows of a broadcast side at most (24 bytes each).
     broadcast_rows: int = 300_000
 
@@ -93,24 +93,22 @@ ROWS = pa.schema([("doc_id", pa.int64()), ("rkey", pa.int64()), ("tkey", pa.int6
 
 def _sketch(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     k = p.bands * p.rows
-    for b in batches:
-        texts = strings(b.column("text"))
-        for s in slices(texts):
-            cell, bounds = cells(texts[s], p.width)
-            some = np.diff(bounds) > 0
-            key = np.zeros((len(some), 2), U64)
-            if some.any():
-                begin = bounds[:-1][some]
-                key[some, 0], key[some, 1] = np.add.reduceat(mix(cell ^ M2), begin), np.add.reduceat(mix(cell ^ M3), begin)
-            sig = signatures(cell, bounds, k).reshape(len(some), p.bands, p.rows)
-            band = np.zeros((len(some), p.bands), U64)
-            for r in range(p.rows):
-                band = mix((band ^ sig[:, :, r]) * M3 + U64(r))
-            band = signed(mix(band + np.arange(p.bands, dtype=U64) * M2))
-            lists = pa.ListArray.from_arrays(np.arange(0, band.size + 1, p.bands, dtype=np.int32), pa.array(band.ravel()))
-            raw = key.tobytes()
-            keys = [raw[16 * i : 16 * i + 16] if ok else None for i, ok in enumerate(some)]
-            yield from emit(ROWS, {**{c: b.column(c)[s.start : s.stop] for c in ("doc_id", "rkey", "tkey")}, "key": pa.array(keys, pa.binary()), "bands": lists})
+    for b in small(batches):
+        cell, bounds = cells(strings(b.column("text")), p.width)
+        some = np.diff(bounds) > 0
+        key = np.zeros((len(some), 2), U64)
+        if some.any():
+            begin = bounds[:-1][some]
+            key[some, 0], key[some, 1] = np.add.reduceat(mix(cell ^ M2), begin), np.add.reduceat(mix(cell ^ M3), begin)
+        sig = signatures(cell, bounds, k).reshape(len(some), p.bands, p.rows)
+        band = np.zeros((len(some), p.bands), U64)
+        for r in range(p.rows):
+            band = mix((band ^ sig[:, :, r]) * M3 + U64(r))
+        band = signed(mix(band + np.arange(p.bands, dtype=U64) * M2))
+        lists = pa.ListArray.from_arrays(np.arange(0, band.size + 1, p.bands, dtype=np.int32), pa.array(band.ravel()))
+        raw = key.tobytes()
+        keys = [raw[16 * i : 16 * i + 16] if ok else None for i, ok in enumerate(some)]
+        yield from emit(ROWS, {**{c: b.column(c) for c in ("doc_id", "rkey", "tkey")}, "key": pa.array(keys, pa.binary()), "bands": lists})
 
 
 def similarity(a: list[str], b: list[str], width: int) -> np.ndarray:
@@ -125,39 +123,31 @@ def similarity(a: list[str], b: list[str], width: int) -> np.ndarray:
     return out
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """Adds rkey and tkey, which together name a row by its doc_id and text."""
-    return docs.withColumns({"rkey": F.xxhash64("doc_id", "text"), "tkey": F.xxhash64(F.lit(7), "text", "doc_id")})
+def row_keys(docs: DataFrame, rkey: str = "rkey", tkey: str = "tkey") -> DataFrame:
+    """Adds two keys, which together name a row by its doc_id and text."""
+    return docs.withColumns({rkey: F.xxhash64("doc_id", "text"), tkey: F.xxhash64(F.lit(7), "text", "doc_id")})
 
 
-def _limited(df: DataFrame, most: int) -> DataFrame:
-    """Marked for broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "rkey", "tkey"), "key"))
-    text = row_keys(docs.select("doc_id", "text")).join(_limited(ends, p.broadcast_rows), ["rkey", "tkey"]).select("key", "text").dropDuplicates(["key"])
-    text = cut(text)
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, int]:
+    """Those of the pairs (a, b) whose texts are similar, and how many they are."""
+    ends, n = cut_counting(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "rkey", "tkey"), "key"))
+    text = row_keys(docs.select("doc_id", "text")).join(limited(ends, n, p.broadcast_rows), ["rkey", "tkey"]).select("key", "text")
+    text = cut(text)  # a repeated row repeats its links, no more
     side = lambda c: text.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ta, tb = strings(batch.column("text_a")), strings(batch.column("text_b"))
-            keep = np.zeros(len(ta), bool)
-            for s in slices(list(zip(ta, tb, strict=True)), lambda x: len(x[0]) + len(x[1])):
-                keep[s] = similarity(ta[s], tb[s], p.width) >= p.similarity - 1e-12
-            pick = pa.array(np.flatnonzero(keep))
+        for batch in small(small(batches, "text_a"), "text_b"):
+            found = similarity(strings(batch.column("text_a")), strings(batch.column("text_b")), p.width)
+            pick = pa.array(np.flatnonzero(found >= p.similarity - 1e-12))
             yield from emit(out, {"a": batch.column("a").take(pick), "b": batch.column("b").take(pick)})
 
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a binary, b binary"))
+    return cut_counting(in_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), check, "a binary, b binary"))
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): each row's rkey, tkey, doc_id and set key, and each set key's class."""
-    rows = cut(row_keys(docs.select("doc_id", "text")).mapInArrow(lambda it: _sketch(it, p), "doc_id long, rkey long, tkey long, key binary, bands array<long>"))
+    rows = cut(in_arrow(row_keys(docs.select("doc_id", "text")), lambda it: _sketch(it, p), "doc_id long, rkey long, tkey long, key binary, bands array<long>"))
     sets = cut(rows.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "rkey", "tkey")).alias("least"), F.first("bands").alias("bands")).select("key", F.col("least.*"), "bands"))
     held = sets.select("key", F.explode("bands").alias("bucket"))
     sizes = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -166,24 +156,28 @@ def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
     hits = cut(hits.join(weight, "key"))
     low, high = F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")
     large, few = hits.where(F.col("n") > p.small), hits.where(F.col("n") <= p.small)
-    star = lambda rows, order: rows.join(rows.groupBy("bucket").agg(F.max_by("key", order).alias("centre")), "bucket").where(F.col("key") != F.col("centre")).select(low, high)
+    centres, n = cut_counting(large.groupBy("bucket").agg(F.max_by("key", F.struct(F.round("centrality", 6), "key")).alias("centre")))
+    star = large.join(limited(centres, n, p.broadcast_rows), "bucket").where(F.col("key") != F.col("centre")).select(low, high)
     close = few.select("bucket", F.col("key").alias("a")).join(few.select("bucket", F.col("key").alias("b")), "bucket").where(F.col("a") < F.col("b")).select("a", "b")
-    tried = cut(star(large, F.struct(F.round("centrality", 6), "key")).union(close).distinct())
-    links = _verified(tried, docs, sets, p)
+    tried = cut(star.union(close).distinct())
+    links, _ = _verified(tried, docs, sets, p)
     labels = components(links)
-    for n in range(p.rounds):
-        # Buckets that still hold several classes try another centre on the members of other classes than the centre's.
-        marked = cut(hits.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
-        open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by(F.struct("key", "label"), F.xxhash64(F.lit(n), "key")).alias("c")).where(F.col("low") != F.col("high"))
-        more = marked.join(open_.select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("other")), "bucket").where(F.col("label") != F.col("other")).select(low, high)
-        more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not more.limit(1).count():
-            break
-        new = _verified(more, docs, sets, p)
-        tried = tried.union(more)
-        if new.limit(1).count():
-            links = cut(links.union(new))
-            labels = components(links)
+    # Buckets that still hold several classes try further centres on the members of other classes than the centre's.
+    marked = cut(hits.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    drawn = F.array(*[F.max_by(F.struct("key", "label"), F.xxhash64(F.lit(turn), "key")) for turn in range(p.further)])
+    open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), drawn.alias("c")).where(F.col("low") != F.col("high"))
+    open_, n = cut_counting(open_.select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("other")))
+    more = marked.join(limited(open_, n, p.broadcast_rows), "bucket").where(F.col("label") != F.col("other")).select(low, high)
+    more, n = cut_counting(more.distinct().join(tried, ["a", "b"], "left_anti"))
+    new, n = _verified(more, docs, sets, p) if n else (more, 0)
+    if n:
+        # the classes that the new links join are components of the classes
+        ends = new.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), "e.b")
+        side = ends.join(labels, "node", "left").select("node", "b", F.coalesce("label", "node").alias("la"))
+        side = side.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.col("la").alias("a"), F.coalesce("lb", "b").alias("b"))
+        joined = components(side.where(F.col("a") != F.col("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        every = labels.union(joined.select(F.col("label").alias("node"), "label")).distinct()
+        labels = cut(every.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
     named = sets.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return rows.drop("bands"), cut(named.join(least, "label").select("key", "class_id", "label"))
@@ -211,10 +205,12 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     named = rows.where("key is not null").join(labels.select("key", "label"), "key")
     first = named.groupBy("label").agg(F.min(F.struct("doc_id", "rkey", "tkey")).alias("first"))
     dropped = named.join(first, "label").where(F.struct("doc_id", "rkey", "tkey") != F.col("first")).select("rkey", "tkey").distinct()
-    dropped = cut(dropped)
-    out = row_keys(docs).join(_limited(dropped, p.broadcast_rows), ["rkey", "tkey"], "left_anti")
-    again = cut(rows.where("key is not null").groupBy("rkey", "tkey").agg(F.count("*").alias("n")).where("n > 1").select("rkey", "tkey").join(dropped, ["rkey", "tkey"], "left_anti"))
-    if again.limit(1).count():  # rows repeated with doc_id and text: one of each stays
-        once = out.join(again, ["rkey", "tkey"], "left_semi").dropDuplicates(["rkey", "tkey"])
-        out = out.join(again, ["rkey", "tkey"], "left_anti").unionByName(once)
+    dropped, n = cut_counting(dropped)
+    names = [fresh(docs.columns, "rkey"), fresh(docs.columns, "tkey")]
+    out = row_keys(docs, *names).join(limited(dropped.toDF(*names), n, p.broadcast_rows), names, "left_anti")
+    again, n = cut_counting(rows.where("key is not null").groupBy("rkey", "tkey").agg(F.count("*").alias("n")).where("n > 1").select("rkey", "tkey").join(dropped, ["rkey", "tkey"], "left_anti"))
+    if n:  # rows repeated with doc_id and text: one of each stays
+        again = again.toDF(*names)
+        once = out.join(again, names, "left_semi").dropDuplicates(names)
+        out = out.join(again, names, "left_anti").unionByName(once)
     return out.select(*docs.columns)

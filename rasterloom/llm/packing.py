@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rasterloom.llm.common import emit, slices, strings
+from rasterloom.llm.common import emit, held, in_arrow, small, strings
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("segment", pa.int32()), ("loss_tokens", pa.int64())])
@@ -37,9 +37,6 @@ class Limits:
     pool: int = 128
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str):
     """Function from texts to their ids (little-endian unsigned 32-bit) by the vocabulary file at ``path``.
 
@@ -48,8 +45,6 @@ def encoder(path: str):
     both must agree, else the tokenizers library does all the work. Strings of
     special tokens in a text are ordinary text.
     """
-    if path in _encoders:
-        return _encoders[path]
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,9 +52,13 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    slow = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+    def slow(texts: list[str]) -> list[bytes]:
+        plain = plains.setdefault(path, Tokenizer.from_file(path))
+        plain.encode_special_tokens = True
+        return [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+    plains: dict = {}
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     known = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -67,19 +66,16 @@ def encoder(path: str):
     special = {x["content"] for x in model["added_tokens"]}
     ranks = {bytes(shown[c] for c in w): i for w, i in model["model"]["vocab"].items() if w not in special}
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-    proved = [False]
+    agree: list[bool] = []
 
     def encode(texts: list[str]) -> list[bytes]:
-        out = [fast(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
-        if not proved[0]:
-            sample = texts[:8]
-            if slow(sample) != out[: len(sample)]:
-                _encoders[path] = slow
-                return slow(texts)
-            proved[0] = True
-        return out
+        out = [fast(t, disallowed_special=()).astype("<u4").tobytes() for t in texts] if agree in ([], [True]) else []
+        if not agree:
+            agree.append(slow(texts[:8]) == out[:8])
+            if agree[0]:
+                plains.clear()
+        return out if agree[0] else slow(texts)
 
-    _encoders[path] = encode
     return encode
 
 
@@ -158,14 +154,12 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, end = encoder(tokenizer), Packer(limits, TaskContext.get().partitionId() << 33), np.uint32(end_id).tobytes()
-        for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), strings(b.column("text"))
-            for s in slices(texts):
-                for doc, tokens in zip(ids[s], encode(texts[s]), strict=True):
-                    packer.add(doc, tokens + end)
-                yield from emit(ARROW, packer.taken())
+        encode, packer, end = held(tokenizer, lambda: encoder(tokenizer)), Packer(limits, TaskContext.get().partitionId() << 33), np.uint32(end_id).tobytes()
+        for b in small(batches):
+            for doc, tokens in zip(b.column("doc_id").to_pylist(), encode(strings(b.column("text"))), strict=True):
+                packer.add(doc, tokens + end)
+            yield from emit(ARROW, packer.taken())
         packer.finish()
         yield from emit(ARROW, packer.taken())
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return in_arrow(docs.select("doc_id", "text"), run, SCHEMA)
