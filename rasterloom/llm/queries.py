@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import decontaminate, exact_substrings, html_text, language_id, lm_score, near_dup, packing, sharding, topk, url_filter
+from rasterloom.llm import decontaminate, exact_substrings, html_text, language_id, lm_score, near_dup, oracle, packing, sharding, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def op3_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"))
+    return url_filter.judge(_table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,23 +66,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_html_text, op3_exact_substrings, op4_url_filter, op5_lm_score, op6_sharding, op7_topk_search, op8_decontamination, op9_packing, op10_near_dup)}
 
 
-OP7_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
-), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-  FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk_search": OP7_SQL}
+    return {"op3_exact_substrings": oracle.OP3, "op4_url_filter": oracle.op4(4), "op7_topk_search": oracle.OP7, "op8_decontamination": oracle.OP8, "op10_near_dup": oracle.OP10}
