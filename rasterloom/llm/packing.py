@@ -5,8 +5,8 @@ loss-bearing tokens. The dot-product heuristic places examples: for an open
 sequence, the waiting example whose demand vector has the largest dot product
 with the sequence's remaining capacity, each resource weighted by its total
 demand, goes next. Where cutting is allowed, the rest of a sequence that no
-whole example fills takes the head of one, so that only the last sequence of a
-partition is padded.
+whole example fills takes the head of one; what is left at a partition's end
+goes to sequences as long as powers of two, so that hardly any is padded.
 """
 
 from __future__ import annotations
@@ -84,7 +84,6 @@ class Packer:
 
     def __init__(self, limits: Limits, prefix: int) -> None:
         self.limits, self.next, self.prefix = limits, 0, prefix
-        self.cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
         self.waiting: list[tuple] = []  # (doc_id, ids as bytes, start, total)
         self.rows: list[tuple] = []
 
@@ -108,11 +107,12 @@ class Packer:
         if example:
             self.waiting.append(example)
             while len(self.waiting) >= self.limits.pool:
-                self.fill()
+                self.fill(self.limits.tokens)
 
-    def fill(self) -> None:
+    def fill(self, tokens: int) -> None:
         """One sequence: whole examples by the dot-product rule, then the head of one more."""
-        need = np.array([self.need(x) for x in self.waiting], float) / self.cap
+        cap = np.array([tokens, self.limits.segments, self.limits.loss_tokens], float)
+        need = np.array([self.need(x) for x in self.waiting], float) / cap
         weight = need.sum(0) / len(need)
         free, left, offset, segment = np.ones(3), np.ones(len(need), bool), 0, 0
         while True:
@@ -124,7 +124,7 @@ class Packer:
             free, offset, segment = free - need[best], offset + length, segment + 1
             left[best] = False
         rest = [x for x, stays in zip(self.waiting, left, strict=True) if stays]
-        room = min(self.limits.tokens - offset, round(free[2] * self.cap[2]) + 1)
+        room = min(tokens - offset, round(free[2] * cap[2]) + 1)
         if rest and room > 0 and segment < self.limits.segments:
             at = max(range(len(rest)), key=lambda i: len(rest[i][1]))
             tail = self.put(rest[at], room, offset, segment)
@@ -133,8 +133,10 @@ class Packer:
         self.next += 1
 
     def finish(self) -> None:
+        """The last sequences are powers of two long, which need no padding."""
         while self.waiting:
-            self.fill()
+            left = sum(len(x[1]) // 4 for x in self.waiting)
+            self.fill(self.limits.tokens if left >= self.limits.tokens else 1 << (left.bit_length() - 1))
 
     def taken(self) -> dict:
         out = dict(zip(ARROW.names, zip(*self.rows, strict=True), strict=True)) if self.rows else {n: [] for n in ARROW.names}
