@@ -203,8 +203,9 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Rows of ``docs``, all columns, without those whose class has an earlier row (by doc_id, then by key)."""
     rows, labels = classes(docs, p)
     named = rows.where("key is not null").join(labels.select("key", "label"), "key")
-    first = named.groupBy("label").agg(F.min(F.struct("doc_id", "rkey", "tkey")).alias("first"))
-    dropped = named.join(first, "label").where(F.struct("doc_id", "rkey", "tkey") != F.col("first")).select("rkey", "tkey").distinct()
+    first = named.groupBy("label").agg(F.min(F.struct("doc_id", "rkey", "tkey")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
+    first, n = cut_counting(first)
+    dropped = named.join(limited(first, n, p.broadcast_rows), "label").where(F.struct("doc_id", "rkey", "tkey") != F.col("first")).select("rkey", "tkey").distinct()
     dropped, n = cut_counting(dropped)
     names = [fresh(docs.columns, "rkey"), fresh(docs.columns, "tkey")]
     out = row_keys(docs, *names).join(limited(dropped.toDF(*names), n, p.broadcast_rows), names, "left_anti")
