@@ -21,8 +21,8 @@ SHIFTS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 STATS = pa.schema([("image_id", pa.int64()), ("k", pa.int32()), ("comp", pa.int32()), ("birth_k", pa.int32()), ("area", pa.int64()), ("per", pa.int64()), ("chi", pa.int64())])
 STATS_DDL = "image_id long, k int, comp int, birth_k int, area long, per long, chi long"
-BIRTHS = pa.schema([("image_id", pa.int64()), ("rep", pa.int32()), ("birth_k", pa.int32()), ("k", pa.int32()), ("comp", pa.int32())])
-BIRTHS_DDL = "image_id long, rep int, birth_k int, k int, comp int"
+BIRTHS = pa.schema([("image_id", pa.int64()), ("rep", pa.int32()), ("birth_k", pa.int32()), ("k", pa.int32()), ("comp", pa.int32()), ("area", pa.int64()), ("per", pa.int64()), ("chi", pa.int64())])
+BIRTHS_DDL = "image_id long, rep int, birth_k int, k int, comp int, area long, per long, chi long"
 LABELS = pa.schema([("image_id", pa.int64()), ("k", pa.int32()), ("pix", pa.int32()), ("comp", pa.int32())])
 LABELS_DDL = "image_id long, k int, pix int, comp int"
 
@@ -91,16 +91,20 @@ def _table(schema: pa.Schema, parts: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[f.name] for p in parts]), f.type) for f in schema], schema=schema)
 
 
+def _measured(sweep: Sweep) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(k, comp, birth_k, area, per and chi of its components) of each level."""
+    for k, inside, label in sweep:
+        comp, of = np.unique(label, return_inverse=True)
+        per, chi = sweep.shares(k, inside)
+        birth = np.full(len(comp), len(sweep.levels))
+        np.minimum.at(birth, of, sweep.k0[inside])
+        add = lambda x, of=of, n=len(comp): np.bincount(of, weights=x, minlength=n).astype(np.int64)
+        yield k, {"comp": comp, "birth_k": birth, "area": np.bincount(of, minlength=len(comp)), "per": add(per), "chi": add(chi)}
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for image, sweep in _fields(batches):
-        parts = []
-        for k, inside, label in sweep:
-            comp, of = np.unique(label, return_inverse=True)
-            per, chi = sweep.shares(k, inside)
-            birth = np.full(len(comp), len(sweep.levels))
-            np.minimum.at(birth, of, sweep.k0[inside])
-            add = lambda x, of=of, comp=comp: np.bincount(of, weights=x, minlength=len(comp)).astype(np.int64)
-            parts.append({"image_id": np.full(len(comp), image), "k": np.full(len(comp), k), "comp": comp, "birth_k": birth, "area": np.bincount(of, minlength=len(comp)), "per": add(per), "chi": add(chi)})
+        parts = [{"image_id": np.full(len(found["comp"]), image), "k": np.full(len(found["comp"]), k), **found} for k, found in _measured(sweep)]
         if parts:
             yield _table(STATS, parts)
 
@@ -108,12 +112,11 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _births(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for image, sweep in _fields(batches):
         parts, rep, born = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for k, inside, label in sweep:
-            comp, of = np.unique(label, return_inverse=True)
-            birth = np.full(len(comp), len(sweep.levels))
-            np.minimum.at(birth, of, sweep.k0[inside])
-            rep, born = np.append(rep, comp[birth == k]), np.append(born, np.full(int((birth == k).sum()), k))
-            parts.append({"image_id": np.full(len(rep), image), "rep": rep, "birth_k": born, "k": np.full(len(rep), k), "comp": sweep.parent[rep]})
+        for k, found in _measured(sweep):
+            new = found["comp"][found["birth_k"] == k]
+            rep, born = np.append(rep, new), np.append(born, np.full(len(new), k))
+            at = np.searchsorted(found["comp"], sweep.parent[rep])
+            parts.append({"image_id": np.full(len(rep), image), "rep": rep, "birth_k": born, "k": np.full(len(rep), k), **{c: found[c][at] for c in ("comp", "area", "per", "chi")}})
         if parts:
             yield _table(BIRTHS, parts)
 
@@ -138,7 +141,7 @@ def component_stats(fields: DataFrame) -> DataFrame:
 
 
 def births(fields: DataFrame) -> DataFrame:
-    """image_id, rep, birth_k, k, comp: where the first pixel of each new component is at every level from its birth on."""
+    """image_id, rep, birth_k, k, comp, area, per, chi: the component that holds each birth's first pixel, at every level from then on."""
     return _needed(fields).mapInArrow(_births, BIRTHS_DDL)
 
 

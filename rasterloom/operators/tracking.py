@@ -19,9 +19,8 @@ from rasterloom.operators.components import births, component_stats
 def occurrences(fields: DataFrame) -> DataFrame:
     """image_id, gem, rep, birth_k, k, comp, per, area, chi, n_levels: each birth in the component that holds it, at every level."""
     number = F.dense_rank().over(Window.partitionBy("image_id").orderBy("birth_k", "rep"))
-    stats = component_stats(fields).drop("birth_k")
     levels = fields.select("image_id", F.size("levels").alias("n_levels"))
-    return births(fields).withColumn("gem", number).join(stats, ["image_id", "k", "comp"]).join(levels, "image_id")
+    return births(fields).withColumn("gem", number).join(levels, "image_id")
 
 
 def champions(occ: DataFrame, rule: str = "id") -> DataFrame:
