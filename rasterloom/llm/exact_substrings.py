@@ -47,7 +47,7 @@ class Params:
     bucket_contexts: int = 10_000
     #: Bytes that are hashed at once.
     piece: int = 250_000
-    #: Rows of 8 bytes in a broadcast side at most.
+    #: Rows of a broadcast side at most (about 100 bytes each in memory).
     broadcast_rows: int = 2_000_000
 
 
