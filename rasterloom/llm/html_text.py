@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import cut, emit, in_arrow, small
+from rasterloom.llm.common import cut, cut_counting, emit, in_arrow, limited, small
 
 # Element names and words of classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -180,6 +180,8 @@ class Params:
     importance: float = 0.3
     pages: int = 8
     attenuation: float = 0.9
+    #: Pages with noisy branches whose lists are broadcast at most; more are joined by shuffle.
+    broadcast_pages: int = 50_000
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,4 +225,5 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     importance = (1 - weight) * F.least(F.col("h") / F.log("pages"), F.lit(1.0)) + weight * (1 - F.log("n") / F.log("pages"))
     noisy = spread.where(importance <= p.importance).select("feature").distinct()
     found = nodes.join(noisy, "feature", "left_semi").groupBy("pkey").agg(F.collect_set("feature").alias("noisy"))
-    return in_arrow(keyed.join(found, "pkey", "left").select("page_id", "url", "html", "host", "noisy"), _extract, "page_id long, url string, text string, n_chars long")
+    found, n = cut_counting(found)
+    return in_arrow(keyed.join(limited(found, n, p.broadcast_pages), "pkey", "left").select("page_id", "url", "html", "host", "noisy"), _extract, "page_id long, url string, text string, n_chars long")
