@@ -9,8 +9,10 @@ probability equal to their weighted Jaccard similarity. Only about
 
 Equal weighted sets are merged first. Bands of coordinates then give buckets;
 the members of a bucket are linked to its centre (the member that shares most
-buckets with others), never all to all, and each link is verified by the exact
-weighted Jaccard similarity of the two whole texts.
+buckets with others), and each link is verified by the exact weighted Jaccard
+similarity of the two whole texts. Members of a bucket that are in different
+classes after that are compared pair by pair, in blocks, so that no pair that
+shares a bucket is left out.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ class Params:
     small: int = 4
     #: Further centres that are tried in buckets whose members aren't in one class yet.
     further: int = 2
+    #: Members of a block, near enough, where what is left of a large bucket is compared pair by pair.
+    block: int = 128
     #: Rows of a broadcast side at most (24 bytes each).
     broadcast_rows: int = 300_000
 
@@ -130,9 +134,7 @@ def row_keys(docs: DataFrame, rkey: str = "rkey", tkey: str = "tkey") -> DataFra
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, int]:
     """Those of the pairs (a, b) whose texts are similar, and how many they are."""
-    ends, n = cut_counting(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "rkey", "tkey"), "key"))
-    text = row_keys(docs.select("doc_id", "text")).join(limited(ends, n, p.broadcast_rows), ["rkey", "tkey"]).select("key", "text")
-    text = cut(text)  # a repeated row repeats its links, no more
+    text = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")), docs, sets, p)  # a repeated row repeats its links, no more
     side = lambda c: text.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -145,6 +147,109 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) ->
     return cut_counting(in_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), check, "a binary, b binary"))
 
 
+def _texts(keys: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """key, text of the sets named in ``keys``; a repeated row gives its text again."""
+    ends, n = cut_counting(keys.distinct().join(sets.select("key", "rkey", "tkey"), "key"))
+    return cut(row_keys(docs.select("doc_id", "text")).join(limited(ends, n, p.broadcast_rows), ["rkey", "tkey"]).select("key", "text"))
+
+
+def similar_pairs(cell: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, least: float) -> np.ndarray:
+    """Those pairs of texts that ``wanted`` (a square matrix) marks and whose exact weighted Jaccard similarity is ``least`` or more."""
+    n, weight = len(bounds) - 1, np.diff(bounds)
+    owner = np.repeat(np.arange(n), weight)
+    order = np.argsort(cell, kind="stable")
+    new = np.ones(len(cell), bool)
+    new[1:] = cell[order][1:] != cell[order][:-1]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column, minlength=1)[column] > 1  # a cell of one text is in no intersection
+    row, column = owner[order][often], column[often]
+    _, column = np.unique(column, return_inverse=True)
+    both = np.zeros((n, n), np.float32)
+    step = 4096
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + step, step))
+    for k in range(len(edges) - 1):
+        part = np.zeros((n, step), np.float32)
+        part[row[edges[k] : edges[k + 1]], column[edges[k] : edges[k + 1]] - k * step] = 1
+        both += part @ part.T
+    found = both / np.maximum(1, weight[:, None] + weight[None, :] - both.astype(float))
+    return np.argwhere(wanted & (found >= least - 1e-12))
+
+
+LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _block(table: pa.Table, p: Params) -> pa.Table:
+    """Links between members of two blocks (or within one) of a bucket that are in different classes; one for each two classes that it joins, at most."""
+    key, label = table.column("key").to_pylist(), table.column("label").to_pylist()
+    number: dict = {}
+    group = np.array([number.setdefault(x, len(number)) for x in label])
+    own, bucket = table.column("own").to_numpy(), table.column("bucket")[0].as_py()
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    wanted = np.triu(group[:, None] != group[None, :])
+    if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+        wanted &= own[:, None] != own[None, :]
+    for t in range(p.bands):  # a pair is compared in the first bucket that it shares
+        mine = bands[:, t] == bucket
+        if mine.all():
+            break
+        wanted &= bands[:, t][:, None] != bands[:, t][None, :]
+    need = np.flatnonzero(wanted.any(0) | wanted.any(1))
+    out: list = []
+    if len(need):
+        parts = [cells(strings(b.column("text")), p.width) for b in small(table.take(pa.array(need)).combine_chunks().to_batches())]
+        weight = np.concatenate([np.diff(b) for _, b in parts])
+        bounds = np.concatenate([[0], np.cumsum(weight)])
+        to = list(range(len(number)))
+
+        def root(x: int) -> int:
+            while to[x] != x:
+                to[x] = to[to[x]]
+                x = to[x]
+            return x
+
+        for x, y in need[similar_pairs(np.concatenate([c for c, _ in parts]), bounds, wanted[np.ix_(need, need)], p.similarity)]:
+            a, b = root(group[x]), root(group[y])
+            if a != b:
+                to[a] = b
+                out.append((min(key[x], key[y]), max(key[x], key[y])))
+    return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=LINKS)
+
+
+def _rest(marked: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, int]:
+    """Links between members of a large bucket (bucket, key, label) that are in different classes, and how many they are.
+
+    The members outside a bucket's largest class are dealt into blocks, and so
+    are those in it; each block of the former meets every block of both.
+    """
+    per = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    open_ = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("top"), F.sum("n").alias("n")).where(F.col("n") > F.col("top"))
+    blocks = lambda n: F.ceil(n / F.lit(p.block)).cast("long")
+    open_, n = cut_counting(open_.select("bucket", "most", blocks(F.col("n") - F.col("top")).alias("others"), blocks(F.col("top")).alias("mosts")))
+    if not n:
+        return open_, 0
+    deal = lambda n: F.pmod(F.xxhash64("key", "bucket"), F.col(n))
+    rows = marked.join(limited(open_, n, p.broadcast_rows), "bucket")
+    rows = rows.withColumn("own", F.when(F.col("label") == F.col("most"), -1 - deal("mosts")).otherwise(deal("others")))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    own = F.col("own")
+    inner = F.concat(each("others", lambda x: pair(F.least(own, x), F.greatest(own, x))), each("mosts", lambda x: pair(-1 - x, own)))
+    at = F.when(own < 0, each("others", lambda x: pair(own, x))).otherwise(inner)
+    rows = cut(rows.select("bucket", "key", "label", "own", F.explode(at).alias("at")).select("bucket", "key", "label", "own", "at.*"))
+    text = _texts(rows.select("key"), docs, sets, p).join(sets.select("key", "bands"), "key")
+    return cut_counting(rows.join(text, "key").groupBy("bucket", "i", "j").applyInArrow(lambda t: _block(t, p), "a binary, b binary"))
+
+
+def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` once the links ``new`` are added: the classes that they join are components of the classes."""
+    ends = new.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), "e.b")
+    side = ends.join(labels, "node", "left").select("node", "b", F.coalesce("label", "node").alias("la"))
+    side = side.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.col("la").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = components(side.where(F.col("a") != F.col("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    every = labels.union(joined.select(F.col("label").alias("node"), "label")).distinct()
+    return cut(every.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
 def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): each row's rkey, tkey, doc_id and set key, and each set key's class."""
     rows = cut(in_arrow(row_keys(docs.select("doc_id", "text")), lambda it: _sketch(it, p), "doc_id long, rkey long, tkey long, key binary, bands array<long>"))
@@ -164,20 +269,19 @@ def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
     labels = components(links)
     # Buckets that still hold several classes try further centres on the members of other classes than the centre's.
     marked = cut(hits.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
-    drawn = F.array(*[F.max_by(F.struct("key", "label"), F.xxhash64(F.lit(turn), "key")) for turn in range(p.further)])
+    drawn = F.array(*[F.max_by(F.struct("key", "label"), F.xxhash64(F.lit(turn), "key", "bucket")) for turn in range(p.further)])
     open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), drawn.alias("c")).where(F.col("low") != F.col("high"))
     open_, n = cut_counting(open_.select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("other")))
     more = marked.join(limited(open_, n, p.broadcast_rows), "bucket").where(F.col("label") != F.col("other")).select(low, high)
     more, n = cut_counting(more.distinct().join(tried, ["a", "b"], "left_anti"))
     new, n = _verified(more, docs, sets, p) if n else (more, 0)
     if n:
-        # the classes that the new links join are components of the classes
-        ends = new.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), "e.b")
-        side = ends.join(labels, "node", "left").select("node", "b", F.coalesce("label", "node").alias("la"))
-        side = side.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.col("la").alias("a"), F.coalesce("lb", "b").alias("b"))
-        joined = components(side.where(F.col("a") != F.col("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        every = labels.union(joined.select(F.col("label").alias("node"), "label")).distinct()
-        labels = cut(every.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        labels = _joined(labels, new)
+    # What is still in different classes in a large bucket is compared pair by pair.
+    marked = cut(large.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    last, n = _rest(marked, docs, sets, p)
+    if n:
+        labels = _joined(labels, last)
     named = sets.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return rows.drop("bands"), cut(named.join(least, "label").select("key", "class_id", "label"))

@@ -456,3 +456,17 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
         rows.append((i, " ".join(text)))
     found = near_dup.near_duplicates(docs(spark, [*rows, (1000, " ".join(base))])).groupBy("class_id").count().collect()
     assert max(r["count"] for r in found) >= 398
+
+
+def test_pairs_in_a_large_family_are_found(spark):
+    rng = np.random.default_rng(11)
+    part = lambda n: " ".join(f"x{x}" for x in rng.integers(0, 10**9, n))
+    template, rows = part(800), []
+    for i in range(150):
+        shared = f"{template} {part(18)}"
+        rows += [(2 * i, f"{shared} {part(90)}"), (2 * i + 1, f"{shared} {part(90)}")]
+    found = {}
+    for r in near_dup.near_duplicates(docs(spark, rows)).collect():
+        found.setdefault(r.class_id, []).append(r.doc_id)
+    assert sorted(sorted(g) for g in found.values()) == brute_classes(rows)
+    assert len(found) == 150
