@@ -3,7 +3,9 @@
 A small bidirectional window network, trained in numpy, predicts every token
 from the tokens on both sides of it; a document's score is the sum of the
 conditional log-probabilities of all its tokens. Tokens are words: the most
-frequent ones of the corpus have an id each, all others share hashed ids. The
+frequent ones of the corpus have an id each, all others share hashed ids; the
+probability of such a word is its id's times the word's share of the id in the
+smoothed counts of the whole corpus, in which an unseen word counts one. The
 softmax has two levels, a class and a member of it, so that a token costs
 2 * 32 outputs and not 1024.
 
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import U64, emit, in_arrow, mix, salt, signed, small, strings, words
+from rasterloom.llm.common import U64, cut, cut_counting, emit, in_arrow, limited, mix, salt, signed, small, strings, words
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,8 @@ class Params:
     batch: int = 512
     step: float = 0.05
     seed: int = 7
+    #: Rows of a broadcast side at most (16 bytes each).
+    broadcast_rows: int = 300_000
 
     @property
     def size(self) -> int:
@@ -75,6 +79,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(COUNTS, {"word": signed(value), "n": n})
 
 
+def _buckets(word: np.ndarray, p: Params) -> np.ndarray:
+    return (mix(word) % U64(p.hashed)).astype(np.int64)
+
+
+TOTALS = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64())])
+
+
+def _totals(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    n, kinds = np.zeros(p.hashed, np.int64), np.zeros(p.hashed, np.int64)
+    for b in batches:
+        bucket = _buckets(b.column("word").to_numpy().view(U64), p)
+        np.add.at(n, bucket, b.column("n").to_numpy())
+        kinds += np.bincount(bucket, minlength=p.hashed)
+    yield from emit(TOTALS, {"bucket": np.arange(p.hashed), "n": n, "kinds": kinds})
+
+
+@dataclass(frozen=True)
+class Model:
+    vocabulary: np.ndarray  # word hashes by rank
+    flat: np.ndarray
+    unseen: np.ndarray  # log share that an unseen word has of each hashed id
+    counts: DataFrame  # word, n: of the whole corpus
+    kinds: int  # rows of counts
+
+
 class Network:
     """Parameters as one flat array, with views of its parts."""
 
@@ -105,7 +134,7 @@ class Network:
 
     def ids(self, word: np.ndarray) -> np.ndarray:
         """Token ids of word hashes; id ``size`` is the place beyond a text's ends."""
-        hashed = (self.p.size - self.p.hashed) + (mix(word) % U64(self.p.hashed)).astype(np.int64)
+        hashed = (self.p.size - self.p.hashed) + _buckets(word, self.p)
         if not len(self.vocabulary):
             return hashed
         at = np.minimum(np.searchsorted(self.vocabulary, word, sorter=self.order), len(self.vocabulary) - 1)
@@ -239,16 +268,22 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"seen": [total], "flat": [flat.astype(np.float32).tobytes()]})
 
 
-def train(docs: DataFrame, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary (word hashes by rank) and parameters, learnt from the whole of ``docs`` (column text)."""
+def train(docs: DataFrame, p: Params = Params()) -> Model:
+    """Vocabulary, parameters and word counts, learnt from the whole of ``docs`` (column text)."""
     text = docs.select("text")
-    counts = in_arrow(text, _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts, kinds = cut_counting(in_arrow(text, _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.desc("n"), "word").limit(p.size - p.hashed).collect()
     vocabulary = np.array([r.word for r in top], np.int64).view(U64)
     count = np.zeros(p.size)
     count[: len(top)] = [r.n for r in top]
-    rest = (counts.agg(F.sum("n")).first()[0] or 0) - count.sum()
-    count[-p.hashed :] = rest / p.hashed
+    n, of = np.zeros(p.hashed), np.zeros(p.hashed)
+    for x in in_arrow(counts, lambda it: _totals(it, p), "bucket long, n long, kinds long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        n[x.bucket], of[x.bucket] = x.n, x.kinds
+    known = _buckets(vocabulary, p)
+    n -= np.bincount(known, weights=count[: len(top)], minlength=p.hashed)
+    of -= np.bincount(known, minlength=p.hashed)
+    count[-p.hashed :] = n
+    unseen = -np.log(n + of + 1)
     flat = Network.fresh(p, vocabulary, count).flat
     sc = docs.sparkSession.sparkContext
     for turn in range(p.rounds):
@@ -258,30 +293,49 @@ def train(docs: DataFrame, p: Params = Params()) -> tuple[np.ndarray, np.ndarray
         means = states.groupBy((F.col("part") % groups).alias("g")).applyInPandas(lambda x: _average(x), "seen long, flat binary").collect()
         if means:
             flat = np.frombuffer(_average(pd.DataFrame({"seen": [m.seen for m in means], "flat": [bytes(m.flat) for m in means]})).flat[0], np.float32)
-    return vocabulary, flat
+    return Model(vocabulary, flat, unseen, counts, kinds)
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64()), ("perplexity", pa.float64())])
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Params = Params()) -> DataFrame:
+def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob, perplexity of each row (columns doc_id and text; others are ignored).
 
     A null text, or one without a word, has no token: log_prob is 0, the mean
     and the perplexity are null. Repeated rows are scored each; an empty table
     gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.flat, model.unseen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(p, *shared.value)
+        vocabulary, flat, unseen = shared.value
+        net, first = Network(p, vocabulary, flat), p.size - p.hashed
         for b in small(batches):
             word, bounds = words(strings(b.column("text")))
-            total = np.concatenate([[0.0], np.cumsum(net.log_prob(net.ids(word), bounds))])
+            ids = net.ids(word)
+            hashed = np.flatnonzero(ids >= first)
+            each = net.log_prob(ids, bounds)
+            each[hashed] += unseen[ids[hashed] - first]
+            total = np.concatenate([[0.0], np.cumsum(each)])
             n = np.diff(bounds)
             sums = np.where(n > 0, total[bounds[1:]] - total[bounds[:-1]], 0.0)
-            mean = sums / np.maximum(n, 1)
-            empty = n == 0
-            yield from emit(SCORES, {"doc_id": b.column("doc_id"), "n_tokens": n, "log_prob": sums, "mean_log_prob": pa.array(mean, mask=empty), "perplexity": pa.array(np.exp(-mean), mask=empty)})
-
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double, perplexity double")
+            # the words with hashed ids, once for each text, for what their counts add
+            text = np.repeat(np.arange(len(n)), n)[hashed]
+            order = np.lexsort((word[hashed], text))
+            text, other = text[order], word[hashed][order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (other[1:] != other[:-1])
+            begin = np.flatnonzero(new)
+            ends = np.searchsorted(text[begin], np.arange(len(n) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (signed(other[begin]), np.diff(begin, append=len(text)).astype(np.int32))]
+            yield from emit(SCORES, {"doc_id": b.column("doc_id"), "n_tokens": n, "log_prob": sums, "words": lists[0], "times": lists[1]})
+
+    rows = in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, log_prob double, words array<long>, times array<int>")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    held = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times")
+    more = held.join(limited(model.counts, model.kinds, p.broadcast_rows), "word").groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n") + 1.0)).alias("more"))
+    sums = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    rows = rows.drop("words", "times").join(more, "row", "left").select("doc_id", "n_tokens", sums.alias("log_prob"))
+    return rows.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))

@@ -263,6 +263,23 @@ def test_lm_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_words_outside_the_vocabulary_have_their_own_probability(spark):
+    often, rare = [f"often{i}" for i in range(1100)], [f"rare{i}" for i in range(1000)]
+    corpus = docs(spark, [(i, " ".join(often)) for i in range(40)] + [(100, " ".join(rare))])
+    p = lm_score.Params(rounds=0)
+    model = lm_score.train(corpus, p)
+    asked = [*often, *rare, *(f"unseen{i}" for i in range(50))]
+    rows = [*enumerate(asked), (9000, " ".join(asked[1090:])), (9000, " ".join(asked[1090:]))]
+    found = lm_score.score(docs(spark, rows), model, p).collect()
+    one = {asked[r.doc_id]: np.exp(r.log_prob) for r in found if r.doc_id < 9000}
+    assert 0.9 < sum(one[w] for w in often + rare) <= 1
+    low = max(one[w] for w in rare)
+    assert min(one[w] for w in often) > 5 * low
+    assert max(one[w] for w in asked[-50:]) < low
+    long = [r for r in found if r.doc_id == 9000]
+    assert len(long) == 2 and all(r.log_prob == pytest.approx(sum(np.log(one[w]) for w in asked[1090:])) for r in long)
+
+
 def test_lm_gradient_points_downhill():
     p = lm_score.Params(step=0.01)
     rng = np.random.default_rng(1)
