@@ -9,8 +9,9 @@ smoothed counts of the whole corpus, in which an unseen word counts one. The
 softmax has two levels, a class and a member of it, so that a token costs
 2 * 32 outputs and not 1024.
 
-Word counts cover the whole corpus. Training takes every ``rate``-th token of
-every document in each round: each task runs stochastic gradient descent over
+Word counts cover the whole corpus. Training takes a ``rate``-th of the tokens
+in each round, another one each time, so that ``rate`` rounds train on every
+token of every document once: each task runs stochastic gradient descent over
 its own documents from shared parameters, and the results, weighted by what
 they saw, are averaged in two steps, so what is gathered grows with the input
 while no single task or the driver gets more than about the square root of the
@@ -41,7 +42,7 @@ class Params:
     reach: int = 2  # tokens on each side
     width: int = 16
     hidden: int = 32
-    rate: int = 16
+    rate: int = 2
     rounds: int = 2
     batch: int = 512
     step: float = 0.05
@@ -229,6 +230,15 @@ class Network:
         self.embed[p.size] = 0
 
 
+def picked(word: np.ndarray, bounds: np.ndarray, turn: int, p: Params) -> np.ndarray:
+    """Tokens that a round trains on; those of ``rate`` rounds are all tokens, once each."""
+    n = np.diff(bounds)
+    place = np.arange(len(word)) - np.repeat(bounds[:-1], n)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(word))])
+    text = np.repeat(sums[bounds[1:]] - sums[bounds[:-1]], n)  # so that what many texts have at one place isn't picked alike
+    return np.flatnonzero(mix(word + mix(text + salt(1) * place.astype(U64))) % U64(p.rate) == turn % p.rate)
+
+
 STATE = pa.schema([("part", pa.int64()), ("seen", pa.int64()), ("flat", pa.binary())])
 
 
@@ -251,8 +261,7 @@ def _descend(batches: Iterator[pa.RecordBatch], shared, p: Params, turn: int) ->
     for b in small(batches):
         word, bounds = words(strings(b.column("text")))
         ids = net.ids(word)
-        place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
-        pick = np.flatnonzero(mix(word + salt(turn + 1) * place.astype(U64)) % U64(p.rate) == 0)
+        pick = picked(word, bounds, turn, p)
         near.append(net.around(ids, bounds)[:, pick]), want.append(ids[pick])
         seen += len(pick)
         train(False)

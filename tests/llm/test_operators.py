@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,19 @@ def test_lm_words_outside_the_vocabulary_have_their_own_probability(spark):
     assert len(long) == 2 and all(r.log_prob == pytest.approx(sum(np.log(one[w]) for w in asked[1090:])) for r in long)
 
 
+def test_lm_trains_on_every_token_once(monkeypatch):
+    p, learnt = lm_score.Params(), []
+    texts = [f"head line {prose(i, 40 + i)}" for i in range(30)] + ["", "one", "one"]
+    vocabulary = np.unique(words(texts)[0])[:900]
+    monkeypatch.setattr(lm_score.Network, "learn", lambda net, near, ids: learnt.extend(ids.tolist()))
+    monkeypatch.setattr(lm_score.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    net = lm_score.Network.fresh(p, vocabulary, np.ones(p.size))
+    shared = type("Shared", (), {"value": (vocabulary, net.flat)})()
+    for turn in range(p.rounds):
+        list(lm_score._descend([pa.RecordBatch.from_pydict({"text": texts})], shared, p, turn))
+    assert sorted(learnt) == sorted(net.ids(words(texts)[0]).tolist())
+
+
 def test_lm_gradient_points_downhill():
     p = lm_score.Params(step=0.01)
     rng = np.random.default_rng(1)
