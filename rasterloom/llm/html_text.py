@@ -43,7 +43,8 @@ WORDS = frozenset(
 OUTER_WORDS = frozenset("header masthead".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+READ = frozenset("class id role hidden aria-hidden".split())
 WORD = re.compile(r"[a-z]+")
 
 
@@ -54,6 +55,7 @@ class Element:
     parent: int
     main: bool
     dropped: bool
+    named: bool = False  # dropped for its class or id, or as a form, alone
     style: int = 0
     content: int = 0
 
@@ -112,8 +114,16 @@ def parse(html: str) -> tuple[list[Element], list[tuple[int, str]]]:
                 if have in SCOPE:
                     break
         words, named, hidden = set(), "", False
+        if tag in ("main", "article"):
+            # what holds the main element isn't dropped for its name, nor a form that holds an article
+            for i in stack:
+                if elements[i].named and (tag == "main" or elements[i].tag == "form"):
+                    elements[i].dropped = False
         for name, value in ATTRIBUTE.findall(m[3]) if m[3] else ():
-            name, value = name.lower(), value.strip("\"'").lower()
+            name = name.lower()
+            if name not in READ:
+                continue
+            value = value.strip("\"'").lower()
             if name == "role":
                 hidden |= value in ROLES
             elif name == "hidden" or name == "aria-hidden":
@@ -122,12 +132,13 @@ def parse(html: str) -> tuple[list[Element], list[tuple[int, str]]]:
                 words.update(WORD.findall(value))
                 named += f".{value}" if name == "class" else ""
         up = elements[stack[-1]]
-        furniture = hidden or tag in FURNITURE or not words.isdisjoint(WORDS) or (not up.main and (tag == "header" or not words.isdisjoint(OUTER_WORDS)))
+        always = hidden or tag in FURNITURE and tag != "form"
+        furniture = always or tag == "form" or not words.isdisjoint(WORDS) or (not up.main and (tag == "header" or not words.isdisjoint(OUTER_WORDS)))
         label = f"{tag}{named}"
         up.style = xxhash.xxh64_intdigest(label, up.style)
         main = up.main or tag in ("article", "main") or "itemprop" in m[3] and "articleBody" in m[3]
         # body and html hold the article, whatever their class says
-        elements.append(Element(tag, xxhash.xxh64_intdigest(label, up.path), stack[-1], main, up.dropped or furniture and tag not in ("html", "body")))
+        elements.append(Element(tag, xxhash.xxh64_intdigest(label, up.path), stack[-1], main, (always if tag == "main" else furniture) and tag not in ("html", "body"), not always))
         stack.append(len(elements) - 1)
         if m[3].endswith("/") and tag not in INLINE and tag not in SCOPE:
             stack.pop()

@@ -123,6 +123,20 @@ def test_main_text(body, text):
     assert html_text.main_text(page(body), set(), "h") == text
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<article><p title='a hidden gem'>a</p><p data-x='1 class=ad'>b</p><p hidden>c</p></article>", "a\n\nb"),
+        ("<form id=aspnetForm><nav>n</nav><main><p>a</p><form><p>q</p></form></main></form>", "a"),
+        ("<form><article><p>a</p></article></form>", "a"),
+        ("<div class='layout has-sidebar'><main class='with-sidebar'><p>a</p></main><div class=sidebar>s</div></div>", "a"),
+        ("<p>t</p><section class=comments><article><p>c</p></article></section>", "t"),
+    ],
+)
+def test_names_do_not_drop_what_holds_the_main_element(body, text):
+    assert html_text.main_text(page(body), set(), "h") == text
+
+
 def test_repeated_branches_of_a_site_are_removed(spark):
     pages = [(i, f"http://s.example/{i}", page(f"<div class=c1><p>All rights of the house</p></div><div class=c2><p>{prose(i, 60)}</p></div>")) for i in range(30)]
     pages += [(100, "http://other.example/", page("<div class=c1><p>All rights of the house</p></div>")), (101, None, None), (102, "x", ""), (5, pages[5][1], pages[5][2])]
