@@ -2,24 +2,28 @@
 
 A byte is removed if a string of ``length`` bytes that covers it starts
 anywhere else too. Sorting every suffix of the corpus would move each byte
-hundreds of times, so the suffixes to be sorted are narrowed down first:
-
-1. Each window (string of ``length`` bytes) has an anchor, the smallest hash in
-   its first ``span`` places. Windows with the same anchor share a core, the
-   bytes from the anchor on that all of them hold. Equal windows have equal
-   cores; cores that occur once are dropped.
-2. Windows of one anchor together are a context. Equal contexts are counted,
-   and where there are two, all their windows are repeated.
-3. The other contexts' windows are suffixes to be sorted by leading tokens: core,
-   distance to the anchor, and a 128-bit fingerprint of the ``length`` bytes.
-   Sampled splitters range-partition them; each bucket sorts its own by
-   multikey quicksort and compares neighbours; equal suffixes at the edges of
-   buckets are compared across the boundary. The contexts of a core stay
-   together, and are taken apart in the bucket, unless the core is hot: then
-   its suffixes are split over buckets one by one.
-
-Fingerprints make two different strings of 400 bytes equal with a chance below
-1e-18 for 10^10 windows; nothing else is approximate.
+hundreds of times, so only suffixes at anchors are sorted, and only those that
+can have an equal:
+
+1. Equal texts are counted and one of each goes on; where there are several,
+   all their bytes are repeated.
+2. Each window (string of ``length`` bytes) has an anchor, the smallest hash in
+   its first ``span`` places. The windows with one anchor are a context: its
+   bytes reach from its first window's start to its last window's end. All hold
+   the core, the ``length - span + 1`` bytes from the anchor on. Equal windows
+   have equal cores; anchors whose core (by its hash) occurs once are dropped.
+   The hash only drops what has no equal: what is left is decided by its bytes.
+3. The suffixes at the anchors left are range-partitioned by leading tokens
+   (24 bytes, then the core) with sampled splitters. Each bucket orders its
+   suffixes by multikey quicksort over tokens of eight bytes, and the texts
+   before the anchors, read backwards, likewise. For each distance of a window
+   start before the anchor, neighbours with a long enough common prefix in both
+   orders are classes of equal windows.
+4. A bucket never has more than ``hot`` contexts of one core: those of a hotter
+   core are merged by content, and the windows of what occurs once are suffixes
+   of their own, range-partitioned by leading tokens and content one by one, so
+   that equal ones may lie in several buckets; those at the edges of buckets are
+   compared across the boundary. Here content is a 128-bit BLAKE2 digest.
 """
 
 from __future__ import annotations
@@ -33,62 +37,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import M3, U64, cut, cut_counting, emit, fresh, held, in_arrow, limited, mix, salt, shuffle_width, signed, small
+from rasterloom.llm.common import U64, cut, cut_counting, emit, fresh, held, in_arrow, limited, mix, salt, shuffle_width, signed, small
 
 LOW = U64(0xFFFFFFFF)
+#: In a list of starts: every window of the text is repeated.
+ALL = -1
 
 
 @dataclass(frozen=True)
 class Params:
     length: int = 400
     span: int = 128  # a power of two, 128 at most
-    #: Contexts of one core that a bucket takes apart itself; beyond, each suffix is dealt alone.
-    hot: int = 256
+    #: ``remove`` leaves runs of fewer words alone.
+    words: int = 0
+    #: Contexts of one core that a bucket takes at most; beyond, each window is dealt alone.
+    hot: int = 4096
     bucket_contexts: int = 10_000
     #: Bytes that are hashed at once.
     piece: int = 250_000
+    lead: int = 24
     #: Rows of a broadcast side at most (about 100 bytes each in memory).
-    broadcast_rows: int = 2_000_000
+    broadcast_rows: int = 200_000
 
+    @property
+    def core(self) -> int:
+        return self.length - self.span + 1
 
-# -- fingerprints of substrings
+
+# -- anchors
 
 
 class Prefix:
-    """Polynomial prefix hashes of a byte array: any substring's hash in constant time."""
+    """Polynomial prefix hashes of a byte array: any substring's hash in constant time. Equal strings have equal hashes."""
 
-    def __init__(self, data: np.ndarray, which: int) -> None:
+    def __init__(self, data: np.ndarray) -> None:
         n = len(data)
         size = 1 << max(20, n.bit_length())
-        letter, powers, self.inverse = held(("powers", which, size), lambda: self.powers(which, size))
+        letter, powers, self.inverse = held(("powers", size), lambda: self.powers(size))
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(letter[data] * powers[:n], out=self.sums[1:])
 
     @staticmethod
-    def powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A random odd number for each byte, and the powers of a base and of its inverse."""
-        base = U64(int(salt(2 * which + 3)) | 5)
+        base = U64(int(salt(3)) | 5)
         powers, inverse = np.full(size, base, U64), np.full(size, pow(int(base), -1, 1 << 64), U64)
         powers[0] = inverse[0] = 1
-        return mix(np.arange(1, 257, dtype=U64) * salt(which + 11)) | U64(1), np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+        return mix(np.arange(1, 257, dtype=U64) * salt(11)) | U64(1), np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
 
-def joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
+def joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(x) for x in raw], out=ends[1:])
     return np.frombuffer(b"".join(raw), np.uint8), ends
 
 
 def pieces(texts: list, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, ends, row of each piece, its offset) of runs of texts with about ``p.piece`` bytes.
+    """(data, ends, row of each piece, its offset) of runs of texts with about ``p.piece`` bytes; texts shorter than a window are left out.
 
     A long text is cut into pieces that overlap by one byte less than a window, so each window start is in one piece.
     """
-    cut_up = ((i, a, raw[a : a + p.piece + p.length - 1]) for i, raw in enumerate(t.encode() if t else b"" for t in texts) for a in range(0, max(1, len(raw) - p.length + 1), p.piece))
+    encoded = ((i, t.encode() if t else b"") for i, t in enumerate(texts))
+    cut_up = ((i, a, raw[a : a + p.piece + p.length - 1]) for i, raw in encoded for a in range(0, len(raw) - p.length + 1, p.piece))
     held_back: list[tuple[int, int, bytes]] = []
     size = 0
     for x in cut_up:
@@ -106,10 +119,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarray,
     n = len(data)
     if n < p.length:
         return (np.zeros(0, np.int64),) * 3
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(n, U64)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    key = np.empty(n, U64)
     for k in range(8):
-        key |= padded[k : k + n].astype(U64) << U64(8 * k)
+        of = key[k::8]
+        of[:] = padded[k : k + 8 * len(of)].view("<u8")
     key = (mix(key) & ~LOW) | np.arange(n, dtype=U64)
     step = 1
     while step < p.span:  # the least of 2, 4, 8 ... places, the leftmost on ties
@@ -125,212 +139,285 @@ def anchors(data: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarray,
     return anchor[first], first, last
 
 
-# -- step 1 and 2: cores and contexts
-
-CORES = pa.schema([("core", pa.int64()), ("n", pa.int64())])
-CONTEXTS = pa.schema([("core", pa.int64()), ("context", pa.int64()), ("rkey", pa.int64()), ("place", pa.int64())])
+#: A context's place: its first start, the anchor's distance from it, and the last start's.
+ANCHORS = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("part", pa.int64()), ("cores", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+ANCHORS_DDL = "t1 long, t2 long, part long, cores array<long>, places array<long>"
 
 
-def _cores(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for b in small(batches):
-        for data, ends, _, _ in pieces(b.column("text").to_pylist(), p):
-            at, _, _ = anchors(data, ends, p)
-            if len(at):
-                core, n = np.unique(Prefix(data, 0).of(at, at + p.length - p.span + 1), return_counts=True)
-                yield from emit(CORES, {"core": signed(core), "n": n})
+        t1, t2 = b.column("t1").to_numpy(), b.column("t2").to_numpy()
+        for data, ends, row, offset in pieces(b.column("text").to_pylist(), p):
+            at, first, last = anchors(data, ends, p)
+            piece = np.searchsorted(ends, first, "right") - 1
+            place = (first - ends[piece] + offset[piece]) << 14 | (at - first) << 7 | (last - first)
+            to = pa.array(np.searchsorted(piece, np.arange(len(row) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(to, pa.array(x)) for x in (signed(Prefix(data).of(at, at + p.core)), place)]
+            yield from emit(ANCHORS, {"t1": t1[row], "t2": t2[row], "part": offset, "cores": lists[0], "places": lists[1]})
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+# -- suffixes at anchors, by their bytes
+
+SUFFIXES = pa.schema([("lead", pa.binary()), ("core", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+SUFFIXES_DDL = "lead binary, core long, t1 long, t2 long, place long, bytes binary"
+RUNS = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64())])
+RUNS_DDL = "t1 long, t2 long, start long"
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], p: Params, most: int) -> Iterator[list[tuple]]:
+    """(core, t1, t2, place, bytes) of the contexts wanted of each text, in lists of about ``most`` bytes."""
+    out: list[tuple] = []
+    size = 0
     for b in small(batches):
-        rkey = b.column("rkey").to_numpy()
-        for data, ends, row, offset in pieces(b.column("text").to_pylist(), p):
-            at, first, last = anchors(data, ends, p)
-            if len(at):
-                h, g = Prefix(data, 0), Prefix(data, 1)
-                piece = np.searchsorted(ends, at, "right") - 1
-                shape = ((at - first) << 7 | (last - first)).astype(U64)
-                context = mix(h.of(first, last + p.length) + mix(g.of(first, last + p.length) + (shape + U64(1)) * M3))
-                place = (first - ends[piece] + offset[piece]) << 14 | (at - first) << 7 | (last - first)
-                yield from emit(CONTEXTS, {"core": signed(h.of(at, at + p.length - p.span + 1)), "context": signed(context), "rkey": rkey[row[piece]], "place": place})
-
-
-# -- step 3: suffixes
-
-SUFFIXES = pa.schema([("core", pa.int64()), *((f"k{i}", pa.int64()) for i in range(4)), ("rkey", pa.int64()), ("place", pa.int64()), ("alone", pa.bool_()), ("bytes", pa.binary())])
-SUFFIXES_DDL = "core long, k0 long, k1 long, k2 long, k3 long, rkey long, place long, alone boolean, bytes binary"
-RUNS = pa.schema([("rkey", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("repeated", pa.bool_()), ("core", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("edge", pa.bool_())])
-RUNS_DDL = "rkey long, first long, last long, repeated boolean, core long, k0 long, k1 long, k2 long, edge boolean"
-
-
-def multikey_order(words: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by their words: quicksort by the first word, then each run of ties by the next one."""
-    order = np.argsort(words[0])
-    for depth in range(1, len(words)):
-        same = np.ones(len(order), bool)
-        for w in words[:depth]:
-            x = w[order]
-            same[1:] &= x[1:] == x[:-1]
-        same[:1] = False
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        at = np.flatnonzero(tied)
+        for text, t1, t2, wanted in zip(*(b.column(n).to_pylist() for n in ("text", "t1", "t2", "wanted")), strict=True):
+            raw = text.encode()
+            for w in wanted:
+                place = w["place"]
+                first, last = place >> 14, (place >> 14) + (place & 127)
+                out.append((w["core"], t1, t2, place, raw[first : last + p.length]))
+                size += last - first + p.length
+            if size > most:
+                yield out
+                out, size = [], 0
+    yield out
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    for rows in _wanted(batches, p, 2_000_000):
+        core, t1, t2, place, raw = zip(*rows, strict=True) if rows else ((),) * 5
+        lead = [x[y >> 7 & 127 :][: p.lead] for x, y in zip(raw, place, strict=True)]
+        yield from emit(SUFFIXES, {"lead": lead, "core": core, "t1": t1, "t2": t2, "place": place, "bytes": raw})
+
+
+def multikey_order(tokens: np.ndarray) -> np.ndarray:
+    """Order of rows by their tokens (columns): quicksort by the first one, then each run of ties by the next, all runs of a depth at once."""
+    order = np.argsort(tokens[:, 0], kind="stable")
+    n = len(order)
+    new = np.ones(n + 1, bool)  # where a run of ties begins
+    first = tokens[order, 0]
+    new[1:n] = first[1:] != first[:-1]
+    for depth in range(1, tokens.shape[1]):
+        at = np.flatnonzero(~(new[:-1] & new[1:]))
         if not len(at):
             break
-        run = np.cumsum(~same)[at]
-        order[at] = order[at][np.lexsort((words[depth][order[at]], run))]
+        inner = ~new[at[1:]]
+        token = tokens[order[at], depth]
+        if ((token[1:] != token[:-1]) & inner).any():
+            by = np.lexsort((token, np.cumsum(new[:n])[at]))
+            order[at] = order[at[by]]
+            token = token[by]
+            new[at[1:]] |= (token[1:] != token[:-1]) & inner
     return order
 
 
-def _windows(rows: dict, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Context, distance to the anchor and fingerprint of each window of the contexts."""
-    out = []
-    most = p.piece // p.length
-    for begin in range(0, len(rows["bytes"]), most):
-        data, ends = joined(rows["bytes"][begin : begin + most])
-        place = np.array(rows["place"][begin : begin + most], np.int64)
-        count = (place & 127) + 1
-        of = np.repeat(np.arange(len(place)), count)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        at = ends[of] + nth
-        out.append((of + begin, (place >> 7 & 127)[of] - nth, Prefix(data, 0).of(at, at + p.length), Prefix(data, 1).of(at, at + p.length)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
+def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the one before it in the order (0 for the first)."""
+    out = np.zeros(len(order), np.int64)
+    for a in range(1, len(order), 4096):
+        b = min(a + 4096, len(order))
+        differ = rows[order[a:b]] != rows[order[a - 1 : b - 1]]
+        out[a:b] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return out
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Rows of ``width`` bytes that stand from ``begin`` on in direction ``step``, with zeros after the first ``size``."""
+    out = np.zeros((len(begin), -(-width // 8) * 8), np.uint8)
+    for a in range(0, len(begin), 4096):
+        part, k = slice(a, a + 4096), np.arange(width)
+        inside = k < size[part, None]
+        out[part, :width] = np.where(inside, data[np.where(inside, begin[part, None] + step * k, 0)], 0)
+    return out
+
+
+def _tokens(rows: np.ndarray) -> np.ndarray:
+    return rows.view(">u8").astype(U64)
+
+
+def repeated_windows(raw: list[bytes], place: np.ndarray, p: Params) -> np.ndarray:
+    """For each context (its bytes and its place): is its window at each distance from the anchor equal to another context's?"""
+    n = len(raw)
+    data, ends = joined(raw)
+    furthest = place >> 7 & 127
+    nearest = furthest - (place & 127)
+    anchor = ends[:-1] + furthest
+    after, before = _gathered(data, anchor, p.length - nearest, p.length, 1), _gathered(data, anchor - 1, furthest, p.span, -1)
+    on, back = multikey_order(_tokens(after)), multikey_order(_tokens(before))
+    shared_on, shared_back = common_prefixes(after, on), common_prefixes(before, back)
+    out = np.zeros((n, p.span), bool)
+    # what shares no core with a neighbour is left out
+    nearby = np.maximum(shared_on, np.append(shared_on[1:], 0))
+    hopeful = np.zeros(n, bool)
+    hopeful[on] = nearby >= p.core
+    ahead, behind = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(p.span):
+        pick = np.flatnonzero(hopeful & (nearest <= d) & (d <= furthest))
+        if len(pick) < 2:
+            continue
+        ahead[on] = np.cumsum(shared_on < p.length - d)
+        behind[back] = np.cumsum(shared_back < d)
+        both = ahead[pick] * (n + 1) + behind[pick]
+        order = np.argsort(both)
+        same = np.zeros(len(pick) + 1, bool)
+        same[1:-1] = both[order][1:] == both[order][:-1]
+        out[pick[order], d] = same[1:] | same[:-1]
+    return out
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Bytes of the contexts wanted of each text; those of hot cores as single suffixes."""
-    for b in small(batches):
-        rows: dict[str, list] = {n: [] for n in ("core", "rkey", "place", "alone", "hot", "bytes")}
-        held_bytes = 0
-        for text, rkey, wanted in zip(b.column("text").to_pylist(), b.column("rkey").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            for w in wanted:
-                first, last = w["place"] >> 14, (w["place"] >> 14) + (w["place"] & 127)
-                values = (w["core"], rkey, w["place"], w["alone"], w["hot"], raw[first : last + p.length])
-                for n, v in zip(rows, values, strict=True):
-                    rows[n].append(v)
-                held_bytes += p.length
-            if held_bytes > 500_000:
-                yield from _dealt(rows, p)
-                rows, held_bytes = {n: [] for n in rows}, 0
-        yield from _dealt(rows, p)
-
-
-def _dealt(rows: dict, p: Params) -> Iterator[pa.RecordBatch]:
-    hot = np.array(rows["hot"], bool)
-    take = lambda keep: {n: [v[i] for i in np.flatnonzero(keep)] for n, v in rows.items() if n != "hot"}
-    calm = take(~hot)
-    if calm["core"]:
-        zero = np.zeros(len(calm["core"]), np.int64)
-        yield from emit(SUFFIXES, calm | {f"k{i}": zero for i in range(4)})
-    warm = take(hot)
-    if warm["core"]:
-        of, distance, t0, t1 = _windows(warm, p)
-        core, rkey, place, alone = (np.array(warm[n])[of] for n in ("core", "rkey", "place", "alone"))
-        start = (place >> 14) + (place >> 7 & 127) - distance
-        # suffixes equal to one in this batch: the first stands for all
-        order = multikey_order([core.astype(np.int64).view(U64) + mix(distance.astype(U64)), t0, t1])
-        x = [core[order], distance[order], t0[order], t1[order]]
-        same = np.ones(len(order), bool)
-        for w in x:
-            same[1:] &= w[1:] == w[:-1]
-        same[:1] = False
-        group = np.cumsum(~same) - 1
-        many = (np.bincount(group) > 1)[group]
-        stand = order[~same]
-        # one that stands for several says so with a negative place, and stands for the others below
-        yield from emit(SUFFIXES, {"core": core[stand], "k0": distance[stand], "k1": signed(t0[stand]), "k2": signed(t1[stand]), "k3": signed(mix(rkey[stand].view(U64) + start[stand].astype(U64))), "rkey": rkey[stand], "place": start[stand], "alone": alone[stand] & ~many[~same], "bytes": [None] * len(stand)})
-        # their repetition is known already: sent as suffixes of no core, which only report themselves
-        known = order[many & alone[order]]
-        if len(known):
-            nil = np.zeros(len(known), np.int64)
-            yield from emit(SUFFIXES, {"core": signed(mix(rkey[known].view(U64))), "k0": nil - 1, "k1": nil, "k2": nil, "k3": nil, "rkey": rkey[known], "place": start[known], "alone": np.ones(len(known), bool), "bytes": [None] * len(known)})
+def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Sorts a bucket's suffixes and reports the starts of repeated windows."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    t1, t2, place = (table.column(n).to_numpy() for n in ("t1", "t2", "place"))
+    found = repeated_windows(table.column("bytes").to_pylist(), place, p)
+    edge = np.zeros((len(found), p.span + 2), np.int8)
+    edge[:, 1:-1] = found
+    step = np.diff(edge, axis=1)
+    row, near = np.nonzero(step == 1)
+    far = np.nonzero(step == -1)[1] - 1
+    first = (place >> 14)[row] + (place >> 7 & 127)[row] - far
+    yield from emit(RUNS, {"t1": t1[row], "t2": t2[row], "start": first << 20 | (far - near)})
 
 
-def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Sorts a bucket's suffixes and reports the starts of repeated ones, and those at its edges."""
+# -- hot cores: contexts and windows by their content
+
+CONTEXTS = pa.schema([("content", pa.binary()), ("t1", pa.int64()), ("t2", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+CONTEXTS_DDL = "content binary, t1 long, t2 long, place long, bytes binary"
+WINDOWS = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("salt", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("first", pa.int64()), ("alone", pa.bool_()), ("known", pa.bool_())])
+WINDOWS_DDL = "lead binary, content binary, salt long, t1 long, t2 long, first long, alone boolean, known boolean"
+EDGES = pa.schema([*RUNS, ("content", pa.binary()), ("repeated", pa.bool_())])
+
+
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Contexts with their content; only the first of equal ones in a list carries its bytes."""
+    for rows in _wanted(batches, p, 2_000_000):
+        seen: set = set()
+        out: dict[str, list] = {n: [] for n in CONTEXTS.names}
+        for _, t1, t2, place, raw in rows:
+            content = _digest((place & 0x3FFF).to_bytes(2, "big") + raw)
+            for n, v in zip(out, (content, t1, t2, place, None if content in seen else raw), strict=True):
+                out[n].append(v)
+            seen.add(content)
+        yield from emit(CONTEXTS, out)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """Single windows of contexts. Of equal ones in a batch one is dealt; that the others, if alone, are repeated is known."""
+    for b in small(batches, "bytes", 500_000):
+        out: dict[bytes, list] = {}
+        known: list[tuple] = []
+        for t1, t2, place, raw, n in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "place", "bytes", "n")), strict=True):
+            for k in range((place & 127) + 1):
+                w = raw[k : k + p.length]
+                content, here = _digest(w), (t1, t2, (place >> 14) + k)
+                if content not in out:
+                    out[content] = [w[: p.lead], *here, n == 1]
+                    continue
+                if n == 1:
+                    known.append(here)
+                if out[content][4]:
+                    known.append(tuple(out[content][1:4]))
+                    out[content][4] = False
+        rows = [(x[0], c, *x[1:], False) for c, x in out.items()] + [(b"", b"", *x, True, True) for x in known]
+        if rows:
+            columns = dict(zip((n for n in WINDOWS.names if n != "salt"), zip(*rows, strict=True), strict=True))
+            spread = signed(mix(np.array(columns["t1"]).view(U64) + np.array(columns["first"]).view(U64)))
+            yield from emit(WINDOWS, columns | {"salt": spread})
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorts a bucket of single windows and reports repeated ones, and those at its edges."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     table = pa.Table.from_batches(batches)
-    k0 = table.column("k0").to_numpy()
-    rkey, place, core, alone = (table.column(n).to_numpy() for n in ("rkey", "place", "core", "alone"))
-    raw = table.column("bytes").is_valid().to_numpy()
-    known = k0 < 0
-    ctx, one = np.flatnonzero(raw), np.flatnonzero(~raw & ~known)
-    of, distance, t0, t1 = _windows({"bytes": table.column("bytes").take(pa.array(ctx)).to_pylist(), "place": place[ctx]}, p)
-    own = ctx[of]
-    row = np.concatenate([own, one])
-    distance = np.concatenate([distance, k0[one]])
-    t0 = np.concatenate([t0, table.column("k1").to_numpy()[one].view(U64)])
-    t1 = np.concatenate([t1, table.column("k2").to_numpy()[one].view(U64)])
-    start = np.concatenate([(place[own] >> 14) + (place[own] >> 7 & 127) - distance[: len(own)], place[one]])
-    wide = core[row]
-    # order as the splitters have it: core, distance and fingerprint, as signed numbers
-    order = multikey_order([wide, distance, signed(t0), signed(t1)])
-    same = np.ones(len(order), bool)
-    for w in (wide, distance, t0, t1):
-        x = w[order]
-        same[1:] &= x[1:] == x[:-1]
-    same[:1] = False
-    twice = same.copy()
-    twice[:-1] |= same[1:]
-    repeated = np.zeros(len(order), bool)
-    repeated[order] = twice
-    edge = np.zeros(len(order), bool)
+    t1, t2, first, alone = (table.column(n).to_numpy() for n in ("t1", "t2", "first", "alone"))
+    known, content = table.column("known").to_numpy(), table.column("content").to_pylist()
+    lead = [x.ljust(40, b"\0") for x in table.column("lead").to_pylist()]
+    keys = np.frombuffer(b"".join(a + (c or bytes(16)) for a, c in zip(lead, content, strict=True)), np.uint8).reshape(len(t1), 56)
+    order = multikey_order(_tokens(keys))
+    order = order[~known[order]]
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = (keys[order[1:]] == keys[order[:-1]]).all(1)
+    repeated = known.copy()
+    repeated[order] = same[1:] | same[:-1]
+    edge = np.zeros(len(t1), bool)
     edge[order[:1]] = edge[order[-1:]] = True
-    edge &= np.concatenate([np.zeros(len(own), bool), np.ones(len(one), bool)])
-    none = lambda n: np.zeros(n, np.int64)
-    # runs of repeated starts of lone contexts, then known ones, then edges
-    hit = np.flatnonzero(repeated & alone[row])
-    hit = hit[np.lexsort((start[hit], rkey[row[hit]]))]
-    new = np.ones(len(hit), bool)
-    new[1:] = (rkey[row[hit[1:]]] != rkey[row[hit[:-1]]]) | (start[hit[1:]] > start[hit[:-1]] + 1)
-    first = hit[new]
-    last = hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] if len(hit) else hit
-    for pick, lo, hi in ((row[first], start[first], start[last]), (np.flatnonzero(known), place[known], place[known])):
-        n = len(pick)
-        yield from emit(RUNS, {"rkey": rkey[pick], "first": lo, "last": hi, "repeated": np.ones(n, bool), "core": none(n), "k0": none(n), "k1": none(n), "k2": none(n), "edge": np.zeros(n, bool)})
-    e = np.flatnonzero(edge)
-    yield from emit(RUNS, {"rkey": rkey[row[e]], "first": start[e], "last": start[e], "repeated": ~alone[row[e]], "core": wide[e], "k0": distance[e], "k1": signed(t0[e]), "k2": signed(t1[e]), "edge": np.ones(len(e), bool)})
-
-
-def repeated_starts(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """rkey, starts: for each row with repeated windows, their starts as (first << 20 | run - 1) numbers.
-
-    ``docs`` has rkey and text.
+    pick = np.flatnonzero(repeated & alone | edge)
+    yield from emit(EDGES, {"t1": t1[pick], "t2": t2[pick], "start": first[pick] << 20, "content": [content[i] if edge[i] else None for i in pick], "repeated": (repeated & alone)[pick]})
+
+
+def _hot(need: DataFrame, p: Params) -> DataFrame:
+    """t1, t2, start of repeated windows among the contexts of hot cores."""
+    found = cut(in_arrow(need, lambda it: _contexts(it, p), CONTEXTS_DDL))
+    first = [F.first(c).alias(c) for c in ("t1", "t2", "place")]  # all of one row
+    kinds, n = cut_counting(found.groupBy("content").agg(F.count("*").alias("n"), *first, F.first("bytes", ignorenulls=True).alias("bytes")), F.col("n") > 1)
+    several = limited(kinds.where("n > 1").select("content"), n, p.broadcast_rows)
+    equal = found.join(several, "content", "left_semi").select("t1", "t2", F.shiftleft(F.shiftright("place", 14), 20).bitwiseOR(F.col("place").bitwiseAND(F.lit(127))).alias("start"))
+    windows = in_arrow(kinds.select("t1", "t2", "place", "bytes", "n"), lambda it: _windows(it, p), WINDOWS_DDL)
+    buckets = windows.repartitionByRange(max(shuffle_width(need.sparkSession), kinds.count() * p.span // (16 * p.bucket_contexts)), "lead", "content", "salt")
+    runs = cut(in_arrow(buckets, _compared, f"{RUNS_DDL}, content binary, repeated boolean"))
+    met = runs.where("content is not null").groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
+    # an edge's window that isn't alone needs no report, but a second one: every start that it stands for is known
+    across = runs.where("content is not null and not repeated").join(met, "content", "left_semi")
+    return equal.unionByName(runs.where("repeated").select("t1", "t2", "start")).unionByName(across.select("t1", "t2", "start"))
+
+
+# -- all together
+
+
+def text_keys(docs: DataFrame, t1: str = "t1", t2: str = "t2") -> DataFrame:
+    """Adds two keys, which together name a text."""
+    return docs.withColumns({t1: F.xxhash64("text"), t2: F.xxhash64(F.lit(7), "text", F.lit(11))})
+
+
+def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, starts) of each text with repeated windows, as (first << 20 | run - 1) numbers or ALL, and (t1, t2) of texts with very many copies.
+
+    ``docs`` has t1, t2 and text. The second table has less than 100,000 rows.
     """
-    docs = docs.select("rkey", "text")
-    cores = in_arrow(docs, lambda it: _cores(it, p), "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1")
-    cores, n = cut_counting(cores.select("core"))
-    found = cut(in_arrow(docs, lambda it: _contexts(it, p), "core long, context long, rkey long, place long").join(limited(cores, n, p.broadcast_rows), "core", "left_semi"))
-    contexts, n = cut_counting(found.groupBy("core", "context").agg(F.count("*").alias("n"), F.first("rkey").alias("rkey"), F.first("place").alias("place")), F.col("n") > 1)  # both firsts are of one row
-    run = lambda first, last: F.shiftleft(first, 20).bitwiseOR(last - first)
-    lo = F.shiftright("place", 14)
-    equal = found.join(limited(contexts.where("n > 1").select("core", "context"), n, p.broadcast_rows // 2), ["core", "context"], "left_semi").select("rkey", run(lo, lo + F.col("place").bitwiseAND(F.lit(127))).alias("start"))
-    mixed, n = cut_counting(contexts.groupBy("core").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("kinds > 1 and lone > 0").select("core", "kinds"))
-    wanted = contexts.join(limited(mixed, n, p.broadcast_rows // 2), "core").select("rkey", F.struct("core", "place", (F.col("n") == 1).alias("alone"), (F.col("kinds") > p.hot).alias("hot")).alias("want"))
-    wanted, n = cut_counting(wanted.groupBy("rkey").agg(F.collect_list("want").alias("wanted"), F.count("*").alias("n")))
-    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    need = docs.join(limited(wanted.select("rkey"), n, p.broadcast_rows), "rkey", "left_semi")
-    need = need.join(wanted.select("rkey", "wanted").hint("shuffle_hash"), "rkey").select("rkey", "text", "wanted")
-    suffixes = in_arrow(need, lambda it: _suffixes(it, p), SUFFIXES_DDL)
-    buckets = suffixes.repartitionByRange(max(shuffle_width(docs.sparkSession), total // p.bucket_contexts), "core", "k0", "k1", "k2", "k3")
-    runs = cut(in_arrow(buckets, lambda it: _bucket(it, p), RUNS_DDL))
-    token = ["core", "k0", "k1", "k2"]
-    met = runs.where("edge").groupBy(*token).agg(F.count("*").alias("n")).where("n > 1").select(*token)
-    across = runs.where("edge and not repeated").join(met, token, "left_semi")
-    sorted_out = runs.where("repeated and not edge").select("rkey", run(F.col("first"), F.col("last")).alias("start")).union(across.select("rkey", run(F.col("first"), F.col("last")).alias("start")))
-    return equal.union(sorted_out).groupBy("rkey").agg(F.collect_list("start").alias("starts"))
-
-
-def spans(starts: list[int], length: int) -> list[tuple[int, int]]:
+    docs = docs.select("t1", "t2", "text").where(F.octet_length("text") >= p.length)
+    found = in_arrow(docs, lambda it: _anchors(it, p), ANCHORS_DDL)
+    texts = cut(found.groupBy("t1", "t2", "part").agg(F.count("*").alias("n"), F.first("cores").alias("cores"), F.first("places").alias("places")))
+    rows = texts.where("part = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = texts.where((F.col("n") > max(1, rows // 100_000)) & (F.col("part") == 0)).select("t1", "t2")
+    whole = texts.where("n > 1 and part = 0").select("t1", "t2", F.lit(ALL).cast("long").alias("start"))
+    each = texts.select("t1", "t2", F.explode(F.arrays_zip("cores", "places")).alias("x")).select("t1", "t2", F.col("x.cores").alias("core"), F.col("x.places").alias("place"))
+    cores, n = cut_counting(each.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
+    totals = cores.agg(F.sum(F.when(F.col("n") <= p.hot, F.col("n"))).alias("calm"), F.sum(F.when(F.col("n") > p.hot, F.col("n"))).alias("hot")).first()
+    starts = whole
+    for which, total, hot in ((F.col("n") <= p.hot, totals.calm, False), (F.col("n") > p.hot, totals.hot, True)):
+        if not total:
+            continue
+        wanted = each.join(limited(cores.where(which).select("core"), n, p.broadcast_rows), "core", "left_semi")
+        wanted, m = cut_counting(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", "place")).alias("wanted")))
+        need = docs.join(limited(wanted.select("t1", "t2"), m, p.broadcast_rows), ["t1", "t2"], "left_semi")
+        need = need.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted.hint("shuffle_hash"), ["t1", "t2"])
+        if hot:
+            starts = starts.unionByName(_hot(need, p))
+        else:
+            suffixes = in_arrow(need, lambda it: _suffixes(it, p), SUFFIXES_DDL)
+            buckets = suffixes.repartitionByRange(max(shuffle_width(docs.sparkSession), total // p.bucket_contexts), "lead", "core")
+            starts = starts.unionByName(in_arrow(buckets, lambda it: _bucket(it, p), RUNS_DDL))
+    return starts.groupBy("t1", "t2").agg(F.collect_list("start").alias("starts")), many
+
+
+def spans(raw: bytes, starts: list[int], p: Params) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by windows that begin at these starts."""
+    if ALL in starts:
+        return [(0, len(raw))]
     out: list[list[int]] = []
     for first, last in sorted((s >> 20, (s >> 20) + (s & 0xFFFFF)) for s in starts):
         if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + length)
+            out[-1][1] = max(out[-1][1], last + p.length)
         else:
-            out.append([first, last + length])
+            out.append([first, last + p.length])
     return [(a, b) for a, b in out]
 
 
@@ -343,11 +430,18 @@ def kept(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 
 def with_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, str]:
-    """``docs`` with one column more, the starts of repeated windows (null where nothing is repeated), and its name."""
-    rkey, name = fresh(docs.columns, "rkey"), fresh(docs.columns, "starts")
-    keyed = docs.withColumn(rkey, F.xxhash64("doc_id", "text"))
-    starts = repeated_starts(docs.select(F.xxhash64("doc_id", "text").alias("rkey"), "text"), p)
-    return keyed.join(starts.toDF(rkey, name).hint("shuffle_hash"), rkey, "left").select(*docs.columns, name), name
+    """``docs`` with one column more, the starts of repeated windows (null where nothing is repeated), and its name.
+
+    Rows whose text has more copies than a hundred-thousandth of all rows meet
+    a broadcast mark, so that no task gets all copies of a text.
+    """
+    keys, name = [fresh(docs.columns, "t1"), fresh(docs.columns, "t2")], fresh(docs.columns, "starts")
+    keyed = text_keys(docs, *keys)
+    starts, many = repeated_starts(keyed.select(F.col(keys[0]).alias("t1"), F.col(keys[1]).alias("t2"), "text"), p)
+    starts, many = starts.toDF(*keys, name).hint("shuffle_hash"), F.broadcast(many.toDF(*keys))
+    rest = keyed.join(many, keys, "left_anti").join(starts, keys, "left").select(*docs.columns, name)
+    copies = keyed.join(many, keys, "left_semi").select(*docs.columns, F.array(F.lit(ALL).cast("long")).alias(name))
+    return rest.unionByName(copies), name
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
@@ -356,9 +450,10 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans ([begin, end) in bytes) of each row (columns doc_id and text; others are ignored).
 
-    A null text is empty; a text shorter than ``length`` bytes keeps all. Rows
-    repeated with doc_id and text repeat each other's bytes. An empty table
-    gives an empty result.
+    A null text is empty; a text shorter than ``length`` bytes keeps all. A
+    text of any length is read whole, in pieces that overlap. Rows repeated,
+    with doc_id or without, repeat each other's bytes. An empty table gives an
+    empty result. All occurrences go, so there are no ties.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +461,7 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
             out: dict[str, list] = {n: [] for n in DIGEST.names}
             for doc, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 raw = (text or "").encode()
-                cuts = spans(starts or [], p.length)
+                cuts = spans(raw, starts or [], p)
                 values = (doc, len(raw), sum(y - x for x, y in cuts), len(cuts), hashlib.sha256(kept(raw, cuts)).hexdigest(), cuts)
                 for n, v in zip(out, values, strict=True):
                     out[n].append(v)
@@ -377,7 +472,13 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def remove(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rows of ``docs``, all columns, with the repeated bytes cut out of text (a character cut in two goes whole) and n_chars counted anew."""
+    """Rows of ``docs``, all columns, with the repeated bytes cut out of text and n_chars counted anew.
+
+    Runs of fewer than ``words`` words (parted by ASCII white space) stay. A
+    character cut in two goes whole. A null text stays null, one that is
+    repeated whole becomes empty; the rest is as in ``duplicates``. Columns of
+    any name stay as they are.
+    """
     names = docs.columns
     rows, extra = with_starts(docs, p)
 
@@ -385,7 +486,11 @@ def remove(docs: DataFrame, p: Params = Params()) -> DataFrame:
         for b in small(batches):
             texts = []
             for text, starts in zip(b.column("text").to_pylist(), b.column(extra).to_pylist(), strict=True):
-                texts.append(kept(text.encode(), spans(starts, p.length)).decode(errors="ignore") if starts else text)
+                if starts:
+                    raw = text.encode()
+                    cuts = [(x, y) for x, y in spans(raw, starts, p) if len(raw[x:y].split()) >= p.words]
+                    text = kept(raw, cuts).decode(errors="ignore") if cuts else text
+                texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
     out = in_arrow(rows, run, docs.schema)

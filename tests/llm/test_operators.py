@@ -170,7 +170,7 @@ def brute_substrings(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 3, 1])
+@pytest.mark.parametrize("hot", [4096, 3, 1])
 def test_substrings_equal_brute_force(spark, hot):
     rng = np.random.default_rng(3)
     base = "".join(rng.choice(list("abcdé "), 2500))
@@ -188,6 +188,46 @@ def test_substrings_equal_brute_force(spark, hot):
     assert found == expected
 
 
+def test_multikey_order_is_the_order_of_bytes():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 2, (500, 40)).astype(np.uint8) * 255
+    rows[rng.integers(0, 500, 100)] = rows[0]
+    order = exact_substrings.multikey_order(exact_substrings._tokens(rows))
+    ordered = [rows[i].tobytes() for i in order]
+    assert ordered == sorted(ordered)
+    shared = exact_substrings.common_prefixes(rows, order)
+    for k in range(1, 500):
+        a, b = ordered[k - 1 : k + 1]
+        assert shared[k] == next((i for i in range(40) if a[i] != b[i]), 40)
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_structured_strings_equal_brute_force(spark, hot):
+    """Strings on which polynomial hashes modulo a power of two agree, alternating blocks, and zero bytes."""
+    thue = "a"
+    for _ in range(12):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [thue[:1500], other[:1500], thue[2048:3300] + "\0" * 500, "\0" * 430 + other[100:900], "xy" * 300 + thue[5:700], "y" + "xy" * 250 + other[5:700], "abba" * 200, "baab" * 130]
+    found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exact_substrings.duplicates(docs(spark, list(enumerate(texts))).repartition(3), exact_substrings.Params(hot=hot)).collect())
+    assert found == [(i, *x) for i, x in enumerate(brute_substrings(texts, 400))]
+
+
+def test_many_copies_of_a_text_are_marked_without_a_shuffle(spark):
+    text = prose(4, 200)
+    df = docs(spark, [(i, text) for i in range(40)] + [(50, text[:450] + "x"), (51, prose(5, 100))])
+    found = {r.doc_id: r.n_removed for r in exact_substrings.duplicates(df).collect()}
+    assert all(found[i] == len(text) for i in range(40)) and found[50] == 450 and found[51] == 0
+
+
+def test_shorter_passages_by_bytes_and_words(spark):
+    long, short = prose(21, 52), prose(22, 45)
+    df = docs(spark, [(i, f"{prose(100 + i, 80)} {long} {prose(200 + i, 30)} {short} {prose(300 + i, 40)}") for i in range(3)])
+    p = exact_substrings.Params(length=200, span=64, words=51)
+    for r in exact_substrings.remove(df, p).collect():
+        assert long not in r.text and short in r.text and prose(300 + r.doc_id, 40) in r.text and r.n_chars == len(r.text)
+
+
 def test_substring_removal_keeps_rows_and_columns(spark):
     shared = prose(9, 120)
     df = docs(spark, [(1, "é" + shared + " tail"), (2, shared), (3, None), (4, "short")])

@@ -1,5 +1,7 @@
 """The pipeline's stages, one after another, against brute force on a small scale."""
 
+from collections import Counter
+
 import numpy as np
 
 import corpus_pipeline
@@ -8,6 +10,25 @@ from rasterloom.llm import decontaminate, near_dup
 DIR = "/root/testdata/sf0.001"
 
 
+def without_repeats(texts, p):
+    """Texts without the runs, of p.words words at least, that windows with an equal elsewhere cover."""
+    raw = [x.encode() for x in texts]
+    seen = Counter(x[i : i + p.length] for x in raw for i in range(len(x) - p.length + 1))
+    out = []
+    for x in raw:
+        gone = np.zeros(len(x) + 2, np.int8)
+        for i in range(len(x) - p.length + 1):
+            if seen[x[i : i + p.length]] > 1:
+                gone[i + 1 : i + 1 + p.length] = 1
+        runs = np.flatnonzero(np.diff(gone)).reshape(-1, 2)
+        rest, at = b"", 0
+        for a, b in runs:
+            if len(x[a:b].split()) >= p.words:
+                rest, at = rest + x[at:a], b
+        out.append((rest + x[at:]).decode(errors="ignore"))
+    return out
+
+
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dup", "exact_substrings", "decontamination", "packing"]
 
@@ -33,6 +54,11 @@ def test_stages_do_their_work(spark, tmp_path):
                 old, new = label[i], label[j]
                 label = [new if x == old else x for x in label]
     assert {min(ids[i] for i in range(len(ids)) if label[i] == x) for x in set(label)} == kept
+    whole = sorted((r.doc_id, r.text) for r in rows["exact_substrings"])
+    texts = without_repeats([x for _, x in whole], corpus_pipeline.PASSAGES)
+    left = {r.doc_id: (r.text, r.n_chars) for r in rows["decontamination"]}
+    assert {i: (x, len(x)) for (i, _), x in zip(whole, texts, strict=True)} == left
+    assert sum(x != y for (_, x), y in zip(whole, texts, strict=True)) > 0
     items = [r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     sets = [s for s in decontaminate.item_shingles(items, 5) if len(s)]
     texts = decontaminate.item_shingles([r.text for r in rows["decontamination"]], 5)
