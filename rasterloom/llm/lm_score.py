@@ -9,13 +9,14 @@ smoothed counts of the whole corpus, in which an unseen word counts one. The
 softmax has two levels, a class and a member of it, so that a token costs
 2 * 32 outputs and not 1024.
 
-Word counts cover the whole corpus. Training takes a ``rate``-th of the tokens
-in each round, another one each time, so that ``rate`` rounds train on every
-token of every document once: each task runs stochastic gradient descent over
-its own documents from shared parameters, and the results, weighted by what
-they saw, are averaged in two steps, so what is gathered grows with the input
-while no single task or the driver gets more than about the square root of the
-number of tasks.
+Word counts cover the whole corpus. Documents are dealt by a hash over groups
+of about ``group_tokens`` tokens, in an order that the hash gives too, so that
+neither the layout of the table nor the number of tasks changes a parameter.
+Each round takes other groups, so that after all rounds every token of every
+document was trained on once: a group runs stochastic gradient descent from the
+round's shared parameters, and the results, weighted by what they saw, are
+averaged in two steps, so what is gathered grows with the input while no single
+task or the driver gets more than about the square root of the number of groups.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ class Params:
     reach: int = 2  # tokens on each side
     width: int = 16
     hidden: int = 32
-    rate: int = 2
+    #: Rounds of training; with 0, words keep their corpus frequencies.
     rounds: int = 2
-    batch: int = 512
+    group_tokens: int = 1_000_000
+    batch: int = 2048
     step: float = 0.05
     seed: int = 7
     #: Rows of a broadcast side at most (16 bytes each).
@@ -223,26 +225,18 @@ class Network:
         grads = np.concatenate([back @ m.T for m in self.mixer])
         for k, x in enumerate(inputs):
             self._step("mixer", x.T @ back, k)
-        at, where = np.unique(near, return_inverse=True)
-        order = np.argsort(where.ravel(), kind="stable")
-        begin = np.searchsorted(where.ravel()[order], np.arange(len(at)))
+        flat = near.astype(np.int16 if p.size < 1 << 15 else np.int32).ravel()
+        order = np.argsort(flat, kind="stable")
+        at, begin = np.unique(flat[order], return_index=True)
         self._step("embed", np.add.reduceat(grads[order], begin), at)
         self.embed[p.size] = 0
 
 
-def picked(word: np.ndarray, bounds: np.ndarray, turn: int, p: Params) -> np.ndarray:
-    """Tokens that a round trains on; those of ``rate`` rounds are all tokens, once each."""
-    n = np.diff(bounds)
-    place = np.arange(len(word)) - np.repeat(bounds[:-1], n)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(word))])
-    text = np.repeat(sums[bounds[1:]] - sums[bounds[:-1]], n)  # so that what many texts have at one place isn't picked alike
-    return np.flatnonzero(mix(word + mix(text + salt(1) * place.astype(U64))) % U64(p.rate) == turn % p.rate)
-
-
 STATE = pa.schema([("part", pa.int64()), ("seen", pa.int64()), ("flat", pa.binary())])
 
 
-def _descend(batches: Iterator[pa.RecordBatch], shared, p: Params, turn: int) -> Iterator[pa.RecordBatch]:
+def _descend(batches: Iterator[pa.RecordBatch], shared, p: Params) -> Iterator[pa.RecordBatch]:
+    """Parameters after one pass over the tokens of a group."""
     vocabulary, flat = shared.value
     net, seen = Network(p, vocabulary, flat.copy()), 0
     near: list[np.ndarray] = []
@@ -261,9 +255,8 @@ def _descend(batches: Iterator[pa.RecordBatch], shared, p: Params, turn: int) ->
     for b in small(batches):
         word, bounds = words(strings(b.column("text")))
         ids = net.ids(word)
-        pick = picked(word, bounds, turn, p)
-        near.append(net.around(ids, bounds)[:, pick]), want.append(ids[pick])
-        seen += len(pick)
+        near.append(net.around(ids, bounds)), want.append(ids)
+        seen += len(ids)
         train(False)
     train(True)
     if seen:
@@ -271,16 +264,20 @@ def _descend(batches: Iterator[pa.RecordBatch], shared, p: Params, turn: int) ->
 
 
 def _average(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("part")  # sums in one order
     total, flat = int(rows.seen.sum()), 0.0
     for n, x in zip(rows.seen, rows.flat, strict=True):
         flat = flat + np.frombuffer(x, np.float32).astype(float) * (n / total)
-    return pd.DataFrame({"seen": [total], "flat": [flat.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"part": rows.part.iloc[:1], "seen": [total], "flat": [flat.astype(np.float32).tobytes()]})
 
 
 def train(docs: DataFrame, p: Params = Params()) -> Model:
-    """Vocabulary, parameters and word counts, learnt from the whole of ``docs`` (column text)."""
-    text = docs.select("text")
-    counts, kinds = cut_counting(in_arrow(text, _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    """Vocabulary, parameters and word counts, learnt from the whole of ``docs`` (column text; doc_id, if there, spreads copies over groups).
+
+    Null and empty texts teach nothing; ties in the vocabulary go by the
+    word's hash; an empty table gives a model in which every word is unseen.
+    """
+    counts, kinds = cut_counting(in_arrow(docs.select("text"), _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.desc("n"), "word").limit(p.size - p.hashed).collect()
     vocabulary = np.array([r.word for r in top], np.int64).view(U64)
     count = np.zeros(p.size)
@@ -295,13 +292,18 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     unseen = -np.log(n + of + 1)
     flat = Network.fresh(p, vocabulary, count).flat
     sc = docs.sparkSession.sparkContext
+    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(1, -(-tokens // max(1, p.rounds * p.group_tokens)))
+    key = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
+    dealt = docs.select("text", key.alias("key"), F.pmod(F.xxhash64(F.lit(p.seed), key), F.lit(max(1, p.rounds))).alias("turn"))
     for turn in range(p.rounds):
         shared = sc.broadcast((vocabulary, flat))
-        states = in_arrow(text, lambda it, shared=shared, turn=turn: _descend(it, shared, p, turn), "part long, seen long, flat binary")
-        groups = max(1, math.isqrt(text.rdd.getNumPartitions()))
-        means = states.groupBy((F.col("part") % groups).alias("g")).applyInPandas(lambda x: _average(x), "seen long, flat binary").collect()
+        own = dealt.where(F.col("turn") == turn).repartition(groups, "key").sortWithinPartitions("key").select("text")
+        states = in_arrow(own, lambda it, shared=shared: _descend(it, shared, p), "part long, seen long, flat binary")
+        step = max(1, math.isqrt(groups))
+        means = states.groupBy((F.col("part") % step).alias("g")).applyInPandas(lambda x: _average(x), "part long, seen long, flat binary").collect()
         if means:
-            flat = np.frombuffer(_average(pd.DataFrame({"seen": [m.seen for m in means], "flat": [bytes(m.flat) for m in means]})).flat[0], np.float32)
+            flat = np.frombuffer(_average(pd.DataFrame({"part": [m.part for m in means], "seen": [m.seen for m in means], "flat": [bytes(m.flat) for m in means]})).flat[0], np.float32)
     return Model(vocabulary, flat, unseen, counts, kinds)
 
 
@@ -312,8 +314,8 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob, perplexity of each row (columns doc_id and text; others are ignored).
 
     A null text, or one without a word, has no token: log_prob is 0, the mean
-    and the perplexity are null. Repeated rows are scored each; an empty table
-    gives an empty result.
+    and the perplexity are null. A text of any length is scored whole. Repeated
+    rows are scored each, alike; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.flat, model.unseen))
 

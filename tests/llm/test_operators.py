@@ -1,11 +1,11 @@
 """Each operator against brute force on small inputs, and its defined results for odd rows."""
 
 import hashlib
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,7 +300,7 @@ def test_lm_learns_and_scores(spark):
     rng = np.random.default_rng(0)
     make = lambda i: " ".join(f"{'a' if i % 2 else 'b'}{x}" for x in rng.integers(0, 20, 200))
     df = docs(spark, [(i, make(i)) for i in range(200)]).repartition(3)
-    plain, trained = (lm_score.score(df, lm_score.train(df, p), p).agg(F.avg("mean_log_prob")).first()[0] for p in (lm_score.Params(rounds=0), lm_score.Params(rate=2)))
+    plain, trained = (lm_score.score(df, lm_score.train(df, p), p).agg(F.avg("mean_log_prob")).first()[0] for p in (lm_score.Params(rounds=0), lm_score.Params(group_tokens=5000, batch=512)))
     assert plain == pytest.approx(-np.log(40), abs=0.05)  # unigrams
     assert trained > plain + 0.4  # both sides tell which half of the words it is: log 2 at best
     odd = {r.doc_id: r for r in lm_score.score(docs(spark, ODD), lm_score.train(docs(spark, ODD))).collect()}
@@ -335,17 +335,53 @@ def test_lm_words_outside_the_vocabulary_have_their_own_probability(spark):
     assert len(long) == 2 and all(r.log_prob == pytest.approx(sum(np.log(one[w]) for w in asked[1090:])) for r in long)
 
 
-def test_lm_trains_on_every_token_once(monkeypatch):
-    p, learnt = lm_score.Params(), []
+def test_lm_trains_on_every_token_once(spark, tmp_path, monkeypatch):
+    """Each round leaves its tokens in a file; over all rounds they are all tokens, once each."""
+    p = lm_score.Params(group_tokens=200)
     texts = [f"head line {prose(i, 40 + i)}" for i in range(30)] + ["", "one", "one"]
-    vocabulary = np.unique(words(texts)[0])[:900]
-    monkeypatch.setattr(lm_score.Network, "learn", lambda net, near, ids: learnt.extend(ids.tolist()))
-    monkeypatch.setattr(lm_score.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
-    net = lm_score.Network.fresh(p, vocabulary, np.ones(p.size))
-    shared = type("Shared", (), {"value": (vocabulary, net.flat)})()
-    for turn in range(p.rounds):
-        list(lm_score._descend([pa.RecordBatch.from_pydict({"text": texts})], shared, p, turn))
-    assert sorted(learnt) == sorted(net.ids(words(texts)[0]).tolist())
+    df = docs(spark, list(enumerate(texts))).repartition(4)
+    plain, folder = lm_score._descend, str(tmp_path)
+
+    def noted(batches, shared, p):
+        batches = list(batches)
+        got = sum(len(words(b.column("text").to_pylist())[0]) for b in batches)
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(got))
+        yield from plain(batches, shared, p)
+
+    monkeypatch.setattr(lm_score, "_descend", noted)
+    lm_score.train(df, p)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == len(words(texts)[0])
+    assert len(list(tmp_path.iterdir())) > 4
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    p = lm_score.Params(group_tokens=2000)
+    df = docs(spark, [(i, prose(i, 60 + i, 50)) for i in range(60)])
+    found = [sorted((r.doc_id, round(r.log_prob, 3)) for r in lm_score.score(x, lm_score.train(x, p), p).collect()) for x in (df.repartition(1), df.repartition(5, "text"), df.coalesce(2))]
+    assert found[0] == found[1] == found[2]
+
+
+def test_lm_score_equals_brute_force(spark):
+    """A document's score is the sum over its words of a plain forward pass and a plain softmax over all ids."""
+    p = lm_score.Params()
+    texts = ["the cat sat on the mat", "a cat", "", "mat " * 30, prose(3, 50, 20)]
+    df = docs(spark, list(enumerate(texts)))
+    model = lm_score.train(df, p)
+    net, counts = lm_score.Network(p, model.vocabulary, model.flat), {r.word: r.n for r in model.counts.collect()}
+    for r in lm_score.score(df, model, p).collect():
+        word, _ = words([texts[r.doc_id]])
+        ids = [int(x) for x in net.ids(word)]
+        total = 0.0
+        for i, t in enumerate(ids):
+            near = [ids[i + d] if 0 <= i + d < len(ids) else p.size for d in (-2, -1, 1, 2)]
+            h = np.tanh(net.shift + sum(net.embed[k] @ m for k, m in zip(near, net.mixer, strict=True)))
+            by_class = h @ net.by_class + net.class_bias
+            logits = np.concatenate([by_class[c] - np.log(np.exp(by_class).sum()) + (s := h @ net.by_member[c] + net.member_bias[c]) - np.log(np.exp(s).sum()) for c in range(p.classes)])
+            total += logits[t]
+            if t >= p.size - p.hashed:
+                total += model.unseen[t - p.size + p.hashed] + np.log(counts.get(int(word[i].view(np.int64)), 0) + 1)
+        assert r.log_prob == pytest.approx(total, rel=1e-4, abs=1e-4) and r.n_tokens == len(ids)
 
 
 def test_lm_gradient_points_downhill():
