@@ -1,19 +1,25 @@
 """Main-text extraction with a site style tree.
 
 The DOM trees of a host's pages are merged: elements with the same path of tags
-and classes are one node of the tree. Over the host's pages, the entropy of a
-node's child presentations says how much its layout varies, and the entropy of
-a content feature (the hash of a branch's text) over pages says how widely it
-is repeated. A branch of a page whose composite importance is low is removed.
+and classes are one node of the tree. The entropy of a node's child
+presentations over the host's pages says how much its layout varies; the
+entropy of a block of text at a node says how widely it is repeated. On a page,
+the importance of a block is one less that entropy, and the importance of an
+element is composed of its node's layout entropy and of the importance of its
+children. From the top down, branches of low importance are removed, inside an
+article as well, where the bound is lower.
+
 Elements whose tag, class or role names them as page furniture are presentation
-nodes of importance 0 from the start, so that a host of one page works too.
-Inside an article or main element nothing is removed for being repeated.
+nodes of importance 0 from the start: menus, adverts and comments whose text
+differs from page to page are no repetition, so no entropy can tell them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +54,20 @@ READ = frozenset("class id role hidden aria-hidden".split())
 WORD = re.compile(r"[a-z]+")
 
 
+@dataclass(frozen=True)
+class Params:
+    #: Branches of at most this importance are removed; inside an article, of at most the second.
+    importance: float = 0.3
+    inside: float = 0.15
+    attenuation: float = 0.9
+    #: Pages that a host is taken to have beside those seen.
+    unseen: int = 2
+    #: Pages with repeated blocks whose lists are broadcast at most; more are joined by shuffle.
+    broadcast_pages: int = 50_000
+    #: And rows of a broadcast table of values at most (24 bytes each).
+    broadcast_rows: int = 300_000
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
@@ -55,23 +75,34 @@ class Element:
     parent: int
     main: bool
     dropped: bool
-    named: bool = False  # dropped for its class or id, or as a form, alone
     style: int = 0
-    content: int = 0
+    texts: int = 0  # code points of text in it
+    children: int = 0  # elements and blocks in it that hold text
+    sum: float = 0.0  # of their importance
 
 
 def parse(html: str) -> tuple[list[Element], list[tuple[int, str]]]:
     """Elements of a page and its blocks of text, each with the element that holds it."""
     elements = [Element("", 0, -1, False, False)]
-    stack, blocks, buffer, end_of = [0], [], [], {}
+    # open elements, those of them that aren't inline, how many of each name, and those that a main element or an article makes part of the article
+    stack, outer, count, named_open, forms_open = [0], [0], Counter(), [], []
+    blocks, buffer, end_of = [], [], {}
 
     def flush() -> None:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                blocks.append((stack[-1] if elements[stack[-1]].tag not in INLINE else next(i for i in reversed(stack) if elements[i].tag not in INLINE), text))
+                blocks.append((outer[-1], text))
             buffer.clear()
 
+    def close(depth: int) -> None:
+        for i in reversed(stack[depth:]):
+            count[elements[i].tag] -= 1
+            for kept in (outer, named_open, forms_open):
+                if kept and kept[-1] == i:
+                    kept.pop()
+        del stack[depth:]
+
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.match(html, at)
@@ -84,17 +115,18 @@ def parse(html: str) -> tuple[list[Element], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if elements[stack[depth]].tag == tag:
-                    if any(elements[i].tag not in INLINE for i in stack[depth:]):
-                        flush()
-                    del stack[depth:]
-                    break
+            if count[tag]:
+                depth = len(stack) - 1
+                while elements[stack[depth]].tag != tag:
+                    depth -= 1
+                if outer[-1] >= stack[depth]:
+                    flush()
+                close(depth)
             continue
         if tag in RAW:
-            close = end_of.get(tag) or end_of.setdefault(tag, re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I))
+            ending = end_of.get(tag) or end_of.setdefault(tag, re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I))
             if not m[3].rstrip().endswith("/"):
-                found = close.search(html, at)
+                found = ending.search(html, at)
                 at = found.end() if found else n
             continue
         if tag == "br":
@@ -104,21 +136,22 @@ def parse(html: str) -> tuple[list[Element], list[tuple[int, str]]]:
             flush()
         if tag in VOID:
             continue
-        if tag in CLOSED_BY or tag not in INLINE:
-            ends = CLOSED_BY.get(tag, set()) | ({"p"} if tag not in INLINE else set())
-            for depth in range(len(stack) - 1, 0, -1):
-                have = elements[stack[depth]].tag
+        ends = CLOSED_BY.get(tag, set()) | (set() if tag in INLINE else {"p"})
+        if any(count[x] for x in ends):
+            for i in reversed(outer):
+                have = elements[i].tag
                 if have in ends:
-                    del stack[depth:]
+                    close(bisect_left(stack, i))
                     break
-                if have in SCOPE:
+                if have not in CLOSED_BY or have in SCOPE:
                     break
         words, named, hidden = set(), "", False
         if tag in ("main", "article"):
             # what holds the main element isn't dropped for its name, nor a form that holds an article
-            for i in stack:
-                if elements[i].named and (tag == "main" or elements[i].tag == "form"):
+            for held in (forms_open, named_open) if tag == "main" else (forms_open,):
+                for i in held:
                     elements[i].dropped = False
+                held.clear()
         for name, value in ATTRIBUTE.findall(m[3]) if m[3] else ():
             name = name.lower()
             if name not in READ:
@@ -138,10 +171,17 @@ def parse(html: str) -> tuple[list[Element], list[tuple[int, str]]]:
         up.style = xxhash.xxh64_intdigest(label, up.style)
         main = up.main or tag in ("article", "main") or "itemprop" in m[3] and "articleBody" in m[3]
         # body and html hold the article, whatever their class says
-        elements.append(Element(tag, xxhash.xxh64_intdigest(label, up.path), stack[-1], main, (always if tag == "main" else furniture) and tag not in ("html", "body"), not always))
-        stack.append(len(elements) - 1)
+        dropped = (always if tag == "main" else furniture) and tag not in ("html", "body")
+        i = len(elements)
+        elements.append(Element(tag, xxhash.xxh64_intdigest(label, up.path), stack[-1], main, dropped))
         if m[3].endswith("/") and tag not in INLINE and tag not in SCOPE:
-            stack.pop()
+            continue
+        stack.append(i)
+        count[tag] += 1
+        if tag not in INLINE:
+            outer.append(i)
+        if dropped and not always:
+            (forms_open if tag == "form" else named_open).append(i)
     flush()
     return elements, blocks
 
@@ -150,91 +190,126 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def branches(html: str) -> tuple[list[Element], list[tuple[int, str]], dict[int, tuple[int, int]], int]:
-    """Elements, blocks, the (node, feature) of each branch outside the article, and the page's dominant text as a hash."""
-    elements, blocks = parse(html)
-    dominant = xxhash.xxh64_intdigest(max((t for _, t in blocks), key=len, default=""))
-    touched = set()
-    for at, text in blocks:
-        h = xxhash.xxh64_intdigest(text)
-        while at > 0 and elements[at].tag not in ("html", "body"):
-            e = elements[at]
-            if not e.main:
-                e.content = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), e.content)
-                touched.add(at)
-            at = e.parent
-    return elements, blocks, {i: (elements[i].path, elements[i].content) for i in sorted(touched)}, dominant
-
-
-def main_text(html: str, noisy: set[int], host: str) -> str:
-    """Blocks that stand in no furniture and no noisy branch; if any stand in an article or main element, those alone."""
-    elements, blocks, found, _ = branches(html)
-    low = {i for i, (node, feature) in found.items() if feature_key(host, node, feature) in noisy} if noisy else set()
-    for i, e in enumerate(elements):
-        e.dropped |= i in low or (e.parent >= 0 and elements[e.parent].dropped)
-    kept = [(at, t) for at, t in blocks if not elements[at].dropped]
-    inside = [t for at, t in kept if elements[at].main]
-    return "\n\n".join(inside or [t for _, t in kept])
+@dataclass(slots=True)
+class Page:
+    """A page's elements and blocks outside its furniture."""
 
+    elements: list[Element]
+    blocks: list[tuple[int, str]]
+    keys: list[int]  # of each block, by its host, node and text
+    sign: int  # the page by its blocks: copies of a page have the same
 
-def feature_key(host: str, node: int, feature: int) -> int:
-    return _signed(xxhash.xxh64_intdigest(f"{host}\x00{node}\x00{feature}"))
 
+def node_key(host: str, node: int) -> int:
+    return _signed(xxhash.xxh64_intdigest(f"{host}\x00{node}"))
 
-NODES = pa.schema([("pkey", pa.int64()), ("node", pa.int64()), ("feature", pa.int64()), ("style", pa.int64()), ("dominant", pa.int64())])
-TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
+def read(html: str, host: str) -> Page:
+    elements, blocks = parse(html)
+    for e in elements[1:]:
+        e.dropped |= elements[e.parent].dropped
+    blocks = [(at, t) for at, t in blocks if not elements[at].dropped]
+    keys = [_signed(xxhash.xxh64_intdigest(f"{host}\x00{elements[at].path}\x00{t}")) for at, t in blocks]
+    for at, t in blocks:
+        elements[at].texts += len(t)
+        elements[at].children += 1
+    for e in reversed(elements[1:]):
+        if e.texts:
+            elements[e.parent].texts += e.texts
+            elements[e.parent].children += 1
+    return Page(elements, blocks, keys, _signed(xxhash.xxh64_intdigest(" ".join(map(str, sorted(xxhash.xxh64_intdigest(t) for _, t in blocks))))))
+
+
+def main_text(html: str, low: dict[int, tuple[float, float]], host: str, p: Params = Params()) -> str:
+    """Blocks that stand in no furniture and no branch of low importance; if any stand in an article or main element, those alone.
+
+    ``low`` has the importance of repeated blocks, as (importance, 0), and of
+    nodes with several layouts, as (layout entropy, weight of the layout).
+    """
+    page = read(html, host)
+    elements, gone = page.elements, [False] * len(page.elements)
+    value = [low.get(k, (1.0, 0.0))[0] for k in page.keys]
+    if any(v < 1 for v in value):
+        for (at, _), v in zip(page.blocks, value, strict=True):
+            elements[at].sum += v
+        importance = [1.0] * len(elements)
+        for i in range(len(elements) - 1, 0, -1):  # children come after their parents
+            e = elements[i]
+            if e.texts:
+                spread, weight = low.get(node_key(host, e.path), (0.0, 0.0))
+                importance[i] = weight * spread + (1 - weight) * e.sum / e.children
+                elements[e.parent].sum += importance[i]
+        bound = lambda e: p.inside if e.main else p.importance
+        for i, e in enumerate(elements[1:], 1):
+            # a branch with most of the page's text is judged by its children
+            gone[i] = gone[e.parent] or 0 < e.texts <= elements[0].texts / 2 and importance[i] <= bound(e)
+    kept = [(at, t) for (at, t), v in zip(page.blocks, value, strict=True) if not gone[at] and (v == 1 or v > bound(elements[at]))]
+    kept = kept or page.blocks  # a page isn't furniture alone
+    inside = [t for at, t in kept if elements[at].main]
+    return "\n\n".join(inside or [t for _, t in kept])
 
-@dataclass(frozen=True)
-class Params:
-    #: Branches of at most this importance are removed, on hosts where the node is on so many different pages at least.
-    importance: float = 0.3
-    pages: int = 8
-    attenuation: float = 0.9
-    #: Pages with noisy branches whose lists are broadcast at most; more are joined by shuffle.
-    broadcast_pages: int = 50_000
+
+NODES = pa.schema([("p1", pa.int64()), ("p2", pa.int64()), ("node", pa.int64()), ("feature", pa.int64()), ("style", pa.int64()), ("sign", pa.int64())])
+NODES_DDL = "p1 long, p2 long, node long, feature long, style long, sign long"
+TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's elements with text (node and style), and its blocks (node and feature; style null)."""
     for b in small(batches, "html"):
-        rows = []
-        for pkey, host, html in zip(b.column("pkey").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            elements, _, found, dominant = branches(html or "")
-            once = {feature_key(host, *x): (_signed(xxhash.xxh64_intdigest(f"{host}\x00{x[0]}")), elements[i].style) for i, x in found.items()}
-            rows += [(pkey, node, key, _signed(style), _signed(dominant)) for key, (node, style) in once.items()]
+        rows: list[tuple] = []
+        for p1, p2, host, html in zip(*(b.column(c).to_pylist() for c in ("p1", "p2", "host", "html")), strict=True):
+            page = read(html or "", host)
+            nodes = {(node_key(host, e.path), None, _signed(e.style)) for e in page.elements[1:] if e.texts}
+            nodes |= {(node_key(host, page.elements[at].path), k, None) for (at, _), k in zip(page.blocks, page.keys, strict=True)}
+            rows += [(p1, p2, *x, page.sign) for x in nodes]
         if rows:
             yield from emit(NODES, dict(zip(NODES.names, zip(*rows, strict=True), strict=True)))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for b in small(batches, "html"):
-        text = [main_text(h or "", set(x or ()), host) for h, x, host in zip(b.column("html").to_pylist(), b.column("noisy").to_pylist(), b.column("host").to_pylist(), strict=True)]
+        text = []
+        for html, low, host in zip(*(b.column(c).to_pylist() for c in ("html", "low", "host")), strict=True):
+            text.append(main_text(html or "", {x["key"]: (x["value"], x["weight"]) for x in low or ()}, host, p))
         yield from emit(TEXT, {"page_id": b.column("page_id"), "url": b.column("url"), "text": text, "n_chars": [len(t) for t in text]})
 
 
+def low_values(nodes: DataFrame, p: Params = Params()) -> DataFrame:
+    """key, value, weight: importance of each block that is repeated over its host, and layout entropy of nodes with several layouts.
+
+    Pages with the same blocks are one page. All are summed on the key before
+    they meet, so a hot host is no hot task.
+    """
+    styles = nodes.where("style is not null").select("node", "style", "sign").distinct().groupBy("node", "style").agg(F.count("*").alias("n"))
+    known = styles.groupBy("node").agg(F.sum("n").alias("pages"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    spread = F.log("pages") - F.col("nlogn") / F.col("pages")
+    layouts = known.where("styles > 1").select(F.col("node").alias("key"), (spread / F.log("pages")).alias("value"), (1 - F.pow(F.lit(p.attenuation), F.col("styles"))).alias("weight"))
+    often = nodes.where("feature is not null").select("node", "feature", "sign").distinct().groupBy("node", "feature").agg(F.count("*").alias("n")).where("n > 1")
+    seen = F.log(F.col("pages") + p.unseen)
+    blocks = often.join(known.select("node", "pages"), "node").select(F.col("feature").alias("key"), F.greatest(1 - F.log("n") / seen, F.lit(0.0)).alias("value"), F.lit(0.0).alias("weight"))
+    return blocks.unionByName(layouts)
+
+
 def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """page_id, url, text, n_chars of each row (columns page_id, url and html; others are ignored).
 
     A null or empty html gives an empty text; a null url counts as a host of
-    its own kind, the empty one. Pages whose longest block is equal are one
-    page to the site's statistics, so that copies of an article don't make it
-    furniture; each row, repeated or not, gets its text. Text that is cut off
-    or badly nested is read as far as it goes. An empty table gives an empty
-    result. Statistics are summed on (node, feature) before they meet, and a
-    page gets back the list of its own noisy branches only.
+    its own kind, the empty one. Pages with the same blocks are one page to the
+    site's statistics, so that copies of an article don't make it furniture;
+    each row, repeated or not, gets its text. Text that is cut off or badly
+    nested is read as far as it goes, in time that grows with its length alone,
+    however deep or long it is; an importance equal to the bound is low. An
+    empty table gives an empty result. A page gets back the values of its own
+    blocks and elements only, and none if no block of it is repeated widely.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"\A[^:/?#]*://([^/?#]*)", 1)), F.lit(""))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("pkey"))
-    nodes = cut(in_arrow(keyed.select("pkey", "host", "html"), _nodes, "pkey long, node long, feature long, style long, dominant long"))
-    entropy = F.log("pages") - F.sum(F.col("n") * F.log("n")) / F.col("pages")
-    known = nodes.select("node", "dominant").distinct().groupBy("node").agg(F.count("*").alias("pages")).where(F.col("pages") >= p.pages)
-    styles = nodes.select("node", "style", "dominant").distinct().groupBy("node", "style").agg(F.count("*").alias("n"))
-    styles = styles.join(known, "node").groupBy("node", "pages").agg(entropy.alias("h"), F.count("*").alias("styles"))
-    weight = F.pow(F.lit(p.attenuation), F.col("styles"))
-    spread = nodes.select("node", "feature", "dominant").distinct().groupBy("node", "feature").agg(F.count("*").alias("n")).where("n > 1").join(styles, "node")
-    # log_m(n) is the entropy of a feature that is on n of m pages.
-    importance = (1 - weight) * F.least(F.col("h") / F.log("pages"), F.lit(1.0)) + weight * (1 - F.log("n") / F.log("pages"))
-    noisy = spread.where(importance <= p.importance).select("feature").distinct()
-    found = nodes.join(noisy, "feature", "left_semi").groupBy("pkey").agg(F.collect_set("feature").alias("noisy"))
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("p1"), F.xxhash64(F.lit(7), "html", "url", "page_id").alias("p2"))
+    nodes = cut(in_arrow(keyed.select("p1", "p2", "host", "html"), _nodes, NODES_DDL))
+    low, n = cut_counting(low_values(nodes, p))
+    low = limited(low, n, p.broadcast_rows)
+    named = nodes.select("p1", "p2", F.coalesce("feature", "node").alias("key")).distinct()
+    value = F.struct("key", "value", "weight")
+    found = named.join(low, "key").groupBy("p1", "p2").agg(F.collect_list(value).alias("low"), F.min(F.when(F.col("weight") == 0, F.col("value"))).alias("least")).where(F.col("least") <= p.importance).drop("least")
     found, n = cut_counting(found)
-    return in_arrow(keyed.join(limited(found, n, p.broadcast_pages), "pkey", "left").select("page_id", "url", "html", "host", "noisy"), _extract, "page_id long, url string, text string, n_chars long")
+    return in_arrow(keyed.join(limited(found, n, p.broadcast_pages), ["p1", "p2"], "left").select("page_id", "url", "html", "host", "low"), lambda it: _extract(it, p), "page_id long, url string, text string, n_chars long")

@@ -45,7 +45,7 @@ class Params:
     hidden: int = 32
     #: Rounds of training; with 0, words keep their corpus frequencies.
     rounds: int = 2
-    group_tokens: int = 1_000_000
+    group_tokens: int = 250_000
     batch: int = 2048
     step: float = 0.05
     seed: int = 7
@@ -139,96 +139,99 @@ class Network:
         """Token ids of word hashes; id ``size`` is the place beyond a text's ends."""
         hashed = (self.p.size - self.p.hashed) + _buckets(word, self.p)
         if not len(self.vocabulary):
-            return hashed
+            return hashed.astype(np.int16 if self.p.size < 1 << 15 else np.int32)
         at = np.minimum(np.searchsorted(self.vocabulary, word, sorter=self.order), len(self.vocabulary) - 1)
         rank = self.order[at]
-        return np.where(self.vocabulary[rank] == word, rank, hashed)
+        return np.where(self.vocabulary[rank] == word, rank, hashed).astype(np.int16 if self.p.size < 1 << 15 else np.int32)
 
     def around(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Ids at the 2 * reach places around each token, within its text."""
         reach, n = self.p.reach, np.diff(bounds)
-        wide = np.full(len(ids) + reach * (len(n) + 1), self.p.size, np.int32)
+        wide = np.full(len(ids) + reach * (len(n) + 1), self.p.size, ids.dtype)
         at = np.arange(len(ids)) + np.repeat(reach * np.arange(1, len(n) + 1), n)
         wide[at] = ids
         return np.stack([wide[at + d] for d in range(-reach, reach + 1) if d])
 
-    def _forward(self, near: np.ndarray, projected: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        hidden = projected[0][near[0]]
+    def _forward(self, near: np.ndarray, ids: np.ndarray, projected: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden layer, class and member probabilities of tokens in order of their ids, and where each class begins."""
+        hidden = np.take(projected[0], near[0], axis=0, mode="clip")
         hidden += self.shift
         for k in range(1, len(projected)):
-            hidden += projected[k][near[k]]
+            hidden += np.take(projected[k], near[k], axis=0, mode="clip")
         np.tanh(hidden, out=hidden)
-        score = hidden @ self.by_class + self.class_bias
-        score -= score.max(1, keepdims=True)
-        score -= np.log(np.exp(score).sum(1, keepdims=True))
-        return hidden, score
+        edges = np.searchsorted(ids, np.arange(self.p.classes + 1) * self.p.members)
+        score = hidden @ self.by_class
+        score += self.class_bias
+        inner = np.empty((len(ids), self.p.members), np.float32)
+        for c in range(self.p.classes):
+            rows = slice(edges[c], edges[c + 1])
+            np.matmul(hidden[rows], self.by_member[c], out=inner[rows])
+            inner[rows] += self.member_bias[c]
+        for x in (score, inner):
+            np.clip(x, -60, 60, out=x)  # exp stays in single precision's range
+            np.exp(x, out=x)
+            x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
+        return hidden, score, inner, edges
 
     def log_prob(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Log-probability of each token given those around it."""
         projected = [self.embed @ m for m in self.mixer]
         out, near = np.zeros(len(ids)), self.around(ids, bounds)
         for a in range(0, len(ids), 8192):
-            part = slice(a, a + 8192)
-            hidden, score = self._forward(near[:, part], projected)
-            group, member = np.divmod(ids[part], self.p.members)
-            got = score[np.arange(len(group)), group].astype(float)
-            order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(self.p.classes + 1))
-            for c in range(self.p.classes):
-                rows = order[edges[c] : edges[c + 1]]
-                if len(rows):
-                    s = hidden[rows] @ self.by_member[c] + self.member_bias[c]
-                    s -= s.max(1, keepdims=True)
-                    got[rows] += s[np.arange(len(rows)), member[rows]] - np.log(np.exp(s).sum(1))
-            out[part] = got
+            order = np.argsort(ids[a : a + 8192], kind="stable")
+            part = ids[a : a + 8192][order]
+            _, score, inner, _ = self._forward(near[:, a + order], part, projected)
+            group, member = np.divmod(part, self.p.members)
+            row = np.arange(len(part))
+            out[a + order] = np.log(score[row, group].astype(float)) + np.log(inner[row, member].astype(float))
         return out
 
     def _step(self, name: str, grad: np.ndarray, at=...) -> None:
         """Adagrad: each parameter's rate falls with the gradients it has had in this task."""
-        had = self.had.setdefault(name, np.full(getattr(self, name).shape, 1e-8, np.float32))
+        if name not in self.had:
+            self.had[name] = np.full(getattr(self, name).shape, 1e-8, np.float32)
+        had = self.had[name]
         had[at] += grad * grad
         getattr(self, name)[at] -= self.p.step * grad / np.sqrt(had[at])
 
     def learn(self, near: np.ndarray, ids: np.ndarray) -> None:
         """One step of gradient descent on a batch of tokens."""
         p, n = self.p, len(ids)
-        inputs = [self.embed[k] for k in near]
-        hidden = np.tile(self.shift, (n, 1))
-        for x, m in zip(inputs, self.mixer, strict=True):
-            hidden += x @ m
-        np.tanh(hidden, out=hidden)
+        order = np.argsort(ids, kind="stable")
+        near, ids = near[:, order], ids[order]
+        hidden, score, inner, edges = self._forward(near, ids, [self.embed @ m for m in self.mixer])
         group, member = np.divmod(ids, p.members)
-        score = hidden @ self.by_class + self.class_bias
-        score = np.exp(score - score.max(1, keepdims=True))
-        score /= score.sum(1, keepdims=True)
-        score[np.arange(n), group] -= 1
-        score /= n
+        row = np.arange(n)
+        for x, at in ((score, group), (inner, member)):
+            x[row, at] -= 1
+            x *= np.float32(1 / n)
         back = score @ self.by_class.T
+        grad, bias = np.zeros_like(self.by_member), np.zeros_like(self.member_bias)
+        for c in range(p.classes):
+            rows = slice(edges[c], edges[c + 1])
+            if edges[c] < edges[c + 1]:
+                back[rows] += inner[rows] @ self.by_member[c].T
+                np.matmul(hidden[rows].T, inner[rows], out=grad[c])
+                bias[c] = inner[rows].sum(0)
+        slope = hidden * hidden
+        np.subtract(1, slope, out=slope)
+        back *= slope
+        # of each neighbour's token, the sum of what comes back to it
+        embed, mixer = np.zeros_like(self.embed), np.zeros_like(self.mixer)
+        for k, at in enumerate(near):
+            by = np.argsort(at, kind="stable")
+            here = at[by]
+            begin = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+            sums, token = np.add.reduceat(np.take(back, by, axis=0, mode="clip"), begin), here[begin]
+            embed[token] += sums @ self.mixer[k].T
+            mixer[k] = self.embed[token].T @ sums
         self._step("by_class", hidden.T @ score)
         self._step("class_bias", score.sum(0))
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(p.classes + 1))
-        for c in range(p.classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                h = hidden[rows]
-                s = h @ self.by_member[c] + self.member_bias[c]
-                s = np.exp(s - s.max(1, keepdims=True))
-                s /= s.sum(1, keepdims=True)
-                s[np.arange(len(rows)), member[rows]] -= 1
-                s /= n
-                back[rows] += s @ self.by_member[c].T
-                self._step("by_member", h.T @ s, c)
-                self._step("member_bias", s.sum(0), c)
-        back *= 1 - hidden * hidden
+        self._step("by_member", grad)
+        self._step("member_bias", bias)
         self._step("shift", back.sum(0))
-        grads = np.concatenate([back @ m.T for m in self.mixer])
-        for k, x in enumerate(inputs):
-            self._step("mixer", x.T @ back, k)
-        flat = near.astype(np.int16 if p.size < 1 << 15 else np.int32).ravel()
-        order = np.argsort(flat, kind="stable")
-        at, begin = np.unique(flat[order], return_index=True)
-        self._step("embed", np.add.reduceat(grads[order], begin), at)
+        self._step("mixer", mixer)
+        self._step("embed", embed)
         self.embed[p.size] = 0
 
 

@@ -1,6 +1,7 @@
 """Each operator against brute force on small inputs, and its defined results for odd rows."""
 
 import hashlib
+import time
 import uuid
 import zlib
 from collections import Counter
@@ -120,7 +121,7 @@ def page(body, head=""):
     ],
 )
 def test_main_text(body, text):
-    assert html_text.main_text(page(body), set(), "h") == text
+    assert html_text.main_text(page(body), {}, "h") == text
 
 
 @pytest.mark.parametrize(
@@ -134,7 +135,7 @@ def test_main_text(body, text):
     ],
 )
 def test_names_do_not_drop_what_holds_the_main_element(body, text):
-    assert html_text.main_text(page(body), set(), "h") == text
+    assert html_text.main_text(page(body), {}, "h") == text
 
 
 def test_repeated_branches_of_a_site_are_removed(spark):
@@ -153,6 +154,69 @@ def test_copies_of_an_article_are_no_furniture(spark):
     assert {r.text for r in html_text.extract(df).collect()} == {prose(1, 60)}
 
 
+def test_notices_in_an_article_go_and_shared_passages_stay(spark):
+    notice, quote = "This site will be moved next week, see below", prose(77, 20)
+    body = lambda i: f"<article><h1>{prose(400 + i, 4)}</h1><p>{prose(i, 60)}</p><p>{quote if i < 4 else prose(900 + i, 20)}</p><p>{notice}</p></article>"
+    df = spark.createDataFrame([(i, f"http://s.example/{i}", page(body(i))) for i in range(30)], "page_id long, url string, html string")
+    for r in html_text.extract(df).collect():
+        i = r.page_id
+        assert r.text == "\n\n".join([prose(400 + i, 4), prose(i, 60), quote if i < 4 else prose(900 + i, 20)])
+
+
+def test_a_long_legal_text_of_a_site_of_stubs_is_removed(spark):
+    legal = prose(5, 300)
+    df = spark.createDataFrame([(i, f"http://s.example/{i}", page(f"<div><p>{prose(i + 10, 8)}</p></div><div><p>{legal}</p></div>")) for i in range(20)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: prose(i + 10, 8) for i in range(20)}
+
+
+def test_a_menu_with_one_item_of_its_own_goes_as_a_branch(spark):
+    items = "".join(f"<li>section {k}</li>" for k in range(8))
+    body = lambda i: f"<div class=c1><ul>{items}<li>you are at {i}</li></ul></div><div class=c2><p>{prose(i, 60)}</p></div>"
+    df = spark.createDataFrame([(i, f"http://s.example/{i}", page(body(i))) for i in range(25)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: prose(i, 60) for i in range(25)}
+
+
+def test_tree_values_equal_brute_force(spark):
+    """Importance of blocks and layout entropies against sums over the pages' own trees."""
+    rng = np.random.default_rng(2)
+    block = lambda: f"<p>{prose(int(rng.integers(0, 6)), 5)}</p>"
+    bodies = ["".join(f"<div class=c{k}>{''.join(block() for _ in range(rng.integers(1, 4)))}{'<hr><span><b>x</b></span>' if rng.integers(0, 2) else ''}</div>" for k in range(3)) for _ in range(40)]
+    rows = [(i, "http://s.example/", page(b)) for i, b in enumerate([*bodies, *bodies[:5]])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keyed = df.withColumns({"host": F.lit("s.example"), "p1": F.col("page_id"), "p2": F.col("page_id")}).select("p1", "p2", "host", "html")
+    p = html_text.Params()
+    found = {r.key: (r.value, r.weight) for r in html_text.low_values(keyed.mapInArrow(html_text._nodes, html_text.NODES_DDL), p).collect()}
+    styles, features = {}, {}
+    for _, _, html in rows:
+        x = html_text.read(html, "s.example")
+        for e in x.elements[1:]:
+            if e.texts:
+                styles.setdefault(html_text.node_key("s.example", e.path), set()).add((e.style, x.sign))
+        for (at, _), k in zip(x.blocks, x.keys, strict=True):
+            features.setdefault((html_text.node_key("s.example", x.elements[at].path), k), set()).add(x.sign)
+    expected = {}
+    for node, seen in styles.items():
+        n = np.array(list(Counter(s for s, _ in seen).values()))
+        if len(n) > 1:
+            expected[node] = (float(-(n / n.sum() * np.log(n / n.sum())).sum() / np.log(n.sum())), 1 - 0.9 ** len(n))
+    for (node, k), signs in features.items():
+        if len(signs) > 1:
+            expected[k] = (max(0.0, 1 - np.log(len(signs)) / np.log(len(styles[node]) + 2)), 0.0)
+    assert found.keys() == expected.keys()
+    assert all(found[k] == pytest.approx(v, abs=1e-9) for k, v in expected.items())
+
+
+def test_deep_and_hostile_pages_take_time_in_proportion():
+    def seconds(n):
+        begin = time.perf_counter()
+        for html in ("<div>x" * n, "<b>" * n + "<li>x" * n, "<article>" * n + "x", "<form>" * n + "<article>x" * n, "<p></q>x" * n, "<x-a>" * n + "<p>x" * n):
+            html_text.main_text(page(html), {}, "h")
+        return time.perf_counter() - begin
+
+    seconds(500)
+    assert seconds(16_000) < 24 * seconds(2000) + 0.5
+
+
 # -- 3 exact substrings
 
 
