@@ -33,8 +33,8 @@ def finite(diagram: DataFrame) -> DataFrame:
 def min_max(diagram: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
     """Both coordinates scaled to 0..1 over the (fitted) collection's range of each."""
     source = fitted if fitted is not None else diagram
-    bound = {c: (source.agg(F.min(c)).scalar(), source.agg(F.max(c)).scalar()) for c in ("birth", "death")}
-    return diagram.withColumns({c: F.coalesce(F.try_divide(F.col(c) - lo, hi - lo), F.lit(0.0)) for c, (lo, hi) in bound.items()})
+    ends = source.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in ("birth", "death") for n, f in (("low", F.min), ("high", F.max))]).alias("ends")).scalar()
+    return diagram.withColumns({c: F.coalesce(F.try_divide(F.col(c) - ends[f"low_{c}"], ends[f"high_{c}"] - ends[f"low_{c}"]), F.lit(0.0)) for c in ("birth", "death")})
 
 
 def scaled_by_amplitude(diagram: DataFrame, *keys: str) -> DataFrame:
@@ -65,8 +65,8 @@ def summaries(diagram: DataFrame, *keys: str, p: float = 2.0) -> DataFrame:
 
 def grid(diagram: DataFrame, m: int) -> tuple[Column, Column]:
     """Start and step of a grid of ``m`` points over the collection's births and deaths."""
-    low, high = diagram.agg(F.min("birth")).scalar(), diagram.agg(F.max("death")).scalar()
-    return low, (high - low) / F.lit(m - 1)
+    ends = diagram.agg(F.struct(F.min("birth").alias("low"), F.max("death").alias("high")).alias("ends")).scalar()
+    return ends["low"], (ends["high"] - ends["low"]) / F.lit(m - 1)
 
 
 def sampled(diagram: DataFrame, *keys: str, m: int = 100) -> DataFrame:
@@ -112,8 +112,8 @@ def gaussian_images(diagram: DataFrame, *keys: str, m: int = 20, sigma: float =
     the grid's range. A diagram is one array row, so nothing but the gathering
     of its points is shuffled.
     """
-    bounds = diagram.agg(F.min("birth").alias("low"), F.max("death").alias("high"))
-    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
+    ends = diagram.agg(F.struct(F.min("birth").alias("low"), F.max("death").alias("high")).alias("ends")).scalar()
+    low, high = ends["low"], ends["high"]
     points = F.collect_list(F.struct("birth", "death"))
     rows = diagram.where("death > birth").groupBy(*keys).agg(points["birth"].alias("births"), points["death"].alias("deaths")).withColumns({"low": low, "high": high})
     schema = ", ".join(f"{k} {t}" for k, t in diagram.dtypes if k in keys) + ", heat double, persistence_image double"
@@ -133,7 +133,22 @@ def gaussian_images(diagram: DataFrame, *keys: str, m: int = 20, sigma: float =
     return rows.mapInPandas(norms, schema)
 
 
-# -- distances to landmark diagrams
+def persistence_images(diagram: DataFrame, *keys: str, m: int = 20, sigma: float = 0.1) -> DataFrame:
+    """keys, place, value: the persistence image itself, row-major over (life, birth), of the cells that aren't 0.
+
+    Gaussians at (birth, life) weighted by life, as in ``gaussian_images``;
+    its L2 norm times the grid's step is the amplitude there.
+    """
+    ends = diagram.agg(F.struct(F.min("birth").alias("low"), F.max("death").alias("high")).alias("ends")).scalar()
+    rows = diagram.where("death > birth").withColumns({"low": ends["low"], "high": ends["high"]}).withColumn("life", F.col("death") - F.col("birth"))
+    width = F.col("high") - F.col("low")
+    bump = lambda at, x: F.exp(-F.pow(x - at, F.lit(2.0)) / (2 * F.pow(sigma * width, F.lit(2.0)))) / (math.sqrt(2 * math.pi) * sigma * width)
+    cells = rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(m * m - 1))))
+    across, up = F.col("low") + (F.col("place") % m) * width / (m - 1), F.floor(F.col("place") / m) * width / (m - 1)
+    return cells.groupBy(*keys, "place").agg(F.sum(F.col("life") * bump(F.col("birth"), across) * bump(F.col("life"), up)).alias("value")).where("value > 0")
+
+
+# -- distances to a query set of diagrams
 
 
 def as_arrays(diagram: DataFrame) -> DataFrame:
@@ -186,22 +201,29 @@ def _matches(ok: np.ndarray) -> bool:
     return all(augment(u, set()) for u in range(len(ok)))
 
 
-def to_landmarks(diagrams: DataFrame, landmarks: int, distance, name: str) -> DataFrame:
-    """image_id, landmark, ``name``: the distance of each diagram to a bounded number of landmark diagrams.
+def to_queries(diagrams: DataFrame, distance, name: str, every: int = 20, block: int = 64) -> DataFrame:
+    """image_id, other, ``name``: the distance of each diagram to each diagram of the query set, the images whose id is divisible by ``every``.
 
-    Landmarks are the first ``landmarks`` images by a hash of their id. They
-    make pairwise kernels linear in the number of images (Nystroem); with as
-    many landmarks as images the whole matrix comes out.
+    The query set grows with the images. Its diagrams are gathered in blocks of
+    about ``block``, and each diagram meets each block once. With ``every`` = 1
+    the whole matrix comes out.
     """
     arrays = as_arrays(diagrams)
-    chosen = [(r.image_id, np.array(r.points)) for r in arrays.orderBy(F.xxhash64("image_id"), "image_id").limit(landmarks).collect()]
+    asked = arrays.where(F.pmod("image_id", F.lit(every)) == 0)
+    blocks = F.greatest(F.ceil(asked.agg(F.count("*")).scalar() / F.lit(block)), F.lit(1)).cast("long")
+    sets = asked.groupBy(F.pmod(F.xxhash64("image_id"), blocks).alias("block")).agg(F.collect_list(F.struct("image_id", "points")).alias("asked"))
+    pairs = arrays.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(sets, "block").select("image_id", "points", "asked")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        as_matrix = lambda p: np.array([list(x) for x in p], float).reshape(-1, 2)
         for pdf in parts:
-            rows = [(i, j, distance(np.array([list(x) for x in p]).reshape(-1, 2), q.reshape(-1, 2))) for i, p in zip(pdf.image_id, pdf.points, strict=True) for j, q in chosen]
-            yield pd.DataFrame(rows, columns=["image_id", "landmark", name])
+            rows = []
+            for i, p, others in zip(pdf.image_id, pdf.points, pdf.asked, strict=True):
+                p = as_matrix(p)
+                rows += [(i, x["image_id"], distance(p, as_matrix(x["points"]))) for x in others]
+            yield pd.DataFrame(rows, columns=["image_id", "other", name])
 
-    return arrays.mapInPandas(run, f"image_id long, landmark long, {name} double")
+    return pairs.mapInPandas(run, f"image_id long, other long, {name} double")
 
 
 def kernel(distances: DataFrame, name: str, bandwidth: float) -> DataFrame:

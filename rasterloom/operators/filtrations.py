@@ -70,14 +70,40 @@ FOUR = [s for s in SHIFTS if 0 in s]
 
 
 def merge_tree(grid: np.ndarray, shifts: list[tuple[int, int]]) -> tuple[list[tuple[float, float]], list[float]]:
-    """Finite (birth, death) pairs of positive length, and births that never die, of the components of sublevel sets (elder rule)."""
+    """Finite (birth, death) pairs of positive length, and births that never die, of the components of sublevel sets (elder rule).
+
+    Every pixel belongs to the basin of the minimum that its steepest descent
+    ends in, a path that lies in each sublevel set that the pixel is in. So
+    basins merge where the lowest passes between them are; only these, a small
+    part of the pixels, are merged one by one.
+    """
     h, w = grid.shape
     vals = grid.ravel()
     order = np.argsort(vals, kind="stable")
     rank = np.empty(len(vals), np.int64)
     rank[order] = np.arange(len(vals))
-    parent = list(range(len(vals)))
-    pairs = []
+    square = rank.reshape(h, w)
+    least = np.pad(square, 1, constant_values=len(vals))
+    down = np.minimum.reduce([square, *(least[1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w] for dr, dc in shifts)]).ravel()[order]
+    while (further := down[down]).tobytes() != down.tobytes():
+        down = further
+    basin = down[rank].reshape(h, w)
+    passes = []
+    for dr, dc in (x for x in shifts if x > (0, 0)):
+        here = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
+        there = (slice(dr, h), slice(max(0, dc), w + min(0, dc)))
+        x, y, height = basin[here].ravel(), basin[there].ravel(), np.maximum(square[here], square[there]).ravel()
+        apart = np.flatnonzero(x != y)
+        passes.append(np.stack([np.minimum(x, y)[apart], np.maximum(x, y)[apart], height[apart]]))
+    low, high, height = np.concatenate(passes, axis=1) if passes else np.zeros((3, 0), np.int64)
+    by = np.lexsort((height, high, low))
+    low, high, height = low[by], high[by], height[by]
+    lowest = np.ones(len(low), bool)
+    lowest[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    by = np.flatnonzero(lowest)
+    by = by[np.argsort(height[by], kind="stable")]
+    minima = np.flatnonzero(down == np.arange(len(down)))
+    parent, pairs, sorted_vals = {x: x for x in minima.tolist()}, [], vals[order]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -85,17 +111,14 @@ def merge_tree(grid: np.ndarray, shifts: list[tuple[int, int]]) -> tuple[list[tu
             x = parent[x]
         return x
 
-    for p in order.tolist():
-        r, c = divmod(p, w)
-        for dr, dc in shifts:
-            if 0 <= r + dr < h and 0 <= c + dc < w and rank[q := (r + dr) * w + c + dc] < rank[p]:
-                a, b = find(p), find(q)
-                if a != b:
-                    old, young = (a, b) if rank[a] < rank[b] else (b, a)
-                    parent[young] = old
-                    if vals[young] < vals[p]:
-                        pairs.append((float(vals[young]), float(vals[p])))
-    return pairs, [float(vals[p]) for p in range(len(vals)) if parent[p] == p]
+    for x, y, at in zip(low[by].tolist(), high[by].tolist(), height[by].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            old, young = min(x, y), max(x, y)
+            parent[young] = old
+            if sorted_vals[young] < sorted_vals[at]:
+                pairs.append((float(sorted_vals[young]), float(sorted_vals[at])))
+    return pairs, [float(sorted_vals[x]) for x in parent if parent[x] == x]
 
 
 def persistence(grid: np.ndarray) -> list[tuple[int, float, float]]:
@@ -125,3 +148,37 @@ def cubical(filtered: DataFrame) -> DataFrame:
     """image_id, filtration, dim, birth, death of each field; a component that never dies has death infinity."""
     named = filtered if "filtration" in filtered.columns else filtered.withColumn("filtration", F.lit("values"))
     return named.select("image_id", "filtration", "h", "w", "vals").mapInArrow(_diagrams, "image_id long, filtration string, dim int, birth double, death double")
+
+
+# -- all filtrations of a binary field, with their diagrams, in one step
+
+
+def value_grids(h: int, w: int, centres: tuple[tuple[float, float], ...]) -> dict[str, np.ndarray]:
+    """The values of foreground pixels in each height and radial filtration of a field of this shape."""
+    r, c = np.mgrid[:h, :w].astype(float)
+    out = {}
+    for n, (dr, dc) in enumerate(DIRECTIONS):
+        length = float(np.hypot(dr, dc))
+        out[f"height_{n}"] = r * (dr / length) + c * (dc / length) - min(0.0, (h - 1) * (dr / length)) - min(0.0, (w - 1) * (dc / length))
+    for n, (a, b) in enumerate(centres):
+        out[f"radial_{n}"] = np.sqrt((r - a) * (r - a) + (c - b) * (c - b))
+    return out
+
+
+def all_diagrams(binary: DataFrame, centres: tuple[tuple[float, float], ...]) -> DataFrame:
+    """``cubical(all_filtrations(binary, centres))`` without a row for each field and filtration in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grids: dict[tuple[int, int], dict[str, np.ndarray]] = {}
+        for b in batches:
+            rows: list[tuple] = []
+            for image, h, w, vals in zip(*(b.column(c).to_pylist() for c in ("image_id", "h", "w", "vals")), strict=True):
+                inside = np.array(vals, float).reshape(h, w) > 0
+                if (h, w) not in grids:
+                    grids = {(h, w): value_grids(h, w, centres)}
+                for name, grid in grids[h, w].items():
+                    rows += [(image, name, *x) for x in persistence(np.where(inside, grid, grid.max() + 1))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), DIAGRAM, strict=True)], schema=DIAGRAM)
+
+    return binary.select("image_id", "h", "w", "vals").mapInArrow(run, "image_id long, filtration string, dim int, birth double, death double")

@@ -6,10 +6,14 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators import diagrams
+from rasterloom.operators.features import mix_id
+
 
 def standardized(rows: DataFrame, columns: list[str], fitted: DataFrame | None = None) -> DataFrame:
     """Columns less their mean, over the population standard deviation of the (training) rows; 0 where that is 0."""
@@ -37,8 +41,25 @@ def forest_accuracy(rows: DataFrame, trees: int = 100, seed: int = 0) -> DataFra
 
 
 def kernel_svm(reg: float = 0.01) -> Pipeline:
-    """Linear machine over kernel values to landmarks: the stand-in for a machine with a precomputed kernel."""
-    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LinearSVC(featuresCol="scaled", labelCol="label", regParam=reg)])
+    """Linear machine over kernel values to the query set: the stand-in for a machine with a precomputed kernel."""
+    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), LinearSVC(featuresCol="scaled", labelCol="label", regParam=reg, maxIter=30)])
+
+
+def kernel_rows(kernel: DataFrame, name: str = "kernel") -> DataFrame:
+    """image_id, features: each image's kernel values (image_id, other, ``name``) in order of the others."""
+    ordered = F.array_sort(F.collect_list(F.struct("other", name)))
+    return kernel.groupBy("image_id").agg(array_to_vector(F.transform(ordered, lambda x: x[name])).alias("features"))
+
+
+def kernel_accuracy(rows: DataFrame, reg: float = 0.01) -> DataFrame:
+    """train_rows, test_rows, train_accuracy, test_accuracy of a kernel machine fitted where not is_test (columns features, label, is_test)."""
+    rows = rows.persist()
+    train, test = rows.where("not is_test"), rows.where("is_test")
+    counts = train.count(), test.count()  # fills the cache, so that the plans below don't hold what the rows came from
+    model = kernel_svm(reg).fit(train)
+    found = (*counts, *(float(accuracy(model.transform(x))) for x in (train, test)))
+    rows.unpersist()
+    return rows.sparkSession.createDataFrame([found], "train_rows long, test_rows long, train_accuracy double, test_accuracy double")
 
 
 def grid_search(rows: DataFrame, folds: int = 3, seed: int = 0, parallelism: int = 4) -> DataFrame:
@@ -56,6 +77,60 @@ def grid_search(rows: DataFrame, folds: int = 3, seed: int = 0, parallelism: int
     return rows.sparkSession.createDataFrame([(n, m, m == best) for n, m in found], "candidate string, metric double, best boolean")
 
 
+def diagram_grid(diagram: DataFrame, labels: DataFrame, folds: int = 3, every: int = 20, trees: int = 20) -> DataFrame:
+    """candidate, metric, best: cross-validated accuracy of eight ways from diagrams (image_id, birth, death) to a class (image_id, label 0 or 1).
+
+    With and without scaling to 0..1: a kernel machine over sliced Wasserstein
+    kernels of two bandwidths, a forest over silhouettes at 100 places, and
+    neighbours by bottleneck distance (up to 0.1). Kernels and distances are to
+    the query set (``diagrams.to_queries``); neighbours vote on it. Folds go by
+    the scrambled id.
+    """
+    cases = labels.withColumn("fold", (mix_id("image_id", 0) % folds).cast("int")).persist()
+    evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+
+    def checked(estimator, rows: DataFrame) -> float:
+        rows = rows.join(cases, "image_id").persist()
+        rows.count()
+        model = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds, foldCol="fold").fit(rows)
+        rows.unpersist()
+        return float(model.avgMetrics[0])
+
+    found = []
+    for scaled in (False, True):
+        points = diagrams.finite(diagram)
+        points = (diagrams.min_max(points) if scaled else points).persist()
+        moved = diagrams.to_queries(points, diagrams.sliced_wasserstein, "distance", every).persist()
+        for width in (0.1, 1.0):
+            found.append((f"sliced_wasserstein bandwidth={width} scaled={scaled}", checked(kernel_svm(), kernel_rows(diagrams.kernel(moved, "distance", width)))))
+        moved.unpersist()
+        grid = diagrams.sampled(points, "image_id", m=100).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "silhouette"))).alias("at"))
+        silhouettes = grid.select("image_id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0)))).alias("features"))
+        found.append((f"silhouette forest scaled={scaled}", checked(RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=0), silhouettes)))
+        near = diagrams.to_queries(points, lambda a, b: diagrams.bottleneck(a, b, 0.1), "distance", every).select(F.col("other").alias("image_id"), F.col("image_id").alias("other"), "distance")
+        fold = lambda n: cases.select(F.col("image_id").alias(n), F.col("fold").alias(f"fold_{n}"))
+        apart = near.join(fold("image_id"), "image_id").join(fold("other"), "other").where("fold_image_id <> fold_other")
+        votes = neighbours_vote(apart.select("image_id", "other", "distance"), cases.select("image_id", "label")).join(cases, "image_id")
+        by_fold = votes.groupBy("fold").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("a")).agg(F.avg("a")).first()[0]
+        found.append((f"bottleneck neighbours scaled={scaled}", float(by_fold or 0.0)))
+        points.unpersist()
+    cases.unpersist()
+    best = max(m for _, m in found)
+    return labels.sparkSession.createDataFrame([(n, m, m == best) for n, m in found], "candidate string, metric double, best boolean")
+
+
+def query_pairs(rows: DataFrame, every: int = 20, block: int = 64) -> DataFrame:
+    """Each row of the query set (image_id divisible by ``every``) beside each other row, whose columns are named other_...
+
+    The query set is dealt into blocks, and a row meets each block once.
+    """
+    asked = rows.where(F.pmod("image_id", F.lit(every)) == 0)
+    blocks = F.greatest(F.ceil(asked.agg(F.count("*")).scalar() / F.lit(block)), F.lit(1)).cast("long")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("image_id"), blocks))
+    others = rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns], F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    return asked.join(others, "block").where("image_id <> other_image_id").drop("block")
+
+
 def neighbours_vote(distances: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     """image_id, predicted: the commonest label among the ``k`` nearest others (ties to the nearer id, then the smaller label).
 

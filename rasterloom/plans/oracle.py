@@ -12,7 +12,7 @@ SALES = """n AS (SELECT CAST(ascii(l_returnflag) AS BIGINT) AS image_id, (CAST(f
   FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 AND l_discount BETWEEN 0 AND 0.10 GROUP BY 1, 2),
 f AS (SELECT g.image_id, i // 11 AS r, i % 11 AS c, i AS pos, CAST(coalesce(n.n, 0) AS DOUBLE) AS v
   FROM (SELECT DISTINCT image_id FROM n) g CROSS JOIN (SELECT unnest(range(550)) AS i) t LEFT JOIN n ON n.image_id = g.image_id AND n.pos = t.i)"""
-EVENTS = """n AS (SELECT CAST(ascii(event_type) AS BIGINT) * 256 + length(event_type) AS image_id, (day(ts) - 1) * 24 + hour(ts) AS pos, count(*) AS n FROM events GROUP BY 1, 2),
+EVENTS = """n AS (SELECT image_id, (day(ts) - 1) * 24 + hour(ts) AS pos, count(*) AS n FROM (SELECT ts, dense_rank() OVER (ORDER BY event_type) AS image_id FROM events) GROUP BY 1, 2),
 f AS (SELECT g.image_id, i // 24 AS r, i % 24 AS c, i AS pos, CAST(coalesce(n.n, 0) AS DOUBLE) AS v
   FROM (SELECT DISTINCT image_id FROM n) g CROSS JOIN (SELECT unnest(range(744)) AS i) t LEFT JOIN n ON n.image_id = g.image_id AND n.pos = t.i)"""
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from rasterloom.functions import pixels as px
 from rasterloom.functions import thresholds as th
 from rasterloom.operators import augment, components, curves, diagrams, features, filtrations, ml, tracking, volumes
 from rasterloom.plans import oracle as o
+from rasterloom.plans.cache import kept
 from rasterloom.sources import fields as src
 
 FLAGSHIP = "lkc_curves"
@@ -178,9 +178,13 @@ def eap_range_curve(spark, d):
     return volumes.eap_curves_in_range(_chosen(spark, d), N)
 
 
-@registered()
+_POSITIVE = f"""zp AS (SELECT volume_id, pos, CASE WHEN m > 0 THEN z - min(z) OVER (PARTITION BY volume_id) ELSE 0.0 END AS v FROM zs), f AS (SELECT volume_id, pos // 4 AS r, pos % 4 AS c, v FROM zp),
+rng AS (SELECT volume_id, min(v) AS mn, max(v) AS mx FROM f WHERE v > 0 GROUP BY ALL), lv AS (SELECT volume_id, CAST(k AS INTEGER) AS k, {o.linspace(N)} AS t FROM rng, (SELECT unnest(range({N})) AS k) s)"""
+
+
+@registered(o.query(o.VOLUME, _MEAN, _POSITIVE, o.curves("volume_id"), select="SELECT volume_id, k, round(t, 6) AS t, area, perimeter_open, euler FROM cur"))
 def eap_curve(spark, d):
-    return volumes.eap_curves(_chosen(spark, d), N)
+    return volumes.eap_curves(_chosen(spark, d), N).withColumn("t", F.round("t", 6))
 
 
 @registered(o.query(o.VOLUME, o.COHORT, select=f"SELECT volume_id, CAST(slice AS INTEGER) AS slice, CAST({N - 1} - k AS INTEGER) AS k, {o.linspace(N)} AS t FROM (SELECT DISTINCT volume_id, slice FROM pl) p, co, (SELECT unnest(range({N})) AS k) s"))
@@ -244,6 +248,11 @@ def h0_summary(spark, d):
     return _rounded(tracking.diagram(_tracked(spark, d), rule="perimeter", essential="inf"))
 
 
+@registered(o.query(*_T8, o.tracker(8, 8, "perimeter"), select=o.DIAGRAM.format(last="at_last", length="d - b"), recursive=True))
+def h0_summary_last(spark, d):
+    return _rounded(tracking.diagram(_tracked(spark, d), rule="perimeter"))
+
+
 @registered(o.query(o.FIELD8, o.quantile_levels(NT), o.tracker(8, 8), select=o.DIAGRAM.format(last="at_last", length="d - b"), recursive=True))
 def h0_quantile_diagram(spark, d):
     return _rounded(tracking.diagram(th.quantiles(src.field8(spark, d), NT)))
@@ -309,12 +318,28 @@ def landscape_layers(spark, d):
     return diagrams.landscape_layers(_weighted(spark, d), "image_id").withColumn("value", F.round("value", 5)).where("value > 0")
 
 
-@registered()
+def _bump(at: str, x: str) -> str:
+    return f"exp(-(({x}) - ({at})) * (({x}) - ({at})) / (2 * s * s)) / (sqrt(2 * pi()) * s)"
+
+
+_BUMPS = f"""en AS (SELECT min(birth) AS low, max(death) - min(birth) AS width, (max(death) - min(birth)) * CAST(0.1 AS DOUBLE) AS s FROM wd),
+pt AS (SELECT image_id, birth, death, death - birth AS life, low, width, s FROM wd, en WHERE death > birth), pl AS (SELECT CAST(unnest(range(20)) AS DOUBLE) / 19 AS u),
+cl AS (SELECT image_id, any_value(width) / 19 AS step, CAST(round(19 * x.u) AS INTEGER) AS i, CAST(round(19 * y.u) AS INTEGER) AS j,
+  sum({_bump("birth", "low + width * x.u")} * {_bump("death", "low + width * y.u")} - {_bump("birth", "low + width * y.u")} * {_bump("death", "low + width * x.u")}) AS heat,
+  sum(life * {_bump("birth", "low + width * x.u")} * {_bump("life", "width * y.u")}) AS image FROM pt, pl x, pl y GROUP BY ALL)"""
+
+
+@registered(o.query(*_T8, o.tracker(8, 8), _WD, _BUMPS, select="SELECT image_id, round(any_value(step) * sqrt(sum(heat * heat)), 6) AS heat, round(any_value(step) * sqrt(sum(image * image)), 6) AS persistence_image FROM cl GROUP BY ALL", recursive=True))
 def gaussian_amplitudes(spark, d):
     found = diagrams.gaussian_images(_weighted(spark, d), "image_id")
     return found.select("image_id", F.round("heat", 6).alias("heat"), F.round("persistence_image", 6).alias("persistence_image"))
 
 
+@registered(o.query(*_T8, o.tracker(8, 8), _WD, _BUMPS, select="SELECT image_id, j * 20 + i AS place, round(image, 6) AS value FROM cl WHERE round(image, 6) > 0", recursive=True))
+def persistence_image(spark, d):
+    return diagrams.persistence_images(_weighted(spark, d), "image_id").withColumn("value", F.round("value", 6)).where("value > 0")
+
+
 @registered(o.query(*_T8, o.tracker(8, 8), _WD, "fi AS (SELECT * FROM wd WHERE death > birth)", select="""SELECT image_id, CAST(gem AS INTEGER) AS gem, round((birth - (SELECT min(birth) FROM fi)) / nullif((SELECT max(birth) - min(birth) FROM fi), 0), 6) AS birth,
   round((death - (SELECT min(death) FROM fi)) / nullif((SELECT max(death) - min(death) FROM fi), 0), 6) AS death FROM fi""", recursive=True))
 def scaled_diagram(spark, d):
@@ -358,13 +383,23 @@ def cubical_persistence(spark, d):
     return filtrations.cubical(src.field8(spark, d))
 
 
+_FORMS = [(f"height_{n}", f"(r * {a} + c * {b}) / sqrt(CAST({a * a + b * b} AS DOUBLE)) + {7 * ((a < 0) + (b < 0))} / sqrt(CAST({a * a + b * b} AS DOUBLE))") for n, (a, b) in enumerate(filtrations.DIRECTIONS)]
+_FORMS += [(f"radial_{n}", f"sqrt((r - {a}) * (r - {a}) + (c - {b}) * (c - {b}))") for n, (a, b) in enumerate(CENTRES8)]
+_PLACED = "pv AS (" + " UNION ALL ".join(f"SELECT image_id, '{n}' AS filtration, pos, v, CAST({x} AS DOUBLE) AS x FROM bi" for n, x in _FORMS) + ")"
+
+
+@registered(o.query(o.FIELD8, _BIN, _PLACED, select="SELECT image_id, filtration, CAST(pos AS INTEGER) AS pos, round(CASE WHEN v > 0 THEN x ELSE max(x) OVER (PARTITION BY image_id, filtration) + 1 END, 6) AS v FROM pv"))
+def filtration_values(spark, d):
+    """Pixels of all 17 filtrations: eight directions, nine centres."""
+    found = filtrations.all_filtrations(_binary(spark, d), CENTRES8)
+    return found.select("image_id", "filtration", F.posexplode("vals").alias("pos", "v")).withColumn("v", F.round("v", 6))
+
+
 @registered()
 def filtration_features(spark, d):
     """image_id, filtration, dim and eight features of each of 17 filtrations in two dimensions, after scaling each by its collection."""
     keys = ("image_id", "filtration", "dim")
-    from rasterloom.plans.cache import kept
-
-    points = kept(diagrams.finite(filtrations.cubical(filtrations.all_filtrations(_binary(spark, d), CENTRES8))))
+    points = kept(diagrams.finite(filtrations.all_diagrams(_binary(spark, d), CENTRES8)))
     points = diagrams.scaled_by_amplitude(points, "filtration", "dim")
     base, sampled, blurred = diagrams.summaries(points, *keys), diagrams.sampled_amplitudes(points, *keys, m=50), diagrams.gaussian_images(points, *keys, m=20)
     joined = base.join(sampled, list(keys)).join(blurred, list(keys))
@@ -378,26 +413,26 @@ def filtration_features(spark, d):
 @registered()
 def sliced_wasserstein_kernel(spark, d):
     points = diagrams.min_max(diagrams.finite(_weighted(spark, d)))
-    found = diagrams.kernel(diagrams.to_landmarks(points, 32, diagrams.sliced_wasserstein, "distance"), "distance", 1.0)
-    return found.select("image_id", "landmark", F.round("distance", 6).alias("distance"), F.round("kernel", 6).alias("kernel"))
+    found = diagrams.kernel(diagrams.to_queries(points, diagrams.sliced_wasserstein, "distance"), "distance", 1.0)
+    return found.select("image_id", "other", F.round("distance", 6).alias("distance"), F.round("kernel", 6).alias("kernel"))
 
 
 @registered()
 def bottleneck_distances(spark, d):
     points = diagrams.min_max(diagrams.finite(_weighted(spark, d)))
-    return diagrams.to_landmarks(points, 16, lambda a, b: diagrams.bottleneck(a, b, 0.0), "distance").withColumn("distance", F.round("distance", 6))
+    return diagrams.to_queries(points, lambda a, b: diagrams.bottleneck(a, b, 0.0), "distance").withColumn("distance", F.round("distance", 6))
 
 
 _SUBJECT = "sb AS (SELECT vec_id AS image_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings)"
 
 
-@registered(o.query(_SUBJECT, "ds AS (SELECT a.image_id, b.image_id AS other, b.label, abs(a.x - b.x) + abs(a.y - b.y) AS distance FROM sb a JOIN sb b ON a.image_id <> b.image_id)", "nr AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY distance, other) AS place FROM ds)", "vt AS (SELECT image_id, label, count(*) AS n FROM nr WHERE place <= 5 GROUP BY ALL)", "bt AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, label) AS place FROM vt)", select="SELECT image_id, label AS predicted FROM bt WHERE place = 1"))
+@registered(o.query(_SUBJECT, "ds AS (SELECT a.image_id, b.image_id AS other, b.label, abs(a.x - b.x) + abs(a.y - b.y) AS distance FROM sb a JOIN sb b ON a.image_id % 20 = 0 AND a.image_id <> b.image_id)", "nr AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY distance, other) AS place FROM ds)", "vt AS (SELECT image_id, label, count(*) AS n FROM nr WHERE place <= 5 GROUP BY ALL)", "bt AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, label) AS place FROM vt)", select="SELECT image_id, label AS predicted FROM bt WHERE place = 1"))
 def knn_vote(spark, d):
-    """Votes over precomputed distances (here of two coordinates): the operator takes the distance table as given."""
+    """Votes on the query set over precomputed distances (here of two coordinates): the operator takes the distance table as given."""
     e = src.doubles("embedding")
     points = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.get(e, 0).alias("x"), F.get(e, 1).alias("y"), "label")
-    other = points.select(F.col("image_id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    distances = points.join(other, F.col("image_id") != F.col("other")).select("image_id", "other", (F.abs(F.col("x") - F.col("ox")) + F.abs(F.col("y") - F.col("oy"))).alias("distance"))
+    pairs = ml.query_pairs(points.drop("label"))
+    distances = pairs.select("image_id", F.col("other_image_id").alias("other"), (F.abs(F.col("x") - F.col("other_x")) + F.abs(F.col("y") - F.col("other_y"))).alias("distance"))
     return ml.neighbours_vote(distances, points.select("image_id", "label"))
 
 
@@ -451,7 +486,13 @@ def _fused(spark, d) -> DataFrame:
     return features.fused(corrected, sums.select("image_id", F.inline(columns)), sums.select("image_id", F.col("normalized_entropy").alias("entropy")), N)
 
 
-@registered()
+_TOPOLOGY = " UNION ALL ".join(f"SELECT image_id, {i} AS position, CAST({c} AS DOUBLE) AS value FROM sm" for i, c in enumerate(("points", "bottleneck", "wasserstein")))
+_CORRECTED = {"area": "area", "per": "perimeter_closed - 4.0 / CAST(8 AS DOUBLE) * area", "chi": f"euler - CAST(4.0 AS DOUBLE) / (2 * {_PI} * 8) * perimeter_closed + (1 / (2 * {_PI}) * 0.25 - CAST(0.125 AS DOUBLE)) * area"}
+_FUSED = f"""fz AS ({_TOPOLOGY} UNION ALL {" UNION ALL ".join(f"SELECT image_id, {3 + N * j} + k, CAST({x} AS DOUBLE) FROM cur" for j, x in enumerate(_CORRECTED.values()))}
+UNION ALL SELECT image_id, {3 + 3 * N}, coalesce((log2(s) - sl / s) / nullif(log2(s), 0), -1) FROM sm)"""
+
+
+@registered(o.query(o.FIELD8, o.levels(N, descending=True), o.curves(), o.tracker(8, 8), _WD, _SUMS, _FUSED, select="SELECT image_id, CAST(position AS INTEGER) AS position, round(value, 6) AS value FROM fz", recursive=True))
 def fused_features(spark, d):
     return _fused(spark, d).withColumn("value", F.round("value", 6))
 
@@ -463,19 +504,25 @@ def forest_accuracy(spark, d):
     return ml.forest_accuracy(rows, trees=20)
 
 
+def _two_classes(spark, d) -> DataFrame:
+    return _ids(spark, d).withColumn("label", (F.col("label") >= 5).cast("double"))
+
+
 @registered()
 def grid_search(spark, d):
-    rows = features.to_vector(features.geometric_long(src.rgbg4(spark, d), 4)).join(_ids(spark, d).withColumn("label", (F.col("label") >= 5).cast("double")), "image_id")
+    rows = features.to_vector(features.geometric_long(src.rgbg4(spark, d), 4)).join(_two_classes(spark, d), "image_id")
     return ml.grid_search(rows)
 
 
+@registered()
+def diagram_grid(spark, d):
+    return ml.diagram_grid(kept(_weighted(spark, d).select("image_id", "birth", "death")), _two_classes(spark, d))
+
+
 @registered()
 def kernel_svm(spark, d):
-    """Training accuracy of a linear machine over kernel values to landmarks."""
+    """Accuracy in training and in test of a machine over kernel values to the query set."""
     points = diagrams.min_max(diagrams.finite(_weighted(spark, d)))
-    values = diagrams.kernel(diagrams.to_landmarks(points, 16, diagrams.sliced_wasserstein, "distance"), "distance", 1.0)
-    ordered = F.array_sort(F.collect_list(F.struct("landmark", "kernel")))
-    rows = values.groupBy("image_id").agg(array_to_vector(F.transform(ordered, lambda x: x["kernel"])).alias("features"))
-    rows = rows.join(_ids(spark, d).withColumn("label", (F.col("label") >= 5).cast("double")), "image_id")
-    model = ml.kernel_svm().fit(rows)
-    return spark.createDataFrame([(rows.count(), float(ml.accuracy(model.transform(rows))))], "rows long, accuracy double")
+    values = diagrams.kernel(diagrams.to_queries(points, diagrams.sliced_wasserstein, "distance"), "distance", 1.0)
+    rows = ml.kernel_rows(values).join(features.hash_split(_two_classes(spark, d), "image_id", 0.35, 0), "image_id")
+    return ml.kernel_accuracy(rows)

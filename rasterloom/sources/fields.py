@@ -7,7 +7,11 @@ column too (0, 1, 2 = blue, green, red, 3 = gray).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.binding import let
@@ -75,10 +79,18 @@ def sales_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day of month (31) and hour (24), a field for each event type, numbered by name."""
     events = table(spark, sf_dir, "events")
-    names = events.select("event_type").distinct().withColumn("image_id", F.ascii("event_type").cast("long") * 256 + F.length("event_type"))
+    names = events.select("event_type").distinct().withColumn("image_id", F.dense_rank().over(Window.orderBy("event_type")).cast("long"))  # as many rows as types
     return from_counts(events.join(F.broadcast(names), "event_type"), F.col("image_id"), F.dayofmonth("ts") - 1, F.hour("ts"), 31, 24)
 
 
+def field224(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of 224 x 224: the components of 784 vectors on end, from every 64th vector on."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", doubles("embedding").alias("e"))
+    first = F.greatest(F.ceil((F.col("vec_id") - 783) / 64), F.lit(0)).cast("long")
+    rows = rows.withColumn("image_id", F.explode(F.sequence(first, F.floor(F.col("vec_id") / 64)))).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "e")))["e"].alias("rows"))
+    return rows.where(F.size("rows") == 784).select("image_id", F.lit(224).alias("h"), F.lit(224).alias("w"), F.flatten("rows").alias("vals"))
+
+
 def pixels(fields: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("image_id",)
     long = fields.select(*keys, "w", F.posexplode("vals").alias("pos", "v"))
@@ -101,16 +113,27 @@ def with_class(images: DataFrame) -> DataFrame:
     return images.withColumns({"split": part(1), "class": part(2)}).withColumn("label", (F.col("class") == "malignant").cast("int"))
 
 
-def _byte(i: Column) -> Column:
-    return F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("double")
+def _decoded(images: DataFrame, make, schema: str) -> DataFrame:
+    """Rows of ``make``: for each image's bytes, as h x w x channels, (channel or None, values) of its fields, inverted (max - v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for image, h, w, n, data in zip(*(b.column(c).to_pylist() for c in ("image_id", "height", "width", "nChannels", "data")), strict=True):
+                for channel, vals in make(np.frombuffer(data, np.uint8).reshape(h, w, n).astype(float)):
+                    rows.append((image, channel, h, w, (vals.max() - vals).ravel()))
+            if rows:
+                columns = dict(zip(("image_id", "channel", "h", "w", "vals"), zip(*rows, strict=True), strict=True))
+                arrow = {"image_id": pa.int64(), "channel": pa.int32(), "h": pa.int32(), "w": pa.int32(), "vals": pa.list_(pa.float64())}
+                names = [x.split()[0] for x in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[x], arrow[x]) for x in names], names=names)
+
+    return images.select("image_id", "height", "width", "nChannels", "data").mapInArrow(run, schema)
 
 
 def channels(images: DataFrame, keep: int = 3) -> DataFrame:
     """The first ``keep`` channels of each colour image, each inverted (max - v), as fields."""
-    n = F.col("nChannels")
-    at = lambda k: F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), lambda i: _byte(i * n + k))
-    out = images.where(n >= keep).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(keep - 1))))
-    return out.select("image_id", "channel", F.col("height").alias("h"), F.col("width").alias("w"), let(at(F.col("channel")), inverted).alias("vals"))
+    return _decoded(images.where(F.col("nChannels") >= keep), lambda x: [(k, x[:, :, k]) for k in range(keep)], "image_id long, channel int, h int, w int, vals array<double>")
 
 
 def gray_fields(images: DataFrame) -> DataFrame:
@@ -118,10 +141,8 @@ def gray_fields(images: DataFrame) -> DataFrame:
 
     An image decoder's own gray may differ by one.
     """
-    n = F.col("nChannels")
-    weigh = lambda i: F.when(n < 3, _byte(i * n)).otherwise(F.round(0.299 * _byte(i * n + 2) + 0.587 * _byte(i * n + 1) + 0.114 * _byte(i * n)))
-    vals = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), weigh)
-    return images.select("image_id", F.col("height").alias("h"), F.col("width").alias("w"), let(vals, inverted).alias("vals"))
+    weigh = lambda x: x[:, :, 0] if x.shape[2] < 3 else np.floor(0.299 * x[:, :, 2] + 0.587 * x[:, :, 1] + 0.114 * x[:, :, 0] + 0.5)
+    return _decoded(images, lambda x: [(None, weigh(x))], "image_id long, h int, w int, vals array<double>")
 
 
 def inverted(vals: Column) -> Column:

@@ -1,5 +1,6 @@
 """Micro-fields worked out by hand, identities on random fields, and edge cases."""
 
+import itertools
 import math
 
 import numpy as np
@@ -210,6 +211,90 @@ def test_diagram_distances():
     assert diagrams.bottleneck(a, np.zeros((0, 2))) == 2.0
 
 
+def test_distances_to_the_query_set(spark):
+    """Every diagram meets every diagram of the query set, whatever the blocks; values against one pair at a time."""
+    rng = np.random.default_rng(4)
+    points = {i: np.sort(rng.random((rng.integers(1, 5), 2)), axis=1) for i in range(50)}
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, p in points.items() for a, b in p], "image_id long, birth double, death double")
+    for f in (diagrams.sliced_wasserstein, diagrams.bottleneck):
+        found = {(r.image_id, r.other): r.d for r in diagrams.to_queries(rows, f, "d", every=7, block=2).collect()}
+        assert found == {(i, j): pytest.approx(f(points[i], points[j])) for i in points for j in points if j % 7 == 0}
+
+
+def test_bottleneck_equals_the_best_of_all_matchings():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        a, b = (np.sort(rng.random((rng.integers(0, 4), 2)), axis=1) for _ in range(2))
+        n, m = len(a), len(b)
+        best = math.inf
+        for order in itertools.permutations(range(n + m)):  # a's points and m diagonal ones to b's points and n diagonal ones
+            worst = 0.0
+            for i, j in enumerate(order):
+                if i < n and j < m:
+                    worst = max(worst, np.abs(a[i] - b[j]).max())
+                elif i < n or j < m:
+                    x = a[i] if i < n else b[j]
+                    worst = max(worst, (x[1] - x[0]) / 2)
+            best = min(best, worst)
+        assert diagrams.bottleneck(a, b) == pytest.approx(best if n + m else 0.0)
+
+
+def sequential_pairs(grid, shifts):
+    """Components of sublevel sets, pixel by pixel in order of value."""
+    h, w = grid.shape
+    order, label, born, pairs = np.argsort(grid.ravel(), kind="stable"), {}, {}, []
+    for turn, p in enumerate(order.tolist()):
+        r, c = divmod(p, w)
+        near = {label[q] for dr, dc in shifts if 0 <= r + dr < h and 0 <= c + dc < w and (q := (r + dr) * w + c + dc) in label}
+        own = min(near, key=born.get) if near else p
+        born.setdefault(own, turn)
+        label[p] = own
+        for other in near - {own}:
+            if grid.flat[order[born[other]]] < grid.flat[p]:
+                pairs.append((float(grid.flat[order[born[other]]]), float(grid.flat[p])))
+            label = {k: own if v == other else v for k, v in label.items()}
+    return sorted(pairs), sorted(float(grid.flat[order[born[x]]]) for x in set(label.values()))
+
+
+@pytest.mark.parametrize("shifts", [filtrations.SHIFTS, filtrations.FOUR])
+def test_merge_tree_equals_pixel_by_pixel(shifts):
+    rng = np.random.default_rng(6)
+    for k in range(30):
+        grid = rng.integers(0, [3, 100][k % 2], rng.integers(1, 9, 2)).astype(float)
+        pairs, forever = filtrations.merge_tree(grid, shifts)
+        assert (sorted(pairs), sorted(forever)) == sequential_pairs(grid, shifts)
+
+
+def test_diagrams_of_all_filtrations_in_one_step(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, 5, 7, rng.integers(0, 2, 35).astype(float).tolist()) for i in range(6)] + [(9, 3, 3, [0.0] * 9)]
+    binary = spark.createDataFrame(rows, "image_id long, h int, w int, vals array<double>")
+    centres = ((1.0, 2.0), (2.5, 3.5))
+    key = lambda df: sorted((r.image_id, r.filtration, r.dim, round(r.birth, 9), round(r.death, 9)) for r in df.collect())
+    assert key(filtrations.all_diagrams(binary, centres)) == key(filtrations.cubical(filtrations.all_filtrations(binary, centres)))
+
+
+def test_kernel_machine_and_diagram_grid(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(a + (0.1 if i % 2 else 2.0) * (1 + b))) for i in range(60) for a, b in rng.random((3, 2))]
+    points = spark.createDataFrame(rows, "image_id long, birth double, death double")
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(60)], "image_id long, label double")
+    values = diagrams.kernel(diagrams.to_queries(points, diagrams.sliced_wasserstein, "distance", 5), "distance", 1.0)
+    r = ml.kernel_accuracy(ml.kernel_rows(values).join(features.hash_split(labels, "image_id", 0.35, 0), "image_id")).first()
+    assert (r.train_rows, r.test_rows) == (39, 21) and r.train_accuracy > 0.95 and r.test_accuracy > 0.95
+    found = {x.candidate: x.metric for x in ml.diagram_grid(points, labels, every=5, trees=5).collect()}
+    assert len(found) == 8 and min(found.values()) > 0.8
+
+
+def test_large_fields(spark):
+    rows = [(i, [float((i * 64 + k) % 97) for k in range(64)]) for i in range(850)]
+    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp')}/large"
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
+    found = {r.image_id: r.vals for r in src.field224(spark, folder).collect()}
+    assert sorted(found) == [0, 1] and all(len(v) == 224 * 224 for v in found.values())
+    assert found[1][:64] == rows[64][1] and found[0][-64:] == rows[783][1]
+
+
 def test_thresholds(spark):
     d = make(spark, [[1, 2, 4]])
     assert thresholds.quantiles(d, 3).first().levels == [4.0, 2.0, 1.0]
