@@ -11,6 +11,7 @@ goes to sequences as long as powers of two, so that hardly any is padded.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from rasterloom.llm.common import emit, held, in_arrow, small, strings
 
@@ -32,18 +34,54 @@ class Limits:
     """What a sequence can hold. ``pool``: examples that wait at once in a task."""
 
     tokens: int = 2048
-    segments: int = 1024
+    segments: int = 32
     loss_tokens: int = 2048
     pool: int = 128
 
 
-def encoder(path: str):
+def _ranks(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
+    """Bytes of each token of a byte-level vocabulary file, and the pairs that it merges, in order."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    known = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    shown = {chr(b): b for b in known} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(known))}
+    special = {x["content"] for x in model["added_tokens"]}
+    raw = lambda w: bytes(shown[c] for c in w)
+    merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["model"]["merges"]]
+    return {raw(w): i for w, i in model["model"]["vocab"].items() if w not in special}, [(raw(a), raw(b)) for a, b in merges]
+
+
+def merges_by_rank(path: str) -> bool:
+    """Whether merging the pair with the lowest token id is the same as merging by the file's list, for every text.
+
+    It is if ids rise along the list and each token, built alone from its bytes
+    by lowest ids, ends with the pair that the list has for it: whenever two
+    neighbours could join to a token in a text, their bytes have been merged as
+    if alone, so they are that pair.
+    """
+    ranks, merges = _ranks(path)
+    ids = [ranks[a + b] for a, b in merges]
+    if any(x >= y for x, y in zip(ids, ids[1:], strict=False)) or len(ranks) != len(merges) + 256:
+        return False
+    for pair in merges:
+        parts = [bytes([x]) for x in b"".join(pair)]
+        while len(parts) > 2:
+            near = [ranks.get(x + y, len(ranks)) for x, y in zip(parts, parts[1:], strict=False)]
+            at = near.index(min(near))
+            if near[at] >= ranks[pair[0] + pair[1]]:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if tuple(parts) != pair:
+            return False
+    return True
+
+
+def encoder(path: str, by_rank: bool):
     """Function from texts to their ids (little-endian unsigned 32-bit) by the vocabulary file at ``path``.
 
-    The file's merges are run by the tiktoken library, which is four times as
-    fast as the tokenizers library on prose; on the first texts of a process
-    both must agree, else the tokenizers library does all the work. Strings of
-    special tokens in a text are ordinary text.
+    If the file's merges go ``by_rank``, they are run by the tiktoken library,
+    which is four times as fast on prose; else by the tokenizers library.
+    Strings of special tokens in a text are ordinary text.
     """
     import os
 
@@ -52,31 +90,36 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
+    if by_rank:
+        fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path)[0], special_tokens={}).encode_to_numpy
+        return lambda texts: [fast(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
-    def slow(texts: list[str]) -> list[bytes]:
-        plain = plains.setdefault(path, Tokenizer.from_file(path))
-        plain.encode_special_tokens = True
-        return [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
-    plains: dict = {}
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    known = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    shown = {chr(b): b for b in known} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(known))}
-    special = {x["content"] for x in model["added_tokens"]}
-    ranks = {bytes(shown[c] for c in w): i for w, i in model["model"]["vocab"].items() if w not in special}
-    fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-    agree: list[bool] = []
+@functools.cache
+def _by_rank(path: str) -> bool:
+    return merges_by_rank(path)
+
 
-    def encode(texts: list[str]) -> list[bytes]:
-        out = [fast(t, disallowed_special=()).astype("<u4").tobytes() for t in texts] if agree in ([], [True]) else []
-        if not agree:
-            agree.append(slow(texts[:8]) == out[:8])
-            if agree[0]:
-                plains.clear()
-        return out if agree[0] else slow(texts)
+@dataclass(slots=True)
+class Example:
+    """What is left of a document's ids, from ``start`` on."""
 
-    return encode
+    doc: int
+    ids: bytes
+    total: int
+    bears: bool  # whether its tokens bear loss
+    start: int = 0
+
+    @property
+    def length(self) -> int:
+        return self.total - self.start
+
+    def loss(self, length: int) -> int:
+        """Loss-bearing tokens of its next ``length`` ones: the first token of a piece has nothing to be predicted from."""
+        return length - 1 if self.bears else 0
 
 
 class Packer:
@@ -84,35 +127,29 @@ class Packer:
 
     def __init__(self, limits: Limits, prefix: int) -> None:
         self.limits, self.next, self.prefix = limits, 0, prefix
-        self.waiting: list[tuple] = []  # (doc_id, ids as bytes, start, total)
+        self.waiting: list[Example] = []
         self.rows: list[tuple] = []
 
-    @staticmethod
-    def need(example: tuple) -> tuple[int, int, int]:
-        n = len(example[1]) // 4
-        return n, 1, n - 1  # the first token of a piece has no context to be predicted from
-
-    def put(self, example: tuple, length: int, offset: int, segment: int) -> tuple | None:
-        doc, ids, start, total = example
-        piece = ids[: 4 * length]
-        self.rows.append((doc, start, length, zlib.crc32(piece), total, self.prefix + self.next, offset, segment, max(0, length - 1)))
-        return (doc, ids[4 * length :], start + length, total) if len(ids) > 4 * length else None
-
-    def add(self, doc, ids: bytes) -> None:
-        example = (doc, ids, 0, len(ids) // 4)
-        full = min(self.limits.tokens, self.limits.loss_tokens + 1)
-        while example and len(example[1]) // 4 >= full:
-            example = self.put(example, full, 0, 0)
+    def put(self, x: Example, length: int, offset: int, segment: int) -> None:
+        piece = memoryview(x.ids)[4 * x.start : 4 * (x.start + length)]
+        self.rows.append((x.doc, x.start, length, zlib.crc32(piece), x.total, self.prefix + self.next, offset, segment, x.loss(length)))
+        x.start += length
+
+    def add(self, doc, ids: bytes, bears: bool = True) -> None:
+        x = Example(doc, ids, len(ids) // 4, bears)
+        full = min(self.limits.tokens, self.limits.loss_tokens + 1) if bears else self.limits.tokens
+        while x.length >= full:
+            self.put(x, full, 0, 0)
             self.next += 1
-        if example:
-            self.waiting.append(example)
+        if x.length:
+            self.waiting.append(x)
             while len(self.waiting) >= self.limits.pool:
                 self.fill(self.limits.tokens)
 
     def fill(self, tokens: int) -> None:
         """One sequence: whole examples by the dot-product rule, then the head of one more."""
         cap = np.array([tokens, self.limits.segments, self.limits.loss_tokens], float)
-        need = np.array([self.need(x) for x in self.waiting], float) / cap
+        need = np.array([(x.length, 1, x.loss(x.length)) for x in self.waiting], float) / cap
         weight = need.sum(0) / len(need)
         free, left, offset, segment = np.ones(3), np.ones(len(need), bool), 0, 0
         while True:
@@ -120,22 +157,23 @@ class Packer:
             if not len(fits):
                 break
             best = int(fits[np.argmax(need[fits] @ (weight * free))])
-            self.put(self.waiting[best], length := len(self.waiting[best][1]) // 4, offset, segment)
+            length = self.waiting[best].length
+            self.put(self.waiting[best], length, offset, segment)
             free, offset, segment = free - need[best], offset + length, segment + 1
             left[best] = False
-        rest = [x for x, stays in zip(self.waiting, left, strict=True) if stays]
-        room = min(tokens - offset, round(free[2] * cap[2]) + 1)
-        if rest and room > 0 and segment < self.limits.segments:
-            at = max(range(len(rest)), key=lambda i: len(rest[i][1]))
-            tail = self.put(rest[at], room, offset, segment)
-            rest[at : at + 1] = [tail] if tail else []
-        self.waiting = rest
+        self.waiting = [x for x, stays in zip(self.waiting, left, strict=True) if stays]
+        room = {True: min(tokens - offset, round(free[2] * cap[2]) + 1), False: tokens - offset}
+        cut = [x for x in self.waiting if room[x.bears] > 0]
+        if cut and segment < self.limits.segments:
+            x = max(cut, key=lambda x: min(x.length, room[x.bears]))
+            self.put(x, min(x.length, room[x.bears]), offset, segment)
+            self.waiting = [x for x in self.waiting if x.length]
         self.next += 1
 
     def finish(self) -> None:
         """The last sequences are powers of two long, which need no padding."""
         while self.waiting:
-            left = sum(len(x[1]) // 4 for x in self.waiting)
+            left = sum(x.length for x in self.waiting)
             self.fill(self.limits.tokens if left >= self.limits.tokens else 1 << (left.bit_length() - 1))
 
     def taken(self) -> dict:
@@ -144,24 +182,32 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 1, bears: Column | None = None) -> DataFrame:
     """One row for each piece of each row of ``docs`` (columns doc_id and text; others are ignored).
 
+    ``bears`` says of each row whether its tokens bear loss (for instruction
+    data, the answers; null is no), all if it isn't given.
+
     A document's tokens are its ids and ``end_id``; a null or empty text has
-    the end token alone. Each token lies in one piece. Sequence numbers hold
+    the end token alone. Each token lies in one piece; a text of any length is
+    cut in time that grows with its length. Of examples with equal dot products
+    the one that came first goes. Sequence numbers hold
     the partition's number in their upper bits. Repeated rows are packed once
     each; an empty table gives an empty result. Every task packs its own rows
     with one pass and a bounded pool, so nothing is shuffled and a lost task is
     simply run again.
     """
 
+    by_rank = _by_rank(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, end = held(tokenizer, lambda: encoder(tokenizer)), Packer(limits, TaskContext.get().partitionId() << 33), np.uint32(end_id).tobytes()
+        encode, packer, end = held(tokenizer, lambda: encoder(tokenizer, by_rank)), Packer(limits, TaskContext.get().partitionId() << 33), np.uint32(end_id).tobytes()
         for b in small(batches):
-            for doc, tokens in zip(b.column("doc_id").to_pylist(), encode(strings(b.column("text"))), strict=True):
-                packer.add(doc, tokens + end)
+            for doc, tokens, loss in zip(b.column("doc_id").to_pylist(), encode(strings(b.column("text"))), b.column("bears").to_pylist(), strict=True):
+                packer.add(doc, tokens + end, loss)
             yield from emit(ARROW, packer.taken())
         packer.finish()
         yield from emit(ARROW, packer.taken())
 
-    return in_arrow(docs.select("doc_id", "text"), run, SCHEMA)
+    loss = F.lit(True) if bears is None else F.coalesce(bears, F.lit(False))
+    return in_arrow(docs.select("doc_id", "text", loss.alias("bears")), run, SCHEMA)
