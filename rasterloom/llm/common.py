@@ -21,10 +21,13 @@ M1, M2, M3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set (tests on one machine)."""
+    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set on a single machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 

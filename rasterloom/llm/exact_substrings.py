@@ -51,13 +51,13 @@ class Params:
     #: ``remove`` leaves runs of fewer words alone.
     words: int = 0
     #: Contexts of one core that a bucket takes at most; beyond, each window is dealt alone.
-    hot: int = 4096
+    hot: int = 1024
     bucket_contexts: int = 10_000
     #: Bytes that are hashed at once.
     piece: int = 250_000
     lead: int = 24
     #: Rows of a broadcast side at most (about 100 bytes each in memory).
-    broadcast_rows: int = 200_000
+    broadcast_rows: int = 50_000
 
     @property
     def core(self) -> int:
@@ -283,10 +283,11 @@ def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
 
 # -- hot cores: contexts and windows by their content
 
-CONTEXTS = pa.schema([("content", pa.binary()), ("t1", pa.int64()), ("t2", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
-CONTEXTS_DDL = "content binary, t1 long, t2 long, place long, bytes binary"
-WINDOWS = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("salt", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("first", pa.int64()), ("alone", pa.bool_()), ("known", pa.bool_())])
-WINDOWS_DDL = "lead binary, content binary, salt long, t1 long, t2 long, first long, alone boolean, known boolean"
+#: A row for each content in a batch (of its first bearer), and one for each text whose starts are known to be repeated.
+CONTEXTS = pa.schema([("content", pa.binary()), ("t1", pa.int64()), ("t2", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary()), ("alone", pa.bool_()), ("known", pa.list_(pa.int64()))])
+CONTEXTS_DDL = "content binary, t1 long, t2 long, place long, bytes binary, alone boolean, known array<long>"
+WINDOWS = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("salt", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("first", pa.int64()), ("alone", pa.bool_()), ("known", pa.list_(pa.int64()))])
+WINDOWS_DDL = "lead binary, content binary, salt long, t1 long, t2 long, first long, alone boolean, known array<long>"
 EDGES = pa.schema([*RUNS, ("content", pa.binary()), ("repeated", pa.bool_())])
 
 
@@ -294,39 +295,52 @@ def _digest(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=16).digest()
 
 
+def _columns(names: list[str], rows: list[tuple]) -> dict[str, tuple]:
+    return dict(zip(names, zip(*rows, strict=True), strict=True))
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Contexts with their content; only the first of equal ones in a list carries its bytes."""
+    """Each content of a list once. What bears a content that is there twice is known to be repeated."""
     for rows in _wanted(batches, p, 2_000_000):
-        seen: set = set()
-        out: dict[str, list] = {n: [] for n in CONTEXTS.names}
+        seen: dict[bytes, list] = {}
+        known: dict[tuple[int, int], list[int]] = {}
         for _, t1, t2, place, raw in rows:
             content = _digest((place & 0x3FFF).to_bytes(2, "big") + raw)
-            for n, v in zip(out, (content, t1, t2, place, None if content in seen else raw), strict=True):
-                out[n].append(v)
-            seen.add(content)
-        yield from emit(CONTEXTS, out)
+            start = place >> 14 << 20 | place & 127
+            if content not in seen:
+                seen[content] = [t1, t2, place, raw, True]
+                continue
+            known.setdefault((t1, t2), []).append(start)
+            x = seen[content]
+            if x[4]:
+                known.setdefault((x[0], x[1]), []).append(x[2] >> 14 << 20 | x[2] & 127)
+                x[4] = False
+        out = [(c, *x, None) for c, x in seen.items()] + [(None, *k, None, None, None, v) for k, v in known.items()]
+        if out:
+            yield from emit(CONTEXTS, _columns(CONTEXTS.names, out))
 
 
 def _windows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Single windows of contexts. Of equal ones in a batch one is dealt; that the others, if alone, are repeated is known."""
     for b in small(batches, "bytes", 500_000):
         out: dict[bytes, list] = {}
-        known: list[tuple] = []
-        for t1, t2, place, raw, n in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "place", "bytes", "n")), strict=True):
+        known: dict[tuple[int, int], list[int]] = {}
+        for t1, t2, place, raw, alone in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "place", "bytes", "alone")), strict=True):
             for k in range((place & 127) + 1):
                 w = raw[k : k + p.length]
-                content, here = _digest(w), (t1, t2, (place >> 14) + k)
-                if content not in out:
-                    out[content] = [w[: p.lead], *here, n == 1]
+                content, first = _digest(w), (place >> 14) + k
+                x = out.get(content)
+                if x is None:
+                    out[content] = [w[: p.lead], t1, t2, first, alone]
                     continue
-                if n == 1:
-                    known.append(here)
-                if out[content][4]:
-                    known.append(tuple(out[content][1:4]))
-                    out[content][4] = False
-        rows = [(x[0], c, *x[1:], False) for c, x in out.items()] + [(b"", b"", *x, True, True) for x in known]
+                if alone:
+                    known.setdefault((t1, t2), []).append(first << 20)
+                if x[4]:
+                    known.setdefault((x[1], x[2]), []).append(x[3] << 20)
+                    x[4] = False
+        rows = [(x[0], c, *x[1:], None) for c, x in out.items()] + [(b"", b"", *k, 0, True, v) for k, v in known.items()]
         if rows:
-            columns = dict(zip((n for n in WINDOWS.names if n != "salt"), zip(*rows, strict=True), strict=True))
+            columns = _columns([n for n in WINDOWS.names if n != "salt"], rows)
             spread = signed(mix(np.array(columns["t1"]).view(U64) + np.array(columns["first"]).view(U64)))
             yield from emit(WINDOWS, columns | {"salt": spread})
 
@@ -338,16 +352,20 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     table = pa.Table.from_batches(batches)
     t1, t2, first, alone = (table.column(n).to_numpy() for n in ("t1", "t2", "first", "alone"))
-    known, content = table.column("known").to_numpy(), table.column("content").to_pylist()
-    lead = [x.ljust(40, b"\0") for x in table.column("lead").to_pylist()]
-    keys = np.frombuffer(b"".join(a + (c or bytes(16)) for a, c in zip(lead, content, strict=True)), np.uint8).reshape(len(t1), 56)
+    known = table.column("known").to_pylist()
+    told = [(i, x) for i, k in enumerate(known) if k for x in k]
+    if told:
+        at = np.array([i for i, _ in told])
+        yield from emit(EDGES, {"t1": t1[at], "t2": t2[at], "start": [x for _, x in told], "content": [None] * len(told), "repeated": np.ones(len(told), bool)})
+    rows = np.flatnonzero([k is None for k in known])
+    content, lead = (table.column(n).take(pa.array(rows)).to_pylist() for n in ("content", "lead"))
+    t1, t2, first, alone = t1[rows], t2[rows], first[rows], alone[rows]
+    keys = np.frombuffer(b"".join(a.ljust(40, b"\0") + c for a, c in zip(lead, content, strict=True)), np.uint8).reshape(len(rows), 56)
     order = multikey_order(_tokens(keys))
-    order = order[~known[order]]
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = (keys[order[1:]] == keys[order[:-1]]).all(1)
-    repeated = known.copy()
+    repeated, edge = np.zeros(len(order), bool), np.zeros(len(order), bool)
     repeated[order] = same[1:] | same[:-1]
-    edge = np.zeros(len(t1), bool)
     edge[order[:1]] = edge[order[-1:]] = True
     pick = np.flatnonzero(repeated & alone | edge)
     yield from emit(EDGES, {"t1": t1[pick], "t2": t2[pick], "start": first[pick] << 20, "content": [content[i] if edge[i] else None for i in pick], "repeated": (repeated & alone)[pick]})
@@ -356,17 +374,19 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hot(need: DataFrame, p: Params) -> DataFrame:
     """t1, t2, start of repeated windows among the contexts of hot cores."""
     found = cut(in_arrow(need, lambda it: _contexts(it, p), CONTEXTS_DDL))
-    first = [F.first(c).alias(c) for c in ("t1", "t2", "place")]  # all of one row
-    kinds, n = cut_counting(found.groupBy("content").agg(F.count("*").alias("n"), *first, F.first("bytes", ignorenulls=True).alias("bytes")), F.col("n") > 1)
+    told = found.where("known is not null").select("t1", "t2", F.explode("known").alias("start"))
+    found = found.where("known is null")
+    first = [F.first(c).alias(c) for c in ("t1", "t2", "place", "bytes", "alone")]  # all of one row
+    kinds, n = cut_counting(found.groupBy("content").agg(F.count("*").alias("n"), *first), F.col("n") > 1)
     several = limited(kinds.where("n > 1").select("content"), n, p.broadcast_rows)
-    equal = found.join(several, "content", "left_semi").select("t1", "t2", F.shiftleft(F.shiftright("place", 14), 20).bitwiseOR(F.col("place").bitwiseAND(F.lit(127))).alias("start"))
-    windows = in_arrow(kinds.select("t1", "t2", "place", "bytes", "n"), lambda it: _windows(it, p), WINDOWS_DDL)
+    equal = found.where("alone").join(several, "content", "left_semi").select("t1", "t2", F.shiftleft(F.shiftright("place", 14), 20).bitwiseOR(F.col("place").bitwiseAND(F.lit(127))).alias("start"))
+    windows = in_arrow(kinds.select("t1", "t2", "place", "bytes", (F.col("alone") & (F.col("n") == 1)).alias("alone")), lambda it: _windows(it, p), WINDOWS_DDL)
     buckets = windows.repartitionByRange(max(shuffle_width(need.sparkSession), kinds.count() * p.span // (16 * p.bucket_contexts)), "lead", "content", "salt")
     runs = cut(in_arrow(buckets, _compared, f"{RUNS_DDL}, content binary, repeated boolean"))
     met = runs.where("content is not null").groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
     # an edge's window that isn't alone needs no report, but a second one: every start that it stands for is known
     across = runs.where("content is not null and not repeated").join(met, "content", "left_semi")
-    return equal.unionByName(runs.where("repeated").select("t1", "t2", "start")).unionByName(across.select("t1", "t2", "start"))
+    return told.unionByName(equal).unionByName(runs.where("repeated").select("t1", "t2", "start")).unionByName(across.select("t1", "t2", "start"))
 
 
 # -- all together
@@ -444,7 +464,8 @@ def with_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, str]:
     return rest.unionByName(copies), name
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
+DIGEST = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
+DIGEST_DDL = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
 
 
 def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -454,21 +475,41 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     text of any length is read whole, in pieces that overlap. Rows repeated,
     with doc_id or without, repeat each other's bytes. An empty table gives an
     empty result. All occurrences go, so there are no ties.
+
+    Only texts that keep a part are moved; of the other rows their keys are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             out: dict[str, list] = {n: [] for n in DIGEST.names}
-            for doc, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                cuts = spans(raw, starts or [], p)
-                values = (doc, len(raw), sum(y - x for x, y in cuts), len(cuts), hashlib.sha256(kept(raw, cuts)).hexdigest(), cuts)
+            for t1, t2, text, starts in zip(*(b.column(n).to_pylist() for n in ("t1", "t2", "text", "starts")), strict=True):
+                raw = text.encode()
+                cuts = spans(raw, starts, p)
+                values = (t1, t2, sum(y - x for x, y in cuts), len(cuts), hashlib.sha256(kept(raw, cuts)).hexdigest(), cuts)
                 for n, v in zip(out, values, strict=True):
                     out[n].append(v)
             yield from emit(DIGEST, out)
 
-    rows, _ = with_starts(docs.select("doc_id", "text"), p)
-    return in_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    keys = ["t1", "t2"]
+    keyed = text_keys(docs.select("doc_id", "text"))
+    starts, many = repeated_starts(keyed, p)
+    starts = cut(starts.withColumn("whole", F.array_contains("starts", ALL)))
+    parts = starts.where("not whole").select(*keys, "starts")
+    need = keyed.where(F.octet_length("text") >= p.length).join(limited(parts.select(*keys), parts.count(), p.broadcast_rows), keys, "left_semi")
+    parts = in_arrow(need.groupBy(*keys).agg(F.first("text").alias("text")).join(parts.hint("shuffle_hash"), keys), run, DIGEST_DDL).withColumn("whole", F.lit(False))
+    found = starts.where("whole").select(*keys, "whole").unionByName(parts, allowMissingColumns=True)
+    raw = F.coalesce("text", F.lit(""))
+    rows = keyed.select("doc_id", *keys, F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
+    copies = rows.join(F.broadcast(many), keys, "left_semi").withColumn("whole", F.lit(True))
+    rows = rows.join(F.broadcast(many), keys, "left_anti").join(found, keys, "left").unionByName(copies, allowMissingColumns=True)
+    none, length = F.lit(0).cast("long"), F.col("n_bytes")
+    return rows.select(
+        "doc_id", "n_bytes",
+        F.when(F.col("whole"), length).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(F.col("whole"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
+        F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("whole"), F.array(F.array(none, length))).otherwise(F.coalesce("spans", F.array().cast("array<array<long>>"))).alias("spans"),
+    )
 
 
 def remove(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -271,7 +271,7 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     total, flat = int(rows.seen.sum()), 0.0
     for n, x in zip(rows.seen, rows.flat, strict=True):
         flat = flat + np.frombuffer(x, np.float32).astype(float) * (n / total)
-    return pd.DataFrame({"part": rows.part.iloc[:1], "seen": [total], "flat": [flat.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"part": [rows.part.iloc[0]], "seen": [total], "flat": [flat.astype(np.float32).tobytes()]})
 
 
 def train(docs: DataFrame, p: Params = Params()) -> Model:
