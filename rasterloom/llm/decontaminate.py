@@ -96,13 +96,16 @@ class Index:
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_shingles", pa.int64()), ("shared", pa.int64()), ("containment", pa.float64())])
 
 
-def _blocks(benchmark: DataFrame, p: Params) -> Iterator[tuple[str, list, list[str]]]:
-    """The items in blocks of a checked size, each collected to be broadcast."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+def _blocks(benchmark: DataFrame, p: Params) -> Iterator[tuple[str, list, list[str], list[int]]]:
+    """The items in blocks of a checked size, each collected to be broadcast: ids, texts, and how often each item is there.
+
+    Repeated items are one, so that a block has about ``block_items`` whatever is repeated.
+    """
+    items = benchmark.where(F.col("text").isNotNull()).groupBy("item_id", "text").agg(F.count("*").alias("n"))
     parts = max(1, -(-items.count() // p.block_items))
     for n in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n).collect()
-        yield f"{n} of {parts}: {hash(tuple(rows))}", [r.item_id for r in rows], [r.text for r in rows]
+        yield f"{n} of {parts}: {hash(tuple(rows))}", [r.item_id for r in rows], [r.text for r in rows], [r.n for r in rows]
 
 
 def _search(b: pa.RecordBatch, index: Index) -> list[list[tuple[int, int]]]:
@@ -122,14 +125,14 @@ def contained(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Da
     items.
     """
     out = None
-    for key, ids, texts in _blocks(benchmark, p):
-        shared = docs.sparkSession.sparkContext.broadcast((key, ids, texts))
+    for key, ids, texts, times in _blocks(benchmark, p):
+        shared = docs.sparkSession.sparkContext.broadcast((key, ids, texts, times))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index.of(*shared.value, p)
+            index, times = Index.of(*shared.value[:3], p), shared.value[3]
             for b in small(batches):
                 doc = b.column("doc_id").to_pylist()
-                hits = [(doc[i], index.ids[m], len(index.sets[m]), n, n / len(index.sets[m])) for i, found in enumerate(_search(b, index)) for m, n in found]
+                hits = [(doc[i], index.ids[m], len(index.sets[m]), n, n / len(index.sets[m])) for i, found in enumerate(_search(b, index)) for m, n in found for _ in range(times[m])]
                 if hits:
                     yield from emit(OUT, dict(zip(OUT.names, zip(*hits, strict=True), strict=True)))
 
@@ -139,8 +142,14 @@ def contained(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Da
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rows of ``docs``, all columns, in which no item is contained."""
-    for key, ids, texts in _blocks(benchmark, p):
+    """Rows of ``docs``, all columns, in which no item is contained.
+
+    Null, empty and very short texts contain none and stay, and so does all if
+    the benchmark is empty; a text of any length is searched whole. Repeated
+    rows stay or go together; an empty table gives an empty result. Columns of
+    any name stay as they are.
+    """
+    for key, ids, texts, _ in _blocks(benchmark, p):
         shared = docs.sparkSession.sparkContext.broadcast((key, ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

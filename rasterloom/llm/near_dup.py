@@ -304,7 +304,13 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Rows of ``docs``, all columns, without those whose class has an earlier row (by doc_id, then by key)."""
+    """Rows of ``docs``, all columns, without those whose class has an earlier row (by doc_id, then by key).
+
+    A row with a null doc_id comes first. Texts without a word (null and empty
+    too) are alone in their class and stay. Of rows repeated with doc_id and
+    text one stays. A text of any length is compared whole; an empty table gives
+    an empty result. Columns of any name stay as they are.
+    """
     rows, labels = classes(docs, p)
     named = rows.where("key is not null").join(labels.select("key", "label"), "key")
     first = named.groupBy("label").agg(F.min(F.struct("doc_id", "rkey", "tkey")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")

@@ -490,6 +490,41 @@ def test_permutation(n):
     assert n < 1000 or (out != np.arange(n)).mean() > 0.9
 
 
+def test_permutation_equals_a_network_row_by_row():
+    """Integers of any size, one number at a time."""
+    full = (1 << 64) - 1
+
+    def scramble(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    for total, seed in ((5, 17), (1000, 17), (70_000, 3)):
+        half = 0
+        while 4**half < total:
+            half += 1
+        half = max(1, half)
+        found = sharding.permute(np.arange(total), total, seed)
+        for i in range(0, total, max(1, total // 200)):
+            x = i
+            while True:
+                left, right = x >> half, x & (2**half - 1)
+                for r in range(1, 7):
+                    left, right = right, left ^ (scramble(right + scramble(r + (seed << 32))) & (2**half - 1))
+                x = left << half | right
+                if x < total:
+                    break
+            assert found[i] == x
+
+
+def test_shards_follow_global_row_numbers(spark):
+    rows = [(int(i), prose(int(i), 3)) for i in np.random.default_rng(1).permutation(500)]
+    found = sharding.shard_rows(docs(spark, rows).repartition(7)).collect()
+    number = {r.doc_id: i for i, r in enumerate(sorted(found, key=lambda r: (r.doc_id, r.text_crc32, r.size)))}
+    place = sharding.permute(np.arange(500), 500)
+    assert all((r.row_number, r.shard, r.slot) == (number[r.doc_id], place[number[r.doc_id]] % 16, place[number[r.doc_id]] // 16) for r in found)
+
+
 def test_shards(spark):
     rows = [*ODD, *[(i, prose(i, 5)) for i in range(100, 170)]]
     found = sharding.shard_rows(docs(spark, rows)).collect()
