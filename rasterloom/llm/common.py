@@ -31,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of whatever file system it is on."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder, without its lineage."""
     shared_folder(df.sparkSession)

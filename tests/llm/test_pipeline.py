@@ -1,11 +1,13 @@
 """The pipeline's stages, one after another, against brute force on a small scale."""
 
+import os
 from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
 from rasterloom.llm import decontaminate, near_dup
+from rasterloom.llm.common import shared_folder
 
 DIR = "/root/testdata/sf0.001"
 
@@ -68,4 +70,25 @@ def test_stages_do_their_work(spark, tmp_path):
 
 
 def test_run_equals_stages(spark):
-    assert corpus_pipeline.run(spark, DIR).agg({"length": "sum"}).first()[0] > 0
+    """The whole run gives the rows of the stages called one after another, and leaves one folder behind."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+    pieces = lambda rows: sorted((r.doc_id, r.doc_tokens) for r in rows if r.start == 0)
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = corpus_pipeline.run(spark, DIR).collect()
+    assert pieces(found) == pieces(docs.collect()) and len(found) > 0
+    assert [os.listdir(f"{folder}/{x}") for x in set(os.listdir(folder)) - before if x.startswith("pipeline-")] == [["decontamination"]]
+
+
+def test_empty_and_odd_documents(spark):
+    schema = spark.read.parquet(f"{DIR}/documents.parquet").schema
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two", None, "s", 7), (3, "one two", None, "s", 7)], schema)
+    for rows in (odd, odd.limit(0)):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DIR)
+            assert name == "packing" or out.columns == docs.columns
+            docs = out
+        assert {r.doc_id for r in docs.collect()} == ({3} if rows is odd else set())
