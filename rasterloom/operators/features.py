@@ -86,3 +86,26 @@ def hash_split(rows: DataFrame, column: str, share: float, seed: int) -> DataFra
     total = rows.agg(F.count("*")).scalar()
     placed = shuffled(rows, column, seed)
     return placed.withColumn("is_test", F.col("place") <= F.floor(total * share)).drop("place", "draw")
+
+
+def mutual_information(long: DataFrame, labels: DataFrame, bins: int = 10) -> DataFrame:
+    """position, information: mutual information (in nats, rounded to nine places) of each feature's bin and the label.
+
+    ``long`` has image_id, position, value; ``labels`` image_id, label. Bins are
+    of equal width over the feature's range; a constant feature has one bin.
+    Counts are summed per feature, bin and label before they meet.
+    """
+    ends = long.groupBy("position").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    at = F.least(F.floor((F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    both = long.join(ends, "position").withColumn("bin", F.coalesce(at, F.lit(0))).join(labels.select("image_id", "label"), "image_id").groupBy("position", "bin", "label").agg(F.count("*").alias("n"))
+    rows = both.groupBy("position", "bin").agg(F.sum("n").alias("of_bin"))
+    columns = both.groupBy("position", "label").agg(F.sum("n").alias("of_label"))
+    total = both.groupBy("position").agg(F.sum("n").alias("total"))
+    joined = both.join(rows, ["position", "bin"]).join(columns, ["position", "label"]).join(total, "position")
+    part = F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("of_bin") * F.col("of_label")))
+    return joined.groupBy("position").agg(F.round(F.sum(part), 9).alias("information"))
+
+
+def most_informative(long: DataFrame, labels: DataFrame, n: int = 100, bins: int = 10) -> DataFrame:
+    """position, information of the ``n`` features that tell most about the label (ties to the smaller position)."""
+    return mutual_information(long, labels, bins).orderBy(F.desc("information"), "position").limit(n)

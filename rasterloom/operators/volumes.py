@@ -21,6 +21,11 @@ def chosen_slices(volumes: DataFrame, masks: DataFrame) -> DataFrame:
     return both.withColumn("mask_area", area.cast("long")).withColumn("place", place).where("place = 1").select("volume_id", "slice", "h", "w", "vals", "mask", "mask_area")
 
 
+def without_mask(volumes: DataFrame, masks: DataFrame) -> DataFrame:
+    """volume_id, slice of the slices that no mask belongs to: what ``chosen_slices`` leaves out."""
+    return volumes.select("volume_id", "slice").join(masks.select("volume_id", "slice"), ["volume_id", "slice"], "left_anti")
+
+
 def prepared(chosen: DataFrame, z_score: bool = False) -> DataFrame:
     """Masked, optionally z-scored over the whole slice, shifted to a least value of 0, and 0 outside the mask."""
     vals = px.masked(F.col("vals"), F.col("mask"))

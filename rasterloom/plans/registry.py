@@ -497,6 +497,19 @@ def fused_features(spark, d):
     return _fused(spark, d).withColumn("value", F.round("value", 6))
 
 
+_INFORMATION = """fv AS (SELECT image_id, (4 * j + channel) * 4 + k AS position, CAST(CASE j WHEN 0 THEN area WHEN 1 THEN perimeter_open ELSE euler END AS DOUBLE) AS value FROM cur, (SELECT unnest(range(3)) AS j) b),
+rf AS (SELECT position, min(value) AS low, max(value) AS high FROM fv GROUP BY ALL),
+bn AS (SELECT fv.position, CASE WHEN high > low THEN least(floor((value - low) / (high - low) * 10), 9) ELSE 0 END AS bin, label FROM fv JOIN rf ON rf.position = fv.position JOIN embeddings e ON e.vec_id = fv.image_id),
+bo AS (SELECT position, bin, label, count(*) AS n FROM bn GROUP BY ALL),
+mi AS (SELECT *, sum(n) OVER (PARTITION BY position, bin) AS nb, sum(n) OVER (PARTITION BY position, label) AS nl, sum(n) OVER (PARTITION BY position) AS nt FROM bo),
+ms AS (SELECT position, round(sum(n / CAST(nt AS DOUBLE) * ln(n * nt / CAST(nb * nl AS DOUBLE))), 9) AS information FROM mi GROUP BY ALL)"""
+
+
+@registered(o.query(o.RGBG4, o.levels(4, "image_id, channel"), o.curves("image_id, channel"), _INFORMATION, select="SELECT CAST(position AS INTEGER) AS position, round(information, 6) AS information FROM ms ORDER BY ms.information DESC, position LIMIT 20"))
+def most_informative(spark, d):
+    return features.most_informative(features.geometric_long(src.rgbg4(spark, d), 4), _ids(spark, d), 20).withColumn("information", F.round("information", 6))
+
+
 @registered()
 def forest_accuracy(spark, d):
     split = features.hash_split(_ids(spark, d), "image_id", 0.35, 0)

@@ -7,10 +7,13 @@ column too (0, 1, 2 = blue, green, red, 3 = gray).
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,3 +156,31 @@ def inverted(vals: Column) -> Column:
 def write_fields(fields: DataFrame, path: str) -> None:
     """Fields (thresholded, filtered or feature rows alike) as Parquet."""
     fields.write.mode("overwrite").parquet(path)
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A gray image (h x w bytes) as a PNG file."""
+    h, w = pixels.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.hstack([np.zeros((h, 1), np.uint8), pixels]).tobytes()  # each line begins with its filter, none
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def write_images(fields: DataFrame, folder: str, threshold: float | None = None) -> None:
+    """Each field as a gray image ``image_id``.png in a folder that all machines share.
+
+    Values are rounded and clipped to 0..255; with a ``threshold``, pixels at
+    least that high are white and all others black. A task that is run again
+    writes the same files.
+    """
+
+    def write(rows) -> None:
+        files, path = pa.fs.FileSystem.from_uri(folder)
+        for r in rows:
+            vals = np.array(r.vals, float).reshape(r.h, r.w)
+            pixels = np.where(vals >= threshold, 255, 0) if threshold is not None else np.clip(np.rint(vals), 0, 255)
+            with files.open_output_stream(f"{path}/{r.image_id}.png") as f:
+                f.write(png(pixels.astype(np.uint8)))
+
+    pa.fs.FileSystem.from_uri(folder)[0].create_dir(pa.fs.FileSystem.from_uri(folder)[1], recursive=True)
+    fields.select("image_id", "h", "w", "vals").foreachPartition(write)

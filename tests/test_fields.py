@@ -295,6 +295,30 @@ def test_large_fields(spark):
     assert found[1][:64] == rows[64][1] and found[0][-64:] == rows[783][1]
 
 
+def test_images_are_written_and_read_back(spark, tmp_path):
+    rows = make(spark, [[0.0, 10.4, 255.0], [300.0, -5.0, 99.6]], [[7.0]])
+    src.write_images(rows, f"file://{tmp_path}/plain")
+    src.write_images(rows, f"file://{tmp_path}/high", threshold=99.0)
+    for name, expected in (("plain", [0, 10, 255, 255, 0, 100]), ("high", [0, 0, 255, 255, 0, 255])):
+        found = {r.origin.rsplit("/", 1)[1]: r for r in src.read_images(spark, f"{tmp_path}/{name}").collect()}
+        assert (found["0.png"].height, found["0.png"].width, list(bytes(found["0.png"].data))) == (2, 3, expected)
+        assert found["1.png"].height == found["1.png"].width == 1
+
+
+def test_information_of_features(spark):
+    """A feature that is the label has its entropy; one that is independent of it, or constant, has none."""
+    rows = [(i, k, float(v)) for i in range(40) for k, v in enumerate((i % 2, i // 2 % 2, 5))]
+    long = spark.createDataFrame(rows, "image_id long, position int, value double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "image_id long, label int")
+    assert [(r.position, r.information) for r in features.most_informative(long, labels, 2).collect()] == [(0, round(math.log(2), 9)), (1, 0.0)]
+
+
+def test_slices_without_a_mask_are_told(spark):
+    vols = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "volume_id long, slice int")
+    masks = spark.createDataFrame([(0, 0)], "volume_id long, slice int")
+    assert sorted(tuple(r) for r in volumes.without_mask(vols, masks).collect()) == [(0, 1), (1, 0)]
+
+
 def test_thresholds(spark):
     d = make(spark, [[1, 2, 4]])
     assert thresholds.quantiles(d, 3).first().levels == [4.0, 2.0, 1.0]
