@@ -160,8 +160,18 @@ def _anchors(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Record
 
 SUFFIXES = pa.schema([("lead", pa.binary()), ("core", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
 SUFFIXES_DDL = "lead binary, core long, t1 long, t2 long, place long, bytes binary"
-RUNS = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64())])
-RUNS_DDL = "t1 long, t2 long, start long"
+RUNS = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("starts", pa.list_(pa.int64()))])
+RUNS_DDL = "t1 long, t2 long, starts array<long>"
+
+
+def _by_text(t1: np.ndarray, t2: np.ndarray, start: np.ndarray) -> dict:
+    """The starts of each text as a list."""
+    order = np.lexsort((t2, t1))
+    t1, t2, start = t1[order], t2[order], start[order]
+    new = np.ones(len(t1), bool)
+    new[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
+    begin = np.flatnonzero(new)
+    return {"t1": t1[begin], "t2": t2[begin], "starts": pa.ListArray.from_arrays(np.append(begin, len(t1)).astype(np.int32), pa.array(start))}
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], p: Params, most: int) -> Iterator[list[tuple]]:
@@ -278,7 +288,7 @@ def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
     row, near = np.nonzero(step == 1)
     far = np.nonzero(step == -1)[1] - 1
     first = (place >> 14)[row] + (place >> 7 & 127)[row] - far
-    yield from emit(RUNS, {"t1": t1[row], "t2": t2[row], "start": first << 20 | (far - near)})
+    yield from emit(RUNS, _by_text(t1[row], t2[row], first << 20 | (far - near)))
 
 
 # -- hot cores: contexts and windows by their content
@@ -353,10 +363,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches)
     t1, t2, first, alone = (table.column(n).to_numpy() for n in ("t1", "t2", "first", "alone"))
     known = table.column("known").to_pylist()
-    told = [(i, x) for i, k in enumerate(known) if k for x in k]
-    if told:
-        at = np.array([i for i, _ in told])
-        yield from emit(EDGES, {"t1": t1[at], "t2": t2[at], "start": [x for _, x in told], "content": [None] * len(told), "repeated": np.ones(len(told), bool)})
+    told = np.flatnonzero([k is not None for k in known])
+    yield from emit(EDGES, {"t1": t1[told], "t2": t2[told], "starts": [known[i] for i in told], "content": [None] * len(told), "repeated": np.ones(len(told), bool)})
     rows = np.flatnonzero([k is None for k in known])
     content, lead = (table.column(n).take(pa.array(rows)).to_pylist() for n in ("content", "lead"))
     t1, t2, first, alone = t1[rows], t2[rows], first[rows], alone[rows]
@@ -367,26 +375,29 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     repeated, edge = np.zeros(len(order), bool), np.zeros(len(order), bool)
     repeated[order] = same[1:] | same[:-1]
     edge[order[:1]] = edge[order[-1:]] = True
-    pick = np.flatnonzero(repeated & alone | edge)
-    yield from emit(EDGES, {"t1": t1[pick], "t2": t2[pick], "start": first[pick] << 20, "content": [content[i] if edge[i] else None for i in pick], "repeated": (repeated & alone)[pick]})
+    pick = np.flatnonzero(edge)
+    yield from emit(EDGES, {"t1": t1[pick], "t2": t2[pick], "starts": [[int(x) << 20] for x in first[pick]], "content": [content[i] for i in pick], "repeated": (repeated & alone)[pick]})
+    pick = np.flatnonzero(repeated & alone & ~edge)
+    found = _by_text(t1[pick], t2[pick], first[pick] << 20)
+    yield from emit(EDGES, found | {"content": [None] * len(found["t1"]), "repeated": np.ones(len(found["t1"]), bool)})
 
 
 def _hot(need: DataFrame, p: Params) -> DataFrame:
-    """t1, t2, start of repeated windows among the contexts of hot cores."""
+    """t1, t2, starts of repeated windows among the contexts of hot cores."""
     found = cut(in_arrow(need, lambda it: _contexts(it, p), CONTEXTS_DDL))
-    told = found.where("known is not null").select("t1", "t2", F.explode("known").alias("start"))
+    told = found.where("known is not null").select("t1", "t2", F.col("known").alias("starts"))
     found = found.where("known is null")
     first = [F.first(c).alias(c) for c in ("t1", "t2", "place", "bytes", "alone")]  # all of one row
     kinds, n = cut_counting(found.groupBy("content").agg(F.count("*").alias("n"), *first), F.col("n") > 1)
     several = limited(kinds.where("n > 1").select("content"), n, p.broadcast_rows)
-    equal = found.where("alone").join(several, "content", "left_semi").select("t1", "t2", F.shiftleft(F.shiftright("place", 14), 20).bitwiseOR(F.col("place").bitwiseAND(F.lit(127))).alias("start"))
+    equal = found.where("alone").join(several, "content", "left_semi").select("t1", "t2", F.array(F.shiftleft(F.shiftright("place", 14), 20).bitwiseOR(F.col("place").bitwiseAND(F.lit(127)))).alias("starts"))
     windows = in_arrow(kinds.select("t1", "t2", "place", "bytes", (F.col("alone") & (F.col("n") == 1)).alias("alone")), lambda it: _windows(it, p), WINDOWS_DDL)
     buckets = windows.repartitionByRange(max(shuffle_width(need.sparkSession), kinds.count() * p.span // (16 * p.bucket_contexts)), "lead", "content", "salt")
     runs = cut(in_arrow(buckets, _compared, f"{RUNS_DDL}, content binary, repeated boolean"))
     met = runs.where("content is not null").groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
     # an edge's window that isn't alone needs no report, but a second one: every start that it stands for is known
     across = runs.where("content is not null and not repeated").join(met, "content", "left_semi")
-    return told.unionByName(equal).unionByName(runs.where("repeated").select("t1", "t2", "start")).unionByName(across.select("t1", "t2", "start"))
+    return told.unionByName(equal).unionByName(runs.where("repeated").select("t1", "t2", "starts")).unionByName(across.select("t1", "t2", "starts"))
 
 
 # -- all together
@@ -407,7 +418,7 @@ def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, D
     texts = cut(found.groupBy("t1", "t2", "part").agg(F.count("*").alias("n"), F.first("cores").alias("cores"), F.first("places").alias("places")))
     rows = texts.where("part = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     many = texts.where((F.col("n") > max(1, rows // 100_000)) & (F.col("part") == 0)).select("t1", "t2")
-    whole = texts.where("n > 1 and part = 0").select("t1", "t2", F.lit(ALL).cast("long").alias("start"))
+    whole = texts.where("n > 1 and part = 0").select("t1", "t2", F.array(F.lit(ALL).cast("long")).alias("starts"))
     each = texts.select("t1", "t2", F.explode(F.arrays_zip("cores", "places")).alias("x")).select("t1", "t2", F.col("x.cores").alias("core"), F.col("x.places").alias("place"))
     cores, n = cut_counting(each.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
     totals = cores.agg(F.sum(F.when(F.col("n") <= p.hot, F.col("n"))).alias("calm"), F.sum(F.when(F.col("n") > p.hot, F.col("n"))).alias("hot")).first()
@@ -425,7 +436,7 @@ def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, D
             suffixes = in_arrow(need, lambda it: _suffixes(it, p), SUFFIXES_DDL)
             buckets = suffixes.repartitionByRange(max(shuffle_width(docs.sparkSession), total // p.bucket_contexts), "lead", "core")
             starts = starts.unionByName(in_arrow(buckets, lambda it: _bucket(it, p), RUNS_DDL))
-    return starts.groupBy("t1", "t2").agg(F.collect_list("start").alias("starts")), many
+    return starts.groupBy("t1", "t2").agg(F.flatten(F.collect_list("starts")).alias("starts")), many
 
 
 def spans(raw: bytes, starts: list[int], p: Params) -> list[tuple[int, int]]:
