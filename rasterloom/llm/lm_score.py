@@ -49,6 +49,8 @@ class Params:
     batch: int = 2048
     step: float = 0.05
     seed: int = 7
+    #: Words after the vocabulary whose counts every worker has (16 bytes each); those of rarer words are joined.
+    often: int = 100_000
     #: Rows of a broadcast side at most (16 bytes each).
     broadcast_rows: int = 300_000
 
@@ -103,6 +105,8 @@ class Model:
     vocabulary: np.ndarray  # word hashes by rank
     flat: np.ndarray
     unseen: np.ndarray  # log share that an unseen word has of each hashed id
+    often: np.ndarray  # the next frequent words' hashes, sorted, and the logs of their counts and one
+    often_log: np.ndarray
     counts: DataFrame  # word, n: of the whole corpus
     kinds: int  # rows of counts
 
@@ -281,7 +285,8 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     word's hash; an empty table gives a model in which every word is unseen.
     """
     counts, kinds = cut_counting(in_arrow(docs.select("text"), _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(p.size - p.hashed).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(p.size - p.hashed + p.often).collect()
+    top, next_ = top[: p.size - p.hashed], sorted((r.word, r.n) for r in top[p.size - p.hashed :])
     vocabulary = np.array([r.word for r in top], np.int64).view(U64)
     count = np.zeros(p.size)
     count[: len(top)] = [r.n for r in top]
@@ -307,7 +312,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
         means = states.groupBy((F.col("part") % step).alias("g")).applyInPandas(lambda x: _average(x), "part long, seen long, flat binary").collect()
         if means:
             flat = np.frombuffer(_average(pd.DataFrame({"part": [m.part for m in means], "seen": [m.seen for m in means], "flat": [bytes(m.flat) for m in means]})).flat[0], np.float32)
-    return Model(vocabulary, flat, unseen, counts, kinds)
+    return Model(vocabulary, flat, unseen, np.array([w for w, _ in next_], np.int64), np.log1p(np.array([n for _, n in next_], float)), counts, kinds)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
@@ -320,10 +325,10 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     and the perplexity are null. A text of any length is scored whole. Repeated
     rows are scored each, alike; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.flat, model.unseen))
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.flat, model.unseen, model.often, model.often_log))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat, unseen = shared.value
+        vocabulary, flat, unseen, often, often_log = shared.value
         net, first = Network(p, vocabulary, flat), p.size - p.hashed
         for b in small(batches):
             word, bounds = words(strings(b.column("text")))
@@ -331,10 +336,15 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
             hashed = np.flatnonzero(ids >= first)
             each = net.log_prob(ids, bounds)
             each[hashed] += unseen[ids[hashed] - first]
+            if len(often):
+                at = np.minimum(np.searchsorted(often, signed(word[hashed])), len(often) - 1)
+                has = often[at] == signed(word[hashed])
+                each[hashed[has]] += often_log[at[has]]
+                hashed = hashed[~has]
             total = np.concatenate([[0.0], np.cumsum(each)])
             n = np.diff(bounds)
             sums = np.where(n > 0, total[bounds[1:]] - total[bounds[:-1]], 0.0)
-            # the words with hashed ids, once for each text, for what their counts add
+            # the other words with hashed ids, once for each text, for what their counts add
             text = np.repeat(np.arange(len(n)), n)[hashed]
             order = np.lexsort((word[hashed], text))
             text, other = text[order], word[hashed][order]
