@@ -13,10 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import decontaminate, exact_substrings, language_id, near_dup, packing
-from rasterloom.llm.common import shared_folder
+from rasterloom.llm.common import delete, shared_folder
 from rasterloom.llm.queries import tokenizer_path
 
 
+#: A passage that repeats is over 50 words long; so many words have 200 bytes at least in all but a few.
+PASSAGES = exact_substrings.Params(length=200, words=51)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no learnt language is found."""
     return language_id.keep_known(docs, language_id.learn(docs))
@@ -28,8 +32,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings out that stand in several places."""
-    return exact_substrings.remove(docs)
+    """Cuts passages of over 50 words out that stand in several places."""
+    return exact_substrings.remove(docs, PASSAGES)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage has written is deleted once the next one is written; the last one's input stays, as the rows are read from it."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
