@@ -24,6 +24,9 @@ can have an equal:
    of their own, range-partitioned by leading tokens and content one by one, so
    that equal ones may lie in several buckets; those at the edges of buckets are
    compared across the boundary. Here content is a 128-bit BLAKE2 digest.
+
+The same suffixes tell which windows of a second, shorter length are repeated:
+windows that begin at one place have one anchor, whatever their length.
 """
 
 from __future__ import annotations
@@ -50,6 +53,9 @@ class Params:
     span: int = 128  # a power of two, 128 at most
     #: ``remove`` leaves runs of fewer words alone.
     words: int = 0
+    #: A second length to report on, of ``length`` at most; runs of fewer than ``passage_words`` words are no passages.
+    passage: int = 0
+    passage_words: int = 51
     #: Contexts of one core that a bucket takes at most; beyond, each window is dealt alone.
     hot: int = 1024
     bucket_contexts: int = 10_000
@@ -59,9 +65,18 @@ class Params:
     #: Rows of a broadcast side at most (about 100 bytes each in memory).
     broadcast_rows: int = 50_000
 
+    @property
+    def least(self) -> int:
+        return self.passage or self.length
+
     @property
     def core(self) -> int:
-        return self.length - self.span + 1
+        return self.least - self.span + 1
+
+    @property
+    def lengths(self) -> tuple[int, ...]:
+        """Lengths of windows; starts say by their last bit which it is."""
+        return (self.length, self.passage) if self.passage else (self.length,)
 
 
 # -- anchors
@@ -101,7 +116,7 @@ def pieces(texts: list, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     A long text is cut into pieces that overlap by one byte less than a window, so each window start is in one piece.
     """
     encoded = ((i, t.encode() if t else b"") for i, t in enumerate(texts))
-    cut_up = ((i, a, raw[a : a + p.piece + p.length - 1]) for i, raw in encoded for a in range(0, len(raw) - p.length + 1, p.piece))
+    cut_up = ((i, a, raw[a : a + p.piece + p.least - 1]) for i, raw in encoded for a in range(0, len(raw) - p.least + 1, p.piece))
     held_back: list[tuple[int, int, bytes]] = []
     size = 0
     for x in cut_up:
@@ -117,7 +132,7 @@ def pieces(texts: list, p: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 def anchors(data: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, first and last window start of each context."""
     n = len(data)
-    if n < p.length:
+    if n < p.least:
         return (np.zeros(0, np.int64),) * 3
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     key = np.empty(n, U64)
@@ -131,7 +146,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, p: Params) -> tuple[np.ndarray,
         np.minimum(key[:-step], key[step:], out=least[:-step])
         key, step = least, 2 * step
     anchor = (key & LOW).astype(np.int64)
-    whole = np.repeat(ends[1:], np.diff(ends)) - np.arange(n) >= p.length
+    whole = np.repeat(ends[1:], np.diff(ends)) - np.arange(n) >= p.least
     changed = np.ones(n + 1, bool)
     changed[1:n] = (anchor[1:] != anchor[:-1]) | ~whole[:-1] | ~whole[1:]
     first = np.flatnonzero(whole & changed[:n])
@@ -244,36 +259,44 @@ def _tokens(rows: np.ndarray) -> np.ndarray:
     return rows.view(">u8").astype(U64)
 
 
-def repeated_windows(raw: list[bytes], place: np.ndarray, p: Params) -> np.ndarray:
-    """For each context (its bytes and its place): is its window at each distance from the anchor equal to another context's?"""
+def repeated_windows(raw: list[bytes], place: np.ndarray, p: Params) -> list[np.ndarray]:
+    """For each length, and each context (its bytes and its place): is its window at each distance from the anchor equal to another context's?"""
     n = len(raw)
     data, ends = joined(raw)
     furthest = place >> 7 & 127
     nearest = furthest - (place & 127)
     anchor = ends[:-1] + furthest
-    after, before = _gathered(data, anchor, p.length - nearest, p.length, 1), _gathered(data, anchor - 1, furthest, p.span, -1)
+    beyond = np.diff(ends) - furthest  # bytes from the anchor on
+    after, before = _gathered(data, anchor, np.minimum(beyond, p.length), p.length, 1), _gathered(data, anchor - 1, furthest, p.span, -1)
     on, back = multikey_order(_tokens(after)), multikey_order(_tokens(before))
     shared_on, shared_back = common_prefixes(after, on), common_prefixes(before, back)
-    out = np.zeros((n, p.span), bool)
-    # what shares no core with a neighbour is left out
-    nearby = np.maximum(shared_on, np.append(shared_on[1:], 0))
-    hopeful = np.zeros(n, bool)
-    hopeful[on] = nearby >= p.core
-    ahead, behind = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(p.span):
-        pick = np.flatnonzero(hopeful & (nearest <= d) & (d <= furthest))
-        if len(pick) < 2:
-            continue
-        ahead[on] = np.cumsum(shared_on < p.length - d)
-        behind[back] = np.cumsum(shared_back < d)
-        both = ahead[pick] * (n + 1) + behind[pick]
-        order = np.argsort(both)
-        same = np.zeros(len(pick) + 1, bool)
-        same[1:-1] = both[order][1:] == both[order][:-1]
-        out[pick[order], d] = same[1:] | same[:-1]
+    nearby = np.empty(n, np.int64)
+    nearby[on] = np.maximum(shared_on, np.append(shared_on[1:], 0))
+    ahead, behind, out = np.empty(n, np.int64), np.empty(n, np.int64), []
+    for length in p.lengths:
+        found = np.zeros((n, p.span), bool)
+        near = np.maximum(nearest, length - beyond)  # a window ends in its text
+        hopeful = nearby > length - p.span  # what shares no more with a neighbour is left out
+        for d in range(p.span):
+            pick = np.flatnonzero(hopeful & (near <= d) & (d <= furthest))
+            if len(pick) < 2:
+                continue
+            ahead[on] = np.cumsum(shared_on < length - d)
+            behind[back] = np.cumsum(shared_back < d)
+            both = ahead[pick] * (n + 1) + behind[pick]
+            order = np.argsort(both)
+            same = np.zeros(len(pick) + 1, bool)
+            same[1:-1] = both[order][1:] == both[order][:-1]
+            found[pick[order], d] = same[1:] | same[:-1]
+        out.append(found)
     return out
 
 
+def _start(first, more, kind: int):
+    """A run of starts as one number."""
+    return (first << 20 | more) << 1 | kind
+
+
 def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Sorts a bucket's suffixes and reports the starts of repeated windows."""
     batches = [b for b in batches if b.num_rows]
@@ -281,14 +304,14 @@ def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
         return
     table = pa.Table.from_batches(batches)
     t1, t2, place = (table.column(n).to_numpy() for n in ("t1", "t2", "place"))
-    found = repeated_windows(table.column("bytes").to_pylist(), place, p)
-    edge = np.zeros((len(found), p.span + 2), np.int8)
-    edge[:, 1:-1] = found
-    step = np.diff(edge, axis=1)
-    row, near = np.nonzero(step == 1)
-    far = np.nonzero(step == -1)[1] - 1
-    first = (place >> 14)[row] + (place >> 7 & 127)[row] - far
-    yield from emit(RUNS, _by_text(t1[row], t2[row], first << 20 | (far - near)))
+    for kind, found in enumerate(repeated_windows(table.column("bytes").to_pylist(), place, p)):
+        edge = np.zeros((len(found), p.span + 2), np.int8)
+        edge[:, 1:-1] = found
+        step = np.diff(edge, axis=1)
+        row, near = np.nonzero(step == 1)
+        far = np.nonzero(step == -1)[1] - 1
+        first = (place >> 14)[row] + (place >> 7 & 127)[row] - far
+        yield from emit(RUNS, _by_text(t1[row], t2[row], _start(first, far - near, kind)))
 
 
 # -- hot cores: contexts and windows by their content
@@ -296,8 +319,8 @@ def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
 #: A row for each content in a batch (of its first bearer), and one for each text whose starts are known to be repeated.
 CONTEXTS = pa.schema([("content", pa.binary()), ("t1", pa.int64()), ("t2", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary()), ("alone", pa.bool_()), ("known", pa.list_(pa.int64()))])
 CONTEXTS_DDL = "content binary, t1 long, t2 long, place long, bytes binary, alone boolean, known array<long>"
-WINDOWS = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("salt", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("first", pa.int64()), ("alone", pa.bool_()), ("known", pa.list_(pa.int64()))])
-WINDOWS_DDL = "lead binary, content binary, salt long, t1 long, t2 long, first long, alone boolean, known array<long>"
+WINDOWS = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("salt", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("alone", pa.bool_()), ("known", pa.list_(pa.int64()))])
+WINDOWS_DDL = "lead binary, content binary, salt long, t1 long, t2 long, start long, alone boolean, known array<long>"
 EDGES = pa.schema([*RUNS, ("content", pa.binary()), ("repeated", pa.bool_())])
 
 
@@ -309,6 +332,12 @@ def _columns(names: list[str], rows: list[tuple]) -> dict[str, tuple]:
     return dict(zip(names, zip(*rows, strict=True), strict=True))
 
 
+def _all_starts(place: int, size: int, p: Params) -> list[int]:
+    """The runs of all windows of a context with ``size`` bytes."""
+    ends = [min(place & 127, size - length) for length in p.lengths]
+    return [_start(place >> 14, more, kind) for kind, more in enumerate(ends) if more >= 0]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Each content of a list once. What bears a content that is there twice is known to be repeated."""
     for rows in _wanted(batches, p, 2_000_000):
@@ -316,14 +345,13 @@ def _contexts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         known: dict[tuple[int, int], list[int]] = {}
         for _, t1, t2, place, raw in rows:
             content = _digest((place & 0x3FFF).to_bytes(2, "big") + raw)
-            start = place >> 14 << 20 | place & 127
             if content not in seen:
                 seen[content] = [t1, t2, place, raw, True]
                 continue
-            known.setdefault((t1, t2), []).append(start)
+            known.setdefault((t1, t2), []).extend(_all_starts(place, len(raw), p))
             x = seen[content]
             if x[4]:
-                known.setdefault((x[0], x[1]), []).append(x[2] >> 14 << 20 | x[2] & 127)
+                known.setdefault((x[0], x[1]), []).extend(_all_starts(x[2], len(raw), p))
                 x[4] = False
         out = [(c, *x, None) for c, x in seen.items()] + [(None, *k, None, None, None, v) for k, v in known.items()]
         if out:
@@ -336,22 +364,23 @@ def _windows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Record
         out: dict[bytes, list] = {}
         known: dict[tuple[int, int], list[int]] = {}
         for t1, t2, place, raw, alone in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "place", "bytes", "alone")), strict=True):
-            for k in range((place & 127) + 1):
-                w = raw[k : k + p.length]
-                content, first = _digest(w), (place >> 14) + k
-                x = out.get(content)
-                if x is None:
-                    out[content] = [w[: p.lead], t1, t2, first, alone]
-                    continue
-                if alone:
-                    known.setdefault((t1, t2), []).append(first << 20)
-                if x[4]:
-                    known.setdefault((x[1], x[2]), []).append(x[3] << 20)
-                    x[4] = False
+            for kind, length in enumerate(p.lengths):
+                for k in range(min(place & 127, len(raw) - length) + 1):
+                    w = raw[k : k + length]
+                    content, start = _digest(w), _start((place >> 14) + k, 0, kind)
+                    x = out.get(content)
+                    if x is None:
+                        out[content] = [w[: p.lead], t1, t2, start, alone]
+                        continue
+                    if alone:
+                        known.setdefault((t1, t2), []).append(start)
+                    if x[4]:
+                        known.setdefault((x[1], x[2]), []).append(x[3])
+                        x[4] = False
         rows = [(x[0], c, *x[1:], None) for c, x in out.items()] + [(b"", b"", *k, 0, True, v) for k, v in known.items()]
         if rows:
             columns = _columns([n for n in WINDOWS.names if n != "salt"], rows)
-            spread = signed(mix(np.array(columns["t1"]).view(U64) + np.array(columns["first"]).view(U64)))
+            spread = signed(mix(np.array(columns["t1"]).view(U64) + np.array(columns["start"]).view(U64)))
             yield from emit(WINDOWS, columns | {"salt": spread})
 
 
@@ -361,13 +390,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not batches:
         return
     table = pa.Table.from_batches(batches)
-    t1, t2, first, alone = (table.column(n).to_numpy() for n in ("t1", "t2", "first", "alone"))
+    t1, t2, start, alone = (table.column(n).to_numpy() for n in ("t1", "t2", "start", "alone"))
     known = table.column("known").to_pylist()
     told = np.flatnonzero([k is not None for k in known])
     yield from emit(EDGES, {"t1": t1[told], "t2": t2[told], "starts": [known[i] for i in told], "content": [None] * len(told), "repeated": np.ones(len(told), bool)})
     rows = np.flatnonzero([k is None for k in known])
     content, lead = (table.column(n).take(pa.array(rows)).to_pylist() for n in ("content", "lead"))
-    t1, t2, first, alone = t1[rows], t2[rows], first[rows], alone[rows]
+    t1, t2, start, alone = t1[rows], t2[rows], start[rows], alone[rows]
     keys = np.frombuffer(b"".join(a.ljust(40, b"\0") + c for a, c in zip(lead, content, strict=True)), np.uint8).reshape(len(rows), 56)
     order = multikey_order(_tokens(keys))
     same = np.zeros(len(order) + 1, bool)
@@ -376,9 +405,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     repeated[order] = same[1:] | same[:-1]
     edge[order[:1]] = edge[order[-1:]] = True
     pick = np.flatnonzero(edge)
-    yield from emit(EDGES, {"t1": t1[pick], "t2": t2[pick], "starts": [[int(x) << 20] for x in first[pick]], "content": [content[i] for i in pick], "repeated": (repeated & alone)[pick]})
+    yield from emit(EDGES, {"t1": t1[pick], "t2": t2[pick], "starts": [[x] for x in start[pick]], "content": [content[i] for i in pick], "repeated": (repeated & alone)[pick]})
     pick = np.flatnonzero(repeated & alone & ~edge)
-    found = _by_text(t1[pick], t2[pick], first[pick] << 20)
+    found = _by_text(t1[pick], t2[pick], start[pick])
     yield from emit(EDGES, found | {"content": [None] * len(found["t1"]), "repeated": np.ones(len(found["t1"]), bool)})
 
 
@@ -390,7 +419,10 @@ def _hot(need: DataFrame, p: Params) -> DataFrame:
     first = [F.first(c).alias(c) for c in ("t1", "t2", "place", "bytes", "alone")]  # all of one row
     kinds, n = cut_counting(found.groupBy("content").agg(F.count("*").alias("n"), *first), F.col("n") > 1)
     several = limited(kinds.where("n > 1").select("content"), n, p.broadcast_rows)
-    equal = found.where("alone").join(several, "content", "left_semi").select("t1", "t2", F.array(F.shiftleft(F.shiftright("place", 14), 20).bitwiseOR(F.col("place").bitwiseAND(F.lit(127)))).alias("starts"))
+    first, more = F.shiftright("place", 14), F.col("place").bitwiseAND(F.lit(127)).cast("long")
+    ends = [F.least(more, F.octet_length("bytes") - length) for length in p.lengths]
+    runs = [F.when(x >= 0, F.shiftleft(F.shiftleft(first, 20).bitwiseOR(x), 1).bitwiseOR(F.lit(kind).cast("long"))) for kind, x in enumerate(ends)]
+    equal = found.where("alone").join(several, "content", "left_semi").select("t1", "t2", F.array_compact(F.array(*runs)).alias("starts"))
     windows = in_arrow(kinds.select("t1", "t2", "place", "bytes", (F.col("alone") & (F.col("n") == 1)).alias("alone")), lambda it: _windows(it, p), WINDOWS_DDL)
     buckets = windows.repartitionByRange(max(shuffle_width(need.sparkSession), kinds.count() * p.span // (16 * p.bucket_contexts)), "lead", "content", "salt")
     runs = cut(in_arrow(buckets, _compared, f"{RUNS_DDL}, content binary, repeated boolean"))
@@ -409,11 +441,11 @@ def text_keys(docs: DataFrame, t1: str = "t1", t2: str = "t2") -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(t1, t2, starts) of each text with repeated windows, as (first << 20 | run - 1) numbers or ALL, and (t1, t2) of texts with very many copies.
+    """(t1, t2, starts) of each text with repeated windows, as numbers of ``_start`` or ALL, and (t1, t2) of texts with very many copies.
 
     ``docs`` has t1, t2 and text. The second table has less than 100,000 rows.
     """
-    docs = docs.select("t1", "t2", "text").where(F.octet_length("text") >= p.length)
+    docs = docs.select("t1", "t2", "text").where(F.octet_length("text") >= p.least)
     found = in_arrow(docs, lambda it: _anchors(it, p), ANCHORS_DDL)
     texts = cut(found.groupBy("t1", "t2", "part").agg(F.count("*").alias("n"), F.first("cores").alias("cores"), F.first("places").alias("places")))
     rows = texts.where("part = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -439,19 +471,25 @@ def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, D
     return starts.groupBy("t1", "t2").agg(F.flatten(F.collect_list("starts")).alias("starts")), many
 
 
-def spans(raw: bytes, starts: list[int], p: Params) -> list[tuple[int, int]]:
-    """Maximal byte ranges covered by windows that begin at these starts."""
+def spans(raw: bytes, starts: list[int], p: Params, kind: int = 0) -> list[tuple[int, int]]:
+    """Maximal byte ranges covered by windows of one length that begin at these starts."""
+    length = p.lengths[kind]
     if ALL in starts:
-        return [(0, len(raw))]
+        return [(0, len(raw))] if len(raw) >= length else []
     out: list[list[int]] = []
-    for first, last in sorted((s >> 20, (s >> 20) + (s & 0xFFFFF)) for s in starts):
+    for first, last in sorted((s >> 21, (s >> 21) + (s >> 1 & 0xFFFFF)) for s in starts if s & 1 == kind):
         if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + p.length)
+            out[-1][1] = max(out[-1][1], last + length)
         else:
-            out.append([first, last + p.length])
+            out.append([first, last + length])
     return [(a, b) for a, b in out]
 
 
+def passages(raw: bytes, starts: list[int], p: Params) -> list[tuple[int, int]]:
+    """Repeated runs by the second length that have words enough (parted by ASCII white space)."""
+    return [(a, b) for a, b in spans(raw, starts, p, 1) if len(raw[a:b].split()) >= p.passage_words] if p.passage else []
+
+
 def kept(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
     at, parts = 0, []
     for a, b in removed:
@@ -475,14 +513,16 @@ def with_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, str]:
     return rest.unionByName(copies), name
 
 
-DIGEST = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
-DIGEST_DDL = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
+DIGEST = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("n_passages", pa.int64())])
+DIGEST_DDL = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, n_passages long"
 
 
 def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans ([begin, end) in bytes) of each row (columns doc_id and text; others are ignored).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans ([begin, end) in bytes), n_passages of each row (columns doc_id and text; others are ignored).
 
-    A null text is empty; a text shorter than ``length`` bytes keeps all. A
+    n_passages counts the repeated runs by windows of ``passage`` bytes that
+    have ``passage_words`` words at least; they are reported, not removed (0 if
+    there is no second length). A null text is empty; a text shorter than ``length`` bytes keeps all. A
     text of any length is read whole, in pieces that overlap. Rows repeated,
     with doc_id or without, repeat each other's bytes. An empty table gives an
     empty result. All occurrences go, so there are no ties.
@@ -496,7 +536,7 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
             for t1, t2, text, starts in zip(*(b.column(n).to_pylist() for n in ("t1", "t2", "text", "starts")), strict=True):
                 raw = text.encode()
                 cuts = spans(raw, starts, p)
-                values = (t1, t2, sum(y - x for x, y in cuts), len(cuts), hashlib.sha256(kept(raw, cuts)).hexdigest(), cuts)
+                values = (t1, t2, sum(y - x for x, y in cuts), len(cuts), hashlib.sha256(kept(raw, cuts)).hexdigest(), cuts, len(passages(raw, starts, p)))
                 for n, v in zip(out, values, strict=True):
                     out[n].append(v)
             yield from emit(DIGEST, out)
@@ -506,20 +546,23 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     starts, many = repeated_starts(keyed, p)
     starts = cut(starts.withColumn("whole", F.array_contains("starts", ALL)))
     parts = starts.where("not whole").select(*keys, "starts")
-    need = keyed.where(F.octet_length("text") >= p.length).join(limited(parts.select(*keys), parts.count(), p.broadcast_rows), keys, "left_semi")
+    need = keyed.where(F.octet_length("text") >= p.least).join(limited(parts.select(*keys), parts.count(), p.broadcast_rows), keys, "left_semi")
     parts = in_arrow(need.groupBy(*keys).agg(F.first("text").alias("text")).join(parts.hint("shuffle_hash"), keys), run, DIGEST_DDL).withColumn("whole", F.lit(False))
     found = starts.where("whole").select(*keys, "whole").unionByName(parts, allowMissingColumns=True)
     raw = F.coalesce("text", F.lit(""))
-    rows = keyed.select("doc_id", *keys, F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
+    words = F.size(F.regexp_extract_all(raw, F.lit(r"[^ \t\n\r\x0b\f]+"), F.lit(0))) if p.passage else F.lit(0)
+    rows = keyed.select("doc_id", *keys, F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), (words >= p.passage_words).alias("wordy"))
     copies = rows.join(F.broadcast(many), keys, "left_semi").withColumn("whole", F.lit(True))
     rows = rows.join(F.broadcast(many), keys, "left_anti").join(found, keys, "left").unionByName(copies, allowMissingColumns=True)
-    none, length = F.lit(0).cast("long"), F.col("n_bytes")
+    none, length, gone = F.lit(0).cast("long"), F.col("n_bytes"), F.col("whole") & (F.col("n_bytes") >= p.length)
+    passage = (F.col("wordy") & (F.col("n_bytes") >= p.least)).cast("long") if p.passage else none
     return rows.select(
         "doc_id", "n_bytes",
-        F.when(F.col("whole"), length).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
-        F.when(F.col("whole"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
-        F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(F.col("whole"), F.array(F.array(none, length))).otherwise(F.coalesce("spans", F.array().cast("array<array<long>>"))).alias("spans"),
+        F.when(gone, length).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone, F.array(F.array(none, length))).otherwise(F.coalesce("spans", F.array().cast("array<array<long>>"))).alias("spans"),
+        F.when(F.col("whole"), passage).otherwise(F.coalesce("n_passages", none)).alias("n_passages"),
     )
 
 

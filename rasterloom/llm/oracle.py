@@ -62,9 +62,18 @@ p AS (SELECT k.doc_id, pos FROM k JOIN x ON x.f = k.f),
 g AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 400 THEN 0 ELSE 1 END AS new FROM p)),
 c AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 400 AS b FROM g GROUP BY ALL),
 e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM c),
-q AS (SELECT e.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(hex(raw), 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(hex(any_value(raw)), 2 * max(b) + 1) AS left_over FROM e JOIN s ON s.doc_id = e.doc_id GROUP BY ALL)
-SELECT s.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN q.doc_id IS NULL THEN raw ELSE unhex(left_over) END) AS kept_sha256
-FROM s LEFT JOIN q ON q.doc_id = s.doc_id"""
+q AS (SELECT e.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(hex(raw), 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(hex(any_value(raw)), 2 * max(b) + 1) AS left_over FROM e JOIN s ON s.doc_id = e.doc_id GROUP BY ALL),
+w2 AS (SELECT doc_id, unnest(range(0, n - 199)) AS pos, hex(raw) AS hx FROM s WHERE n >= 200),
+k2 AS (SELECT doc_id, pos, md5(substr(hx, 2 * pos + 1, 400)) AS f FROM w2),
+x2 AS (SELECT f FROM k2 GROUP BY f HAVING count(*) > 1),
+p2 AS (SELECT k2.doc_id, pos FROM k2 JOIN x2 ON x2.f = k2.f),
+g2 AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 200 THEN 0 ELSE 1 END AS new FROM p2)),
+c2 AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 200 AS b FROM g2 GROUP BY ALL),
+b2 AS (SELECT doc_id, a, regexp_extract_all(substr(hex(raw), 2 * a + 1, 2 * (b - a)), '..') AS p FROM c2 JOIN s USING (doc_id)),
+y2 AS (SELECT doc_id, a FROM b2 WHERE len(list_filter(p, lambda x, i: x NOT IN ('20', '09', '0A', '0B', '0C', '0D') AND (i = 1 OR p[i - 1] IN ('20', '09', '0A', '0B', '0C', '0D')))) > 50),
+z2 AS (SELECT doc_id, count(*) AS n_passages FROM y2 GROUP BY ALL)
+SELECT s.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN q.doc_id IS NULL THEN raw ELSE unhex(left_over) END) AS kept_sha256, coalesce(n_passages, 0) AS n_passages
+FROM s LEFT JOIN q ON q.doc_id = s.doc_id LEFT JOIN z2 ON z2.doc_id = s.doc_id"""
 
 OP7 = """
 WITH v AS (

@@ -254,8 +254,23 @@ def brute_substrings(texts, length):
     return out
 
 
+def brute_passages(texts, length, least):
+    """Runs that windows of ``length`` bytes with an equal elsewhere cover, and that have ``least`` words."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
+    out = []
+    for x in raw:
+        gone = np.zeros(len(x) + 2, np.int8)
+        for i in range(len(x) - length + 1):
+            if seen[x[i : i + length]] > 1:
+                gone[i + 1 : i + 1 + length] = 1
+        out.append(sum(len(x[a:b].split()) >= least for a, b in np.flatnonzero(np.diff(gone)).reshape(-1, 2)))
+    return out
+
+
+@pytest.mark.parametrize("passage", [0, 200, 395])
 @pytest.mark.parametrize("hot", [4096, 3, 1])
-def test_substrings_equal_brute_force(spark, hot):
+def test_substrings_equal_brute_force(spark, hot, passage):
     rng = np.random.default_rng(3)
     base = "".join(rng.choice(list("abcdé "), 2500))
     rows = []
@@ -267,8 +282,11 @@ def test_substrings_equal_brute_force(spark, hot):
         rows.append((i, text))
     rows += [(900, "a" * 2000), (901, "ab" * 700), (902, None), (903, ""), (904, rows[5][1]), (905, rows[5][1]), (905, rows[5][1]), (906, "a" * 400), (None, base)]
     df = docs(spark, rows).repartition(5)
-    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in exact_substrings.duplicates(df, exact_substrings.Params(hot=hot, piece=250_000 if hot > 3 else 700)).collect())
-    expected = sorted((r[0] if r[0] is not None else -1, *x) for r, x in zip(rows, brute_substrings([r[1] for r in rows], 400), strict=True))
+    p = exact_substrings.Params(hot=hot, piece=250_000 if hot > 3 else 700, passage=passage, passage_words=20)
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in exact_substrings.duplicates(df, p).collect())
+    texts = [r[1] for r in rows]
+    passages = brute_passages(texts, passage, 20) if passage else [0] * len(rows)
+    expected = sorted((r[0] if r[0] is not None else -1, *x, y) for r, x, y in zip(rows, brute_substrings(texts, 400), passages, strict=True))
     assert found == expected
 
 
