@@ -412,14 +412,14 @@ def filtration_features(spark, d):
 
 @registered()
 def sliced_wasserstein_kernel(spark, d):
-    points = diagrams.min_max(diagrams.finite(_weighted(spark, d)))
+    points = diagrams.min_max(diagrams.finite(kept(_weighted(spark, d))))
     found = diagrams.kernel(diagrams.to_queries(points, diagrams.sliced_wasserstein, "distance"), "distance", 1.0)
     return found.select("image_id", "other", F.round("distance", 6).alias("distance"), F.round("kernel", 6).alias("kernel"))
 
 
 @registered()
 def bottleneck_distances(spark, d):
-    points = diagrams.min_max(diagrams.finite(_weighted(spark, d)))
+    points = diagrams.min_max(diagrams.finite(kept(_weighted(spark, d))))
     return diagrams.to_queries(points, lambda a, b: diagrams.bottleneck(a, b, 0.0), "distance").withColumn("distance", F.round("distance", 6))
 
 
@@ -535,7 +535,7 @@ def diagram_grid(spark, d):
 @registered()
 def kernel_svm(spark, d):
     """Accuracy in training and in test of a machine over kernel values to the query set."""
-    points = diagrams.min_max(diagrams.finite(_weighted(spark, d)))
+    points = diagrams.min_max(diagrams.finite(kept(_weighted(spark, d))))
     values = diagrams.kernel(diagrams.to_queries(points, diagrams.sliced_wasserstein, "distance"), "distance", 1.0)
     rows = ml.kernel_rows(values).join(features.hash_split(_two_classes(spark, d), "image_id", 0.35, 0), "image_id")
     return ml.kernel_accuracy(rows)
