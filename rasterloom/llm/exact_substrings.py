@@ -64,6 +64,8 @@ class Params:
     lead: int = 24
     #: Rows of a broadcast side at most (about 100 bytes each in memory).
     broadcast_rows: int = 50_000
+    #: The same for sides that are two keys of a text alone.
+    broadcast_keys: int = 200_000
 
     @property
     def least(self) -> int:
@@ -460,7 +462,7 @@ def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, D
             continue
         wanted = each.join(limited(cores.where(which).select("core"), n, p.broadcast_rows), "core", "left_semi")
         wanted, m = cut_counting(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", "place")).alias("wanted")))
-        need = docs.join(limited(wanted.select("t1", "t2"), m, p.broadcast_rows), ["t1", "t2"], "left_semi")
+        need = docs.join(limited(wanted.select("t1", "t2"), m, p.broadcast_keys), ["t1", "t2"], "left_semi")
         need = need.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted.hint("shuffle_hash"), ["t1", "t2"])
         if hot:
             starts = starts.unionByName(_hot(need, p))
@@ -546,7 +548,7 @@ def duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     starts, many = repeated_starts(keyed, p)
     starts = cut(starts.withColumn("whole", F.array_contains("starts", ALL)))
     parts = starts.where("not whole").select(*keys, "starts")
-    need = keyed.where(F.octet_length("text") >= p.least).join(limited(parts.select(*keys), parts.count(), p.broadcast_rows), keys, "left_semi")
+    need = keyed.where(F.octet_length("text") >= p.least).join(limited(parts.select(*keys), parts.count(), p.broadcast_keys), keys, "left_semi")
     parts = in_arrow(need.groupBy(*keys).agg(F.first("text").alias("text")).join(parts.hint("shuffle_hash"), keys), run, DIGEST_DDL).withColumn("whole", F.lit(False))
     found = starts.where("whole").select(*keys, "whole").unionByName(parts, allowMissingColumns=True)
     raw = F.coalesce("text", F.lit(""))
