@@ -31,7 +31,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of strings of 400 bytes, and how many passages of over 50 words are repeated, by windows of 200 bytes."""
-    return exact_substrings.duplicates(_table(spark, sf_dir, "documents"), exact_substrings.Params(passage=200)).drop("spans")
+    return exact_substrings.duplicates(_table(spark, sf_dir, "documents"), exact_substrings.Params(passage=200, hot=16_384)).drop("spans")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
