@@ -527,11 +527,6 @@ def grid_search(spark, d):
     return ml.grid_search(rows)
 
 
-@registered()
-def diagram_grid(spark, d):
-    return ml.diagram_grid(kept(_weighted(spark, d).select("image_id", "birth", "death")), _two_classes(spark, d))
-
-
 @registered()
 def kernel_svm(spark, d):
     """Accuracy in training and in test of a machine over kernel values to the query set."""

@@ -8,7 +8,7 @@ import pytest
 from rasterloom.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"grid_search", "diagram_grid", "forest_accuracy"}
+SLOW = {"grid_search", "forest_accuracy"}
 
 
 @pytest.fixture(scope="module")
