@@ -274,16 +274,6 @@ def test_diagrams_of_all_filtrations_in_one_step(spark):
     assert key(filtrations.all_diagrams(binary, centres)) == key(filtrations.cubical(filtrations.all_filtrations(binary, centres)))
 
 
-def test_kernel_machine(spark):
-    rng = np.random.default_rng(8)
-    rows = [(i, float(a), float(a + (0.1 if i % 2 else 2.0) * (1 + b))) for i in range(60) for a, b in rng.random((3, 2))]
-    points = spark.createDataFrame(rows, "image_id long, birth double, death double")
-    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(60)], "image_id long, label double")
-    values = diagrams.kernel(diagrams.to_queries(points, diagrams.sliced_wasserstein, "distance", 5), "distance", 1.0)
-    r = ml.kernel_accuracy(ml.kernel_rows(values).join(features.hash_split(labels, "image_id", 0.35, 0), "image_id")).first()
-    assert (r.train_rows, r.test_rows) == (39, 21) and r.train_accuracy > 0.95 and r.test_accuracy > 0.95
-
-
 def test_large_fields(spark):
     rows = [(i, [float((i * 64 + k) % 97) for k in range(64)]) for i in range(850)]
     folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp')}/large"
