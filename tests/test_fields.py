@@ -389,3 +389,15 @@ def test_stream(spark, tmp_path):
     query = stream.curve_stream(stream.field_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), 3)
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_many_distances_at_once_equal_one_pair_at_a_time():
+    """With empty diagrams, ties, points on one place, and sizes that greedy matchings don't settle."""
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.random((rng.integers(0, 12), 2)), axis=1) for _ in range(40)]
+    sets += [np.sort(rng.integers(0, 4, (rng.integers(0, 12), 2)), axis=1).astype(float) for _ in range(40)]
+    sets += [np.array([[0.0, 9.0]] * n + [[1.0, 9.0]]) for n in (0, 1, 3)]
+    for one, many in diagrams.AT_ONCE.items():
+        assert np.allclose(many(sets, sets[::3]), [[one(a, b) for b in sets[::3]] for a in sets], rtol=0, atol=1e-12)
+    big = [np.sort(rng.random((n, 2)), axis=1) for n in (90, 300)]
+    assert np.allclose(diagrams.sliced_wasserstein_all(big, sets[:3]), [[diagrams.sliced_wasserstein(a, b) for b in sets[:3]] for a in big], rtol=0, atol=1e-9)
