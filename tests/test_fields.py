@@ -401,3 +401,4 @@ def test_many_distances_at_once_equal_one_pair_at_a_time():
         assert np.allclose(many(sets, sets[::3]), [[one(a, b) for b in sets[::3]] for a in sets], rtol=0, atol=1e-12)
     big = [np.sort(rng.random((n, 2)), axis=1) for n in (90, 300)]
     assert np.allclose(diagrams.sliced_wasserstein_all(big, sets[:3]), [[diagrams.sliced_wasserstein(a, b) for b in sets[:3]] for a in big], rtol=0, atol=1e-9)
+    assert diagrams.bottleneck_all(big, big[:1])[1, 0] == diagrams.bottleneck(big[1], big[0])
