@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,22 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.plans.cache import cut, shared_folder  # noqa: F401
+
 U64 = np.uint64
 #: Odd multipliers of the 64-bit finaliser.
 M1, M2, M3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set on a single machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of whatever file system it is on."""
     jvm = spark.sparkContext._jvm
@@ -38,12 +28,6 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def cut_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
     """``cut``, and how many rows there are (that meet a condition), counted on the way."""
     seen = Observation()

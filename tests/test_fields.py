@@ -402,3 +402,13 @@ def test_many_distances_at_once_equal_one_pair_at_a_time():
     big = [np.sort(rng.random((n, 2)), axis=1) for n in (90, 300)]
     assert np.allclose(diagrams.sliced_wasserstein_all(big, sets[:3]), [[diagrams.sliced_wasserstein(a, b) for b in sets[:3]] for a in big], rtol=0, atol=1e-9)
     assert diagrams.bottleneck_all(big, big[:1])[1, 0] == diagrams.bottleneck(big[1], big[0])
+
+
+def test_kernel_vectors_equal_rows_of_kernels(spark):
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i in range(300) for a, b in np.sort(rng.random((3, 2)), axis=1)], "image_id long, birth double, death double")
+    pairs = diagrams.kernel(diagrams.to_queries(rows, diagrams.sliced_wasserstein, "d", block=4), "d", 0.5)
+    vectors = ml.kernel_vectors(diagrams.lists_to_queries(rows, diagrams.sliced_wasserstein, block=4), 0.5)
+    found = {r.image_id: r.features.toArray().tolist() for r in vectors.collect()}
+    assert len(found) == 300 and {len(x) for x in found.values()} == {15}
+    assert found == {r.image_id: r.features.toArray().tolist() for r in ml.kernel_rows(pairs).collect()}
