@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from rasterloom.functions import sql, thresholds
@@ -412,3 +413,12 @@ def test_kernel_vectors_equal_rows_of_kernels(spark):
     found = {r.image_id: r.features.toArray().tolist() for r in vectors.collect()}
     assert len(found) == 300 and {len(x) for x in found.values()} == {15}
     assert found == {r.image_id: r.features.toArray().tolist() for r in ml.kernel_rows(pairs).collect()}
+
+
+def test_models_read_few_partitions(spark):
+    rows = spark.range(0, 1000, 1, 50).select("id", array_to_vector(F.array(*[F.col("id") * 1.0] * 3)).alias("features"))
+    few = ml.gathered(rows)
+    assert few.rdd.getNumPartitions() == 1 and sorted(r.id for r in few.collect()) == list(range(1000))
+    assert ml.gathered(rows.select("id", array_to_vector(F.array_repeat(F.col("id") * 1.0, 2500)).alias("features"))).rdd.getNumPartitions() == 3
+    assert ml.gathered(rows.where("id < 0")).count() == 0
+    spark.catalog.clearCache()
