@@ -321,8 +321,8 @@ def _bucket(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
 #: A row for each content in a batch (of its first bearer), and one for each text whose starts are known to be repeated.
 CONTEXTS = pa.schema([("content", pa.binary()), ("t1", pa.int64()), ("t2", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary()), ("alone", pa.bool_()), ("known", pa.list_(pa.int64()))])
 CONTEXTS_DDL = "content binary, t1 long, t2 long, place long, bytes binary, alone boolean, known array<long>"
-WINDOWS = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("salt", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("alone", pa.bool_()), ("known", pa.list_(pa.int64()))])
-WINDOWS_DDL = "lead binary, content binary, salt long, t1 long, t2 long, start long, alone boolean, known array<long>"
+WINDOWS = pa.schema([("lead", pa.binary()), ("content", pa.binary()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("alone", pa.bool_()), ("known", pa.list_(pa.int64()))])
+WINDOWS_DDL = "lead binary, content binary, t1 long, t2 long, start long, alone boolean, known array<long>"
 EDGES = pa.schema([*RUNS, ("content", pa.binary()), ("repeated", pa.bool_())])
 
 
@@ -381,9 +381,7 @@ def _windows(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Record
                         x[4] = False
         rows = [(x[0], c, *x[1:], None) for c, x in out.items()] + [(b"", b"", *k, 0, True, v) for k, v in known.items()]
         if rows:
-            columns = _columns([n for n in WINDOWS.names if n != "salt"], rows)
-            spread = signed(mix(np.array(columns["t1"]).view(U64) + np.array(columns["start"]).view(U64)))
-            yield from emit(WINDOWS, columns | {"salt": spread})
+            yield from emit(WINDOWS, _columns(WINDOWS.names, rows))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,7 +424,7 @@ def _hot(need: DataFrame, p: Params) -> DataFrame:
     runs = [F.when(x >= 0, F.shiftleft(F.shiftleft(first, 20).bitwiseOR(x), 1).bitwiseOR(F.lit(kind).cast("long"))) for kind, x in enumerate(ends)]
     equal = found.where("alone").join(several, "content", "left_semi").select("t1", "t2", F.array_compact(F.array(*runs)).alias("starts"))
     windows = in_arrow(kinds.select("t1", "t2", "place", "bytes", (F.col("alone") & (F.col("n") == 1)).alias("alone")), lambda it: _windows(it, p), WINDOWS_DDL)
-    buckets = windows.repartitionByRange(max(shuffle_width(need.sparkSession), kinds.count() * p.span // (16 * p.bucket_contexts)), "lead", "content", "salt")
+    buckets = windows.repartitionByRange(max(shuffle_width(need.sparkSession), kinds.count() * p.span // (16 * p.bucket_contexts)), "lead", "content", "t1", "start")  # equal ones by the hash of their text
     runs = cut(in_arrow(buckets, _compared, f"{RUNS_DDL}, content binary, repeated boolean"))
     met = runs.where("content is not null").groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
     # an edge's window that isn't alone needs no report, but a second one: every start that it stands for is known
@@ -454,10 +452,10 @@ def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, D
     many = texts.where((F.col("n") > max(1, rows // 100_000)) & (F.col("part") == 0)).select("t1", "t2")
     whole = texts.where("n > 1 and part = 0").select("t1", "t2", F.array(F.lit(ALL).cast("long")).alias("starts"))
     each = texts.select("t1", "t2", F.explode(F.arrays_zip("cores", "places")).alias("x")).select("t1", "t2", F.col("x.cores").alias("core"), F.col("x.places").alias("place"))
-    cores, n = cut_counting(each.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
-    totals = cores.agg(F.sum(F.when(F.col("n") <= p.hot, F.col("n"))).alias("calm"), F.sum(F.when(F.col("n") > p.hot, F.col("n"))).alias("hot")).first()
+    cores = cut(each.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
     starts = whole
-    for which, total, hot in ((F.col("n") <= p.hot, totals.calm, False), (F.col("n") > p.hot, totals.hot, True)):
+    for which, hot in ((F.col("n") <= p.hot, False), (F.col("n") > p.hot, True)):
+        n, total = cores.where(which).agg(F.count("*"), F.sum("n")).first()  # hot cores are few: all contexts needn't be moved to meet them
         if not total:
             continue
         wanted = each.join(limited(cores.where(which).select("core"), n, p.broadcast_rows), "core", "left_semi")

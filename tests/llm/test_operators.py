@@ -848,3 +848,18 @@ def test_pairs_in_a_large_family_are_found(spark):
         found.setdefault(r.class_id, []).append(r.doc_id)
     assert sorted(sorted(g) for g in found.values()) == brute_classes(rows)
     assert len(found) == 150
+
+
+def test_hot_cores_are_counted_alone(spark, monkeypatch):
+    """Whether contexts are moved to meet the hot cores goes by the number of these, not of all cores."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common, pairs = draw(300), [draw(300) for _ in range(30)]
+    texts = [draw(50) + common + draw(50) for _ in range(20)] + [draw(50) + x + draw(50) for x in pairs * 2]
+    asked, limited = [], exact_substrings.limited
+    monkeypatch.setattr(exact_substrings, "limited", lambda df, n, most: asked.append((df.columns, n, df.count())) or limited(df, n, most))
+    docs = exact_substrings.text_keys(spark.createDataFrame([(x,) for x in texts], "text string"))
+    found, _ = exact_substrings.repeated_starts(docs, exact_substrings.Params(length=200, hot=4))
+    assert found.count() == 80
+    cores = [(n, rows) for columns, n, rows in asked if columns == ["core"]]
+    assert len(cores) == 2 and all(n == rows for n, rows in cores) and cores[1][0] < cores[0][0]
