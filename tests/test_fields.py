@@ -415,6 +415,38 @@ def test_kernel_vectors_equal_rows_of_kernels(spark):
     assert found == {r.image_id: r.features.toArray().tolist() for r in ml.kernel_rows(pairs).collect()}
 
 
+def test_kernel_features_are_worked_out_where_they_are_put_together(spark):
+    """As the lists give them, over several blocks, without a shuffle of what is found; rows without a diagram are left out."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i in range(300) for a, b in rng.random((rng.integers(1, 6), 2))], "image_id long, birth double, death double")
+    labels = spark.range(310).select(F.col("id").alias("image_id"), (F.col("id") % 2).cast("double").alias("label"))
+    expected = {r.image_id: r.features.toArray() for r in ml.kernel_vectors(diagrams.lists_to_queries(rows, diagrams.sliced_wasserstein, block=4), 0.5).collect()}
+    features_ = ml.kernel_features(rows, labels, 0.5)
+    blocks = diagrams.vectors_to_queries(rows, diagrams.sliced_wasserstein, lambda x: np.exp(-x / 0.5), labels, "features", numbers=1)
+    for found in (features_.collect(), blocks.collect()):
+        assert sorted((r.image_id, r.label) for r in found) == [(i, float(i % 2)) for i in range(300)]
+        for r in found:
+            assert np.allclose(getattr(r.features, "values", r.features), expected[r.image_id], rtol=0, atol=1e-12)
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_kernel_machine_is_the_one_with_a_scaler(spark):
+    rng = np.random.default_rng(9)
+    x = rng.random((200, 12)) * np.arange(12)  # the first column is constant
+    y = (x[:, 5] + x[:, 11] + rng.normal(0, 3, 200) > 8).astype(float)
+    rows = spark.createDataFrame([(i, a.tolist(), float(b), i % 3 == 0) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, label double, is_test boolean")
+    rows = rows.select("id", array_to_vector("x").alias("features"), "label", "is_test").coalesce(2)
+    train = rows.where("not is_test")
+    raw = [[r.rawPrediction[1] for r in m.fit(train).transform(rows).orderBy("id").collect()] for m in (ml.kernel_svm(), ml.kernel_machine())]
+    assert np.allclose(*raw, rtol=0, atol=1e-6)
+    assert ml.kernel_machine().getMaxBlockSizeInMB() < 0.5
+    found = ml.kernel_accuracy(rows).first()
+    right = (np.array(raw[0]) > 0) == (y > 0)
+    test = np.arange(200) % 3 == 0
+    assert found == (133, 67, pytest.approx(right[~test].mean()), pytest.approx(right[test].mean()))
+    assert math.isnan(ml.kernel_accuracy(train).first().test_accuracy)
+
+
 def test_models_read_few_partitions(spark):
     rows = spark.range(0, 1000, 1, 50).select("id", array_to_vector(F.array(*[F.col("id") * 1.0] * 3)).alias("features"))
     few = ml.gathered(rows)
