@@ -28,10 +28,10 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def cut_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
-    """``cut``, and how many rows there are (that meet a condition), counted on the way."""
+def cut_counting(df: DataFrame, condition: Column | None = None, **known: int) -> tuple[DataFrame, int]:
+    """``cut`` (with what is ``known`` for it), and how many rows there are (that meet a condition), counted on the way."""
     seen = Observation()
-    out = cut(df.observe(seen, (F.count("*") if condition is None else F.count_if(condition)).alias("n")))
+    out = cut(df.observe(seen, (F.count("*") if condition is None else F.count_if(condition)).alias("n")), **known)
     return out, seen.get["n"]
 
 

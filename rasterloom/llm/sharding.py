@@ -55,7 +55,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
     small = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("tie"))
     dealt = small.repartitionByRange(shuffle_width(docs.sparkSession), *order, "tie").sortWithinPartitions(*order, "tie").drop("tie")
     low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = cut(dealt.select("*", F.spark_partition_id().alias("part"), low.alias("place")))
+    numbered = cut(dealt.select("*", F.spark_partition_id().alias("part"), low.alias("place")), docs.count())
     counts = {r.part: r.n for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     begin = np.zeros(max(counts, default=0) + 2, np.int64)

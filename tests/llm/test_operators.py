@@ -5,13 +5,14 @@ import time
 import uuid
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, exact_substrings, html_text, language_id, lm_score, near_dup, packing, sharding, topk, url_filter
-from rasterloom.llm.common import shingles, words
+from rasterloom.llm.common import shared_folder, shingles, words
 from rasterloom.llm.queries import tokenizer_path
 
 DIR = "/root/testdata/sf0.001"
@@ -544,6 +545,35 @@ def test_shards_follow_global_row_numbers(spark):
     assert all((r.row_number, r.shard, r.slot) == (number[r.doc_id], place[number[r.doc_id]] % 16, place[number[r.doc_id]] // 16) for r in found)
 
 
+@pytest.fixture
+def spread(spark):
+    """Shuffles have 40 partitions each, and stay so; gives a function that counts the files in checkpoints since it was last asked."""
+    put = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    folder, seen = shared_folder(spark).removeprefix("file:"), set()
+
+    def files() -> int:
+        new = set(Path(folder).glob("rdd-*/part-*")) - seen
+        seen.update(new)
+        return len(new)
+
+    files()
+    yield files
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_row_numbers_of_few_rows_are_kept_in_few_files(spark, spread):
+    rows = [(i, prose(i, 3)) for i in range(300)]
+    found = sharding.shard_rows(docs(spark, rows)).collect()
+    assert spread() == 1
+    assert [r.row_number for r in sorted(found, key=lambda r: r.doc_id)] == list(range(300))
+    shards = Counter(r.shard for r in found)
+    assert max(shards.values()) - min(shards.values()) <= 1
+
+
 def test_shards(spark):
     rows = [*ODD, *[(i, prose(i, 5)) for i in range(100, 170)]]
     found = sharding.shard_rows(docs(spark, rows)).collect()
