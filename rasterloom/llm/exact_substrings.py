@@ -447,7 +447,7 @@ def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, D
     """
     docs = docs.select("t1", "t2", "text").where(F.octet_length("text") >= p.least)
     found = in_arrow(docs, lambda it: _anchors(it, p), ANCHORS_DDL)
-    texts = cut(found.groupBy("t1", "t2", "part").agg(F.count("*").alias("n"), F.first("cores").alias("cores"), F.first("places").alias("places")))
+    texts, parts = cut_counting(found.groupBy("t1", "t2", "part").agg(F.count("*").alias("n"), F.first("cores").alias("cores"), F.first("places").alias("places")))
     rows = texts.where("part = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     many = texts.where((F.col("n") > max(1, rows // 100_000)) & (F.col("part") == 0)).select("t1", "t2")
     whole = texts.where("n > 1 and part = 0").select("t1", "t2", F.array(F.lit(ALL).cast("long")).alias("starts"))
@@ -459,7 +459,7 @@ def repeated_starts(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, D
         if not total:
             continue
         wanted = each.join(limited(cores.where(which).select("core"), n, p.broadcast_rows), "core", "left_semi")
-        wanted, m = cut_counting(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", "place")).alias("wanted")))
+        wanted, m = cut_counting(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", "place")).alias("wanted")), rows=parts, each=10_000)
         need = docs.join(limited(wanted.select("t1", "t2"), m, p.broadcast_keys), ["t1", "t2"], "left_semi")
         need = need.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted.hint("shuffle_hash"), ["t1", "t2"])
         if hot:

@@ -132,9 +132,9 @@ def row_keys(docs: DataFrame, rkey: str = "rkey", tkey: str = "tkey") -> DataFra
     return docs.withColumns({rkey: F.xxhash64("doc_id", "text"), tkey: F.xxhash64(F.lit(7), "text", "doc_id")})
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, int]:
-    """Those of the pairs (a, b) whose texts are similar, and how many they are."""
-    text = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")), docs, sets, p)  # a repeated row repeats its links, no more
+def _verified(pairs: DataFrame, n: int, docs: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, int]:
+    """Those of the ``n`` pairs (a, b) whose texts are similar, and how many they are."""
+    text = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")), 2 * n, docs, sets, p)  # a repeated row repeats its links, no more
     side = lambda c: text.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -144,12 +144,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) ->
             pick = pa.array(np.flatnonzero(found >= p.similarity - 1e-12))
             yield from emit(out, {"a": batch.column("a").take(pick), "b": batch.column("b").take(pick)})
 
-    return cut_counting(in_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), check, "a binary, b binary"))
+    return cut_counting(in_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), check, "a binary, b binary"), rows=n, each=2000)
 
 
-def _texts(keys: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """key, text of the sets named in ``keys``; a repeated row gives its text again."""
-    ends, n = cut_counting(keys.distinct().join(sets.select("key", "rkey", "tkey"), "key"))
+def _texts(keys: DataFrame, most: int | None, docs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """key, text of the sets named in ``keys`` (``most`` at most, if known); a repeated row gives its text again."""
+    ends, n = cut_counting(keys.distinct().join(sets.select("key", "rkey", "tkey"), "key"), rows=most)
     return cut(row_keys(docs.select("doc_id", "text")).join(limited(ends, n, p.broadcast_rows), ["rkey", "tkey"]).select("key", "text"))
 
 
@@ -215,8 +215,8 @@ def _block(table: pa.Table, p: Params) -> pa.Table:
     return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=LINKS)
 
 
-def _rest(marked: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, int]:
-    """Links between members of a large bucket (bucket, key, label) that are in different classes, and how many they are.
+def _rest(marked: DataFrame, most: int, docs: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, int]:
+    """Links between members of a large bucket (bucket, key, label; ``most`` rows at most) that are in different classes, and how many they are.
 
     The members outside a bucket's largest class are dealt into blocks, and so
     are those in it; each block of the former meets every block of both.
@@ -224,7 +224,7 @@ def _rest(marked: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> tup
     per = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     open_ = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("top"), F.sum("n").alias("n")).where(F.col("n") > F.col("top"))
     blocks = lambda n: F.ceil(n / F.lit(p.block)).cast("long")
-    open_, n = cut_counting(open_.select("bucket", "most", blocks(F.col("n") - F.col("top")).alias("others"), blocks(F.col("top")).alias("mosts")))
+    open_, n = cut_counting(open_.select("bucket", "most", blocks(F.col("n") - F.col("top")).alias("others"), blocks(F.col("top")).alias("mosts")), rows=most)
     if not n:
         return open_, 0
     deal = lambda n: F.pmod(F.xxhash64("key", "bucket"), F.col(n))
@@ -236,55 +236,55 @@ def _rest(marked: DataFrame, docs: DataFrame, sets: DataFrame, p: Params) -> tup
     inner = F.concat(each("others", lambda x: pair(F.least(own, x), F.greatest(own, x))), each("mosts", lambda x: pair(-1 - x, own)))
     at = F.when(own < 0, each("others", lambda x: pair(own, x))).otherwise(inner)
     rows = cut(rows.select("bucket", "key", "label", "own", F.explode(at).alias("at")).select("bucket", "key", "label", "own", "at.*"))
-    text = _texts(rows.select("key"), docs, sets, p).join(sets.select("key", "bands"), "key")
+    text = _texts(rows.select("key"), most, docs, sets, p).join(sets.select("key", "bands"), "key")
     return cut_counting(rows.join(text, "key").groupBy("bucket", "i", "j").applyInArrow(lambda t: _block(t, p), "a binary, b binary"))
 
 
-def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """``labels`` once the links ``new`` are added: the classes that they join are components of the classes."""
+def _joined(labels: DataFrame, nodes: int, new: DataFrame, n: int) -> DataFrame:
+    """``labels``, of ``nodes`` sets at most, once the ``n`` links ``new`` are added: the classes that they join are components of the classes."""
     ends = new.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), "e.b")
     side = ends.join(labels, "node", "left").select("node", "b", F.coalesce("label", "node").alias("la"))
     side = side.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.col("la").alias("a"), F.coalesce("lb", "b").alias("b"))
-    joined = components(side.where(F.col("a") != F.col("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    joined = components(side.where(F.col("a") != F.col("b")), 2 * n).select(F.col("node").alias("label"), F.col("label").alias("to"))
     every = labels.union(joined.select(F.col("label").alias("node"), "label")).distinct()
-    return cut(every.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return cut(every.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), nodes)
 
 
-def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): each row's rkey, tkey, doc_id and set key, and each set key's class."""
-    rows = cut(in_arrow(row_keys(docs.select("doc_id", "text")), lambda it: _sketch(it, p), "doc_id long, rkey long, tkey long, key binary, bands array<long>"))
-    sets = cut(rows.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "rkey", "tkey")).alias("least"), F.first("bands").alias("bands")).select("key", F.col("least.*"), "bands"))
+def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, int, DataFrame]:
+    """(rows, n, labels): each row's rkey, tkey, doc_id and set key, how many rows there are, and each set key's class."""
+    rows, count = cut_counting(in_arrow(row_keys(docs.select("doc_id", "text")), lambda it: _sketch(it, p), "doc_id long, rkey long, tkey long, key binary, bands array<long>"))
+    sets, total = cut_counting(rows.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "rkey", "tkey")).alias("least"), F.first("bands").alias("bands")).select("key", F.col("least.*"), "bands"), rows=count)
     held = sets.select("key", F.explode("bands").alias("bucket"))
     sizes = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    hits = cut(held.join(sizes, "bucket"))
+    hits, most = cut_counting(held.join(sizes, "bucket"), rows=total * p.bands)
     weight = hits.groupBy("key").agg(F.sum(F.ln("n")).alias("centrality"))
-    hits = cut(hits.join(weight, "key"))
+    hits = cut(hits.join(weight, "key"), most)
     low, high = F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")
     large, few = hits.where(F.col("n") > p.small), hits.where(F.col("n") <= p.small)
-    centres, n = cut_counting(large.groupBy("bucket").agg(F.max_by("key", F.struct(F.round("centrality", 6), "key")).alias("centre")))
+    centres, n = cut_counting(large.groupBy("bucket").agg(F.max_by("key", F.struct(F.round("centrality", 6), "key")).alias("centre")), rows=most)
     star = large.join(limited(centres, n, p.broadcast_rows), "bucket").where(F.col("key") != F.col("centre")).select(low, high)
     close = few.select("bucket", F.col("key").alias("a")).join(few.select("bucket", F.col("key").alias("b")), "bucket").where(F.col("a") < F.col("b")).select("a", "b")
-    tried = cut(star.union(close).distinct())
-    links, _ = _verified(tried, docs, sets, p)
-    labels = components(links)
+    tried, n = cut_counting(star.union(close).distinct(), rows=most * max(1, p.small // 2))
+    links, n = _verified(tried, n, docs, sets, p)
+    labels = components(links, n)
     # Buckets that still hold several classes try further centres on the members of other classes than the centre's.
-    marked = cut(hits.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    marked = cut(hits.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), most)
     drawn = F.array(*[F.max_by(F.struct("key", "label"), F.xxhash64(F.lit(turn), "key", "bucket")) for turn in range(p.further)])
     open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), drawn.alias("c")).where(F.col("low") != F.col("high"))
-    open_, n = cut_counting(open_.select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("other")))
+    open_, n = cut_counting(open_.select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("other")), rows=most * p.further)
     more = marked.join(limited(open_, n, p.broadcast_rows), "bucket").where(F.col("label") != F.col("other")).select(low, high)
-    more, n = cut_counting(more.distinct().join(tried, ["a", "b"], "left_anti"))
-    new, n = _verified(more, docs, sets, p) if n else (more, 0)
+    more, n = cut_counting(more.distinct().join(tried, ["a", "b"], "left_anti"), rows=most * p.further)
+    new, n = _verified(more, n, docs, sets, p) if n else (more, 0)
     if n:
-        labels = _joined(labels, new)
+        labels = _joined(labels, total, new, n)
     # What is still in different classes in a large bucket is compared pair by pair.
-    marked = cut(large.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
-    last, n = _rest(marked, docs, sets, p)
+    marked = cut(large.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), most)
+    last, n = _rest(marked, most, docs, sets, p)
     if n:
-        labels = _joined(labels, last)
+        labels = _joined(labels, total, last, n)
     named = sets.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return rows.drop("bands"), cut(named.join(least, "label").select("key", "class_id", "label"))
+    return rows.drop("bands"), count, cut(named.join(least, "label").select("key", "class_id", "label"), total)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     whether other texts, or copies, are in the class. An empty table gives an
     empty result.
     """
-    rows, labels = classes(docs, p)
+    rows, _, labels = classes(docs, p)
     size = rows.groupBy("key").agg(F.count("*").alias("n"))
     size = labels.join(size, "key").groupBy("label").agg(F.sum("n").alias("n"))
     known = labels.join(size, "label").select("key", "class_id", (F.col("n") > 1).alias("in_group"))
@@ -311,15 +311,15 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     text one stays. A text of any length is compared whole; an empty table gives
     an empty result. Columns of any name stay as they are.
     """
-    rows, labels = classes(docs, p)
+    rows, count, labels = classes(docs, p)
     named = rows.where("key is not null").join(labels.select("key", "label"), "key")
     first = named.groupBy("label").agg(F.min(F.struct("doc_id", "rkey", "tkey")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
-    first, n = cut_counting(first)
+    first, n = cut_counting(first, rows=count)
     dropped = named.join(limited(first, n, p.broadcast_rows), "label").where(F.struct("doc_id", "rkey", "tkey") != F.col("first")).select("rkey", "tkey").distinct()
-    dropped, n = cut_counting(dropped)
+    dropped, n = cut_counting(dropped, rows=count)
     names = [fresh(docs.columns, "rkey"), fresh(docs.columns, "tkey")]
     out = row_keys(docs, *names).join(limited(dropped.toDF(*names), n, p.broadcast_rows), names, "left_anti")
-    again, n = cut_counting(rows.where("key is not null").groupBy("rkey", "tkey").agg(F.count("*").alias("n")).where("n > 1").select("rkey", "tkey").join(dropped, ["rkey", "tkey"], "left_anti"))
+    again, n = cut_counting(rows.where("key is not null").groupBy("rkey", "tkey").agg(F.count("*").alias("n")).where("n > 1").select("rkey", "tkey").join(dropped, ["rkey", "tkey"], "left_anti"), rows=count)
     if n:  # rows repeated with doc_id and text: one of each stays
         again = again.toDF(*names)
         once = out.join(again, names, "left_semi").dropDuplicates(names)

@@ -866,6 +866,13 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert max(map(len, found.values())) > 300
 
 
+def test_near_duplicates_of_few_rows_are_kept_in_few_files(spark, spread):
+    rows = [(10 * g + k, prose(g, 60) + " end" * (k % 2)) for g in range(20) for k in range(8)]
+    kept = near_dup.keep_one(docs(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [min(g) for g in brute_classes(rows)]
+    assert 0 < spread() < 200
+
+
 def test_pairs_in_a_large_family_are_found(spark):
     rng = np.random.default_rng(11)
     part = lambda n: " ".join(f"x{x}" for x in rng.integers(0, 10**9, n))
